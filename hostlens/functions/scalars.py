@@ -198,6 +198,28 @@ def clamp01(value: Column) -> Column:
     return F.when(bad, 0.0).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Round the exact binary value, ties to even, as ``%.<digits>f`` does in C.
+
+    ``round`` and ``bround`` look at the shortest decimal text instead, which
+    differs when that text ends in a 5 the binary value lies above or below.
+    """
+    scale = 10.0 ** (digits + 1)
+    product = value * scale
+    split = value * 134217729.0
+    high = split - (split - value)
+    rest = (high * scale - product) + (value - high) * scale  # what the product lost
+    on_five = (product == F.rint(product)) & (F.pmod(F.abs(product), F.lit(10.0)) == 5.0)
+    nudge = F.signum(rest) / scale
+    return F.when(on_five & (rest != 0), F.round(value + nudge, digits)).otherwise(
+        F.when(on_five, F.bround(value, digits)).otherwise(F.round(value, digits))
+    )
+
+
+def fixed_text(value: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", round_half_even(value, digits))
+
+
 def syscall_slot(nr: Column) -> Column:
     last = C.NUM_SYSCALLS - 1
     return F.when(nr.between(0, last), nr).otherwise(last).cast("int")

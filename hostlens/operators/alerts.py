@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hostlens.functions import scalars as X
+
 SOURCE_NAME = "hostlens"
 
 
@@ -108,22 +110,22 @@ def webhook_payload() -> Column:
 
 def syslog_line() -> Column:
     return F.format_string(
-        "%s alert: %s (pid %d) score=%.1f - %s",
-        F.col("severity"), F.col("process_name"), F.col("pid"), F.bround("score", 1), F.col("explanation"),
+        "%s alert: %s (pid %d) score=%s - %s",
+        F.col("severity"), F.col("process_name"), F.col("pid"), X.fixed_text(F.col("score"), 1), F.col("explanation"),
     )
 
 
 def mail_subject() -> Column:
     return F.format_string(
-        f"[{SOURCE_NAME} %s] %s (pid %d) score %.0f",
-        F.col("severity"), F.col("process_name"), F.col("pid"), F.bround("score", 0),
+        f"[{SOURCE_NAME} %s] %s (pid %d) score %s",
+        F.col("severity"), F.col("process_name"), F.col("pid"), X.fixed_text(F.col("score"), 0),
     )
 
 
 def mail_body() -> Column:
     return F.format_string(
-        "Process : %s (pid %d)\nSeverity: %s\nScore   : %.1f/100\nReason  : %s\n",
-        F.col("process_name"), F.col("pid"), F.col("severity"), F.bround("score", 1), F.col("explanation"),
+        "Process : %s (pid %d)\nSeverity: %s\nScore   : %s/100\nReason  : %s\n",
+        F.col("process_name"), F.col("pid"), F.col("severity"), X.fixed_text(F.col("score"), 1), F.col("explanation"),
     )
 
 

@@ -217,7 +217,7 @@ def tune_threshold(errors: DataFrame, key: list[str], error: str, settings: Sett
     moments = errors.groupBy(*key).agg(
         F.count(error).alias("n_errors"), F.avg(error).alias("_mean"), std.alias("_std")
     )
-    joined = moments.join(q, key, "left") if key else moments.crossJoin(F.broadcast(q))
+    joined = moments.join(q, key, "left") if key else moments.withColumn("_q", q.scalar())
     return joined.select(
         *key,
         "n_errors",
@@ -233,7 +233,7 @@ def error_statistics(errors: DataFrame, key: list[str], error: str, q: float) ->
     moments = errors.groupBy(*key).agg(
         F.avg(error).alias("mean"), F.coalesce(F.stddev_pop(error), F.lit(0.0)).alias("std")
     )
-    return moments.join(quant, key) if key else moments.crossJoin(F.broadcast(quant))
+    return moments.join(quant, key) if key else moments.withColumn("quantile", quant.scalar())
 
 
 # --- evaluation --------------------------------------------------------------------

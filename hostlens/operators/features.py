@@ -181,20 +181,20 @@ def token_counts(
 
 
 def token_block(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Sparse frequency maps (at most 335 and 50 entries), distinct counts,
+    """Sparse frequencies (at most 335 and 50 entries), distinct counts,
     path entropy in bits and the name of the newest event."""
     kind = lambda k: F.col("kind") == k
     n_of = lambda k: F.coalesce(F.sum(F.when(kind(k), F.col("n"))), F.lit(0))
     distinct = lambda k: F.sum(F.when(kind(k), 1).otherwise(0))
     entry = F.struct(F.col("num"), F.col("n"))
-    entries = lambda k: F.map_from_entries(F.collect_list(F.when(kind(k), entry)))
+    entries = lambda k: F.array_sort(F.collect_list(F.when(kind(k), entry)))
     chars = n_of(K_CHAR)
     n_log_n = F.sum(F.when(kind(K_CHAR), F.col("n") * F.log2(F.col("n").cast("double"))))
     return counts.groupBy(*keys).agg(
         n_of(K_CALL).alias("calls"),
-        entries(K_CALL).alias("call_map"),
+        entries(K_CALL).alias("call_entries"),
         n_of(K_PAIR).alias("pairs"),
-        entries(K_PAIR).alias("pair_map"),
+        entries(K_PAIR).alias("pair_entries"),
         distinct(K_IP).alias("ips"),
         distinct(K_PORT).alias("ports"),
         distinct(K_OPEN).alias("opened"),
@@ -208,11 +208,21 @@ def token_block(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _dense(entries: str, total: str, size: int) -> Column:
-    share = lambda i: F.coalesce(F.try_element_at(F.col(entries), i), F.lit(0)) / F.col(total)
-    slots = F.sequence(F.lit(0), F.lit(size - 1))
-    return F.when(F.col(total) > 0, F.transform(slots, share)).otherwise(
-        F.array_repeat(F.lit(0.0), size)
+    """Sorted (slot, count) entries to a dense array of shares.
+
+    Each entry is preceded by its gap of zeros, so the cost is that of writing
+    the array once.
+    """
+    e = F.col(entries)
+    slot_before = lambda i: F.coalesce(F.get(e, i - 1)["num"], F.lit(-1))
+    runs = F.transform(
+        e,
+        lambda x, i: F.concat(
+            F.array_repeat(F.lit(0.0), x["num"] - slot_before(i) - 1), F.array(x["n"] / F.col(total))
+        ),
     )
+    last = F.coalesce(F.try_element_at(e, F.lit(-1))["num"], F.lit(-1))
+    return F.concat(F.flatten(runs), F.array_repeat(F.lit(0.0), F.lit(size - 1) - last))
 
 
 def semantic_features(window_seconds: int) -> dict[str, Column]:
@@ -273,12 +283,15 @@ def blocks(events: DataFrame, windowing, entity: list[str], settings: Settings)
 
 
 def vectors(events: DataFrame, windowing, entity: list[str], settings: Settings) -> DataFrame:
-    """``keys, last_ns, n, last_comm, features`` with ``features`` of length 427."""
+    """``keys, first_ns, last_ns, n, last_comm, features``, 427 features in [0, 1].
+
+    Shares lie in [0, 1] by construction; the named features are clamped.
+    """
     named = semantic_features(settings.window_seconds)
     assembled = F.concat(
-        _dense("call_map", "calls", C.NUM_SYSCALLS),
-        _dense("pair_map", "pairs", C.NUM_BIGRAMS),
-        F.array(*named.values()),
+        _dense("call_entries", "calls", C.NUM_SYSCALLS),
+        _dense("pair_entries", "pairs", C.NUM_BIGRAMS),
+        F.array(*[X.clamp01(v) for v in named.values()]),
     )
     return (
         blocks(events, windowing, entity, settings)
@@ -288,7 +301,7 @@ def vectors(events: DataFrame, windowing, entity: list[str], settings: Settings)
             "last_ns",
             "n",
             "last_comm",
-            F.transform(assembled, X.clamp01).alias("features"),
+            assembled.alias("features"),
         )
     )
 
@@ -311,6 +324,39 @@ def feature(name: str) -> Column:
     return F.element_at("features", feature_index()[name] + 1)
 
 
-def named_features(blocks_df: DataFrame, keys: list[str], names: list[str], settings: Settings) -> DataFrame:
+TOKEN_MEASURES = {"unique_remote_ips", "unique_remote_ports", "unique_files_opened", "entropy_of_file_paths"}
+
+
+def named_features(events: DataFrame, windowing, entity: list[str], names: list[str], settings: Settings) -> DataFrame:
+    """Some of the semantic features per window, computing only the block or
+    blocks they come from."""
+    keys = windowing.keys
+    pick = lambda cols: windowing.assign(
+        events.select(*entity, *[c for c in cols if c not in entity])
+    )
+    wanted = set(names)
+    parts = []
+    if wanted - TOKEN_MEASURES:
+        parts.append(counter_block(pick(COUNTER_COLUMNS), keys))
+    if wanted & TOKEN_MEASURES:
+        parts.append(token_block(token_counts(pick(TOKEN_COLUMNS), None, keys), keys))
+    table = parts[0] if len(parts) == 1 else parts[0].join(parts[1], keys)
     values = semantic_features(settings.window_seconds)
-    return blocks_df.select(*keys, *[X.clamp01(values[n]).alias(n) for n in names])
+    return table.select(*keys, *[X.clamp01(values[n]).alias(n) for n in names])
+
+
+def frequency_block(events: DataFrame, windowing, entity: list[str], settings: Settings) -> DataFrame:
+    """Dense syscall and syscall-pair shares per window."""
+    keys = windowing.keys
+    calls = events.where(_is(C.SYSCALL)).select(
+        *entity, *[c for c in TOKEN_COLUMNS if c not in entity]
+    )
+    pairs = windowing.assign(syscall_pairs(events, entity, settings))
+    tokens = token_block(token_counts(windowing.assign(calls), pairs, keys), keys)
+    return tokens.select(
+        *keys,
+        "calls",
+        _dense("call_entries", "calls", C.NUM_SYSCALLS).alias("call_shares"),
+        "pairs",
+        _dense("pair_entries", "pairs", C.NUM_BIGRAMS).alias("pair_shares"),
+    )

@@ -39,6 +39,29 @@ def consecutive_pairs(
     return inside.unionByName(across)
 
 
+def positions(df: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
+    """1-based position of each row within its key, chunk by chunk.
+
+    ``chunk`` must not decrease along ``order``.  Only the row counts of the
+    chunks are put in order over a whole key.
+    """
+    rows = df.withColumn("_chunk", chunk)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(*keys, "_chunk")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    return (
+        rows.withColumn("_inside", inside)
+        .join(offsets, [*keys, "_chunk"])
+        .withColumn("position", (F.col("_inside") + F.col("_offset")).cast("bigint"))
+        .drop("_inside", "_offset", "_chunk")
+    )
+
+
 def value_bin(value: Column) -> Column:
     """Order-preserving bin of a finite double, 64 bins per doubling."""
     size = F.floor(F.log2(1.0 + F.abs(value) * float(1 << 20)) * 64.0)
@@ -92,14 +115,17 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) ->
     group is held in memory.
     """
     hist = cumulative_counts(df, keys, value)
-    totals = hist.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    if keys:
+        totals = df.groupBy(*keys).agg(F.count(value).alias("_total"))
+        hist = hist.join(totals, keys)
+    else:
+        hist = hist.withColumn("_total", df.agg(F.count(value)).scalar())
     place = (F.col("_total") - 1) * F.lit(float(q))
     low, high = F.floor(place), F.ceil(place)
     holds = lambda rank: (F.col("below_n") <= rank) & (rank < F.col("below_n") + F.col("n"))
     share = place - low
     return (
-        (hist.join(totals, keys) if keys else hist.crossJoin(F.broadcast(totals)))
-        .where(holds(low) | holds(high))
+        hist.where(holds(low) | holds(high))
         .groupBy(*keys)
         .agg(
             F.max(F.when(holds(low), F.col("value"))).alias("_lo"),

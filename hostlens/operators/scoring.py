@@ -51,43 +51,58 @@ def is_anomalous(score: Column, threshold: float = 70.0) -> Column:
 # --- explanation ------------------------------------------------------------------
 
 def ranked_contributions(features: Column, base: Column) -> Column:
-    """All contributions of a vector, largest first, ties in vector order:
-    array of (neg, idx, value, contribution)."""
+    """Positive contributions of a vector, largest first, ties in vector order:
+    array of (neg, idx), ``neg`` being the negated contribution.
+
+    A contribution of zero can neither be explained nor listed.
+    """
     weight = F.array(*[F.lit(salience(n)) for n in feature_names()])
-    one = lambda v, i: F.abs(v - F.coalesce(F.get(base, i), F.lit(0.0))) * F.get(weight, i)
-    rows = F.transform(
-        features,
-        lambda v, i: F.struct(
-            (-one(v, i)).alias("neg"), i.alias("idx"), v.alias("value"), one(v, i).alias("contribution")
-        ),
+    deviation = F.zip_with(features, base, lambda v, b: F.abs(v - F.coalesce(b, F.lit(0.0))))
+    weighed = F.zip_with(deviation, weight, lambda d, w: d * w)
+    rows = F.transform(weighed, lambda c, i: F.struct((-c).alias("neg"), i.alias("idx")))
+    return F.array_sort(F.filter(rows, lambda r: r["neg"] < 0))
+
+
+def contribution_rows(vectors: DataFrame, keys: list[str], dim: DataFrame) -> DataFrame:
+    """Every contribution of every vector as a row with its rank, for whoever
+    wants to query them; verdicts use ``ranked_contributions``."""
+    ranked = ranked_contributions(F.col("features"), F.col("norm_mean"))
+    return (
+        vectors.select(*keys, "features", F.posexplode(ranked).alias("_at", "_c"))
+        .select(
+            *keys,
+            (F.col("_at") + 1).alias("rank"),
+            F.col("_c.idx").alias("idx"),
+            F.get("features", F.col("_c.idx")).alias("value"),
+            (-F.col("_c.neg")).alias("contribution"),
+        )
+        .join(F.broadcast(dim.select("idx", "name", "phrase")), "idx")
     )
-    # the positive ones only: the others can neither be explained nor listed
-    return F.array_sort(F.filter(rows, lambda r: r["contribution"] > 0))
 
 
-def top_features(ranked: Column, k: int = C.TOP_FEATURES) -> Column:
+def top_features(features: Column, ranked: Column, k: int = C.TOP_FEATURES) -> Column:
     names = F.array(*[F.lit(n) for n in feature_names()])
     return F.transform(
         F.slice(ranked, 1, k),
         lambda r: F.struct(
             F.get(names, r["idx"]).alias("name"),
-            F.bround(r["value"], 4).alias("value"),
-            F.bround(r["contribution"], 4).alias("contribution"),
+            X.round_half_even(F.get(features, r["idx"]), 4).alias("value"),
+            X.round_half_even(-r["neg"], 4).alias("contribution"),
         ),
     )
 
 
-def explanation(spark: SparkSession, process: Column, ranked: Column, k: int = C.TOP_PHRASES) -> Column:
+def explanation(spark: SparkSession, process: Column, features: Column, ranked: Column, k: int = C.TOP_PHRASES) -> Column:
     """One sentence naming the top contributions."""
     syscalls = names_for(spark)
     names = F.array(*[F.lit(n) for n in feature_names()])
     phrases = F.array(*[F.lit(phrase(n, syscalls)) for n in feature_names()])
-    notable = F.slice(F.filter(ranked, lambda r: r["contribution"] >= C.MIN_CONTRIBUTION), 1, k)
+    notable = F.slice(F.filter(ranked, lambda r: -r["neg"] >= C.MIN_CONTRIBUTION), 1, k)
     clauses = F.transform(
         notable,
         lambda r: F.concat(
             F.get(phrases, r["idx"]), F.lit(" ("), F.get(names, r["idx"]), F.lit("="),
-            F.format_string("%.2f", F.bround(r["value"], 2)), F.lit(")"),
+            X.fixed_text(F.get(features, r["idx"]), 2), F.lit(")"),
         ),
     )
     size = F.size(clauses)
@@ -104,6 +119,16 @@ def explanation(spark: SparkSession, process: Column, ranked: Column, k: int = C
     ).otherwise(F.concat(F.lit("Process "), process, F.lit(" "), body, F.lit(".")))
 
 
+def flag_safe(rows: DataFrame, safe_pids: DataFrame | None) -> DataFrame:
+    """Adds ``is_safe``; a small list of pids is broadcast by its measured size."""
+    if safe_pids is None:
+        return rows.withColumn("is_safe", F.lit(False))
+    flagged = safe_pids.select("host_id", "pid").distinct().withColumn("_safe", F.lit(True))
+    return rows.join(flagged, ["host_id", "pid"], "left").withColumn(
+        "is_safe", F.coalesce("_safe", F.lit(False))
+    ).drop("_safe")
+
+
 # --- verdicts -----------------------------------------------------------------------
 
 def score_windows(
@@ -134,19 +159,13 @@ def score_windows(
         B.with_step_errors(x.withColumn("_available", available), line, order), line, order, settings
     )
 
-    if safe_pids is None:
-        scored = scored.withColumn("is_safe", F.lit(False))
-    else:
-        flagged = safe_pids.select("host_id", "pid", F.lit(True).alias("is_safe")).distinct()
-        scored = scored.join(flagged, ["host_id", "pid"], "left").withColumn(
-            "is_safe", F.coalesce("is_safe", F.lit(False))
-        )
+    scored = flag_safe(scored, safe_pids)
 
     window_score = 100.0 * B.calibrated("window_error", "window_error_mean", "window_error_std")
     sequence_score = 100.0 * B.calibrated("sequence_error", "sequence_error_mean", "sequence_error_std")
     ws, ww = weights(F.lit(True), F.lit(True), settings)
     safe = available & F.col("is_safe")
-    ranked = ranked_contributions(F.col("features"), F.col("norm_mean"))
+    ranked = ranked_contributions(F.col("features"), F.coalesce("norm_mean", F.array().cast("array<double>")))
     return (
         scored.withColumn("window_error", F.when(available, B.window_error()))
         .withColumn("vae_score", F.when(available, window_score).otherwise(0.0))
@@ -175,9 +194,9 @@ def score_windows(
                 safe,
                 F.concat(F.lit("PID "), F.col("pid").cast("string"), F.lit(" is on the known-safe list; alert suppressed.")),
             )
-            .otherwise(explanation(spark, F.col("last_comm"), F.col("ranked")))
+            .otherwise(explanation(spark, F.col("last_comm"), F.col("features"), F.col("ranked")))
             .alias("explanation"),
-            F.coalesce(top_features(F.col("ranked")), F.array().cast("array<struct<name:string,value:double,contribution:double>>")).alias("top_features"),
+            F.coalesce(top_features(F.col("features"), F.col("ranked")), F.array().cast("array<struct<name:string,value:double,contribution:double>>")).alias("top_features"),
         )
     )
 

@@ -73,16 +73,16 @@ def alert_page(alerts: DataFrame, limit: int = 100, offset: int = 0, **filters)
     """A page of alerts; every row also carries the size of the page and the
     number of unacknowledged alerts overall."""
     page = A.list_alerts(alerts, limit=limit, offset=offset, **filters)
-    size = page.agg(F.count("*").alias("total"))
-    open_ = A.unacknowledged(alerts)
-    return page.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(open_))
+    return page.withColumn("total", page.agg(F.count("*")).scalar()).withColumn(
+        "unacknowledged", A.unacknowledged(alerts).scalar()
+    )
 
 
 def syscall_frequency(events: DataFrame, dim: DataFrame, pid: int, seconds: int = 60) -> DataFrame:
     """Calls by name in the last seconds before the newest call of the process."""
     mine = events.where((F.col("pid") == pid) & (F.col("fam") == C.SYSCALL))
-    newest = mine.agg(F.max("ts_ns").alias("_newest"))
-    recent = mine.crossJoin(F.broadcast(newest)).where(F.col("ts_ns") >= F.col("_newest") - seconds * NS)
+    newest = mine.agg(F.max("ts_ns")).scalar()
+    recent = mine.where(F.col("ts_ns") >= newest - seconds * NS)
     return named_calls(recent, dim).groupBy("syscall_name").agg(F.count("*").alias("n"))
 
 
@@ -137,10 +137,11 @@ def selector(process_list: DataFrame) -> DataFrame:
 
 def overview(process_list: DataFrame, alerts: DataFrame, baselines: DataFrame) -> DataFrame:
     """Three counters in one row."""
-    a = process_list.agg(F.count("*").alias("processes"))
-    b = A.unacknowledged(alerts)
-    c = baselines.agg(F.count("*").alias("models"))
-    return a.crossJoin(b).crossJoin(c)
+    return (
+        process_list.agg(F.count("*").alias("processes"))
+        .withColumn("unacknowledged", A.unacknowledged(alerts).scalar())
+        .withColumn("models", baselines.agg(F.count("*")).scalar())
+    )
 
 
 def max_severity(summaries: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ from hostlens.sources.store import materialize
 ENTITY = ["host_id", "comm"]
 
 
-def training_vectors(telemetry: DataFrame, settings: Settings, entity: list[str] = ENTITY,
-                     process: str | None = None, from_ns: int | None = None,
-                     to_ns: int | None = None) -> DataFrame:
-    """Hopping-window vectors of the observation period, one session per key."""
+def observed_events(telemetry: DataFrame, process: str | None = None, from_ns: int | None = None,
+                    to_ns: int | None = None) -> DataFrame:
+    """Events of the observation period, of one process or of all."""
     rows = telemetry
     if process is not None:
         rows = rows.where(F.col("comm") == process)
@@ -24,6 +23,12 @@ def training_vectors(telemetry: DataFrame, settings: Settings, entity: list[str]
         rows = rows.where(F.col("ts_ns") >= from_ns)
     if to_ns is not None:
         rows = rows.where(F.col("ts_ns") < to_ns)
+    return rows
+
+
+def training_vectors(telemetry: DataFrame, settings: Settings, entity: list[str] = ENTITY, **observed) -> DataFrame:
+    """Hopping-window vectors of the observation period, one session per key."""
+    rows = observed_events(telemetry, **observed)
     return FE.vectors(rows, hopping(rows, entity, settings), entity, settings).select(
         *entity, "k", "features"
     )

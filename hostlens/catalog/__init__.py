@@ -1,2 +1,2 @@
 from hostlens.catalog.common import REGISTRY
-from hostlens.catalog import features, scans, decoding, joins, windows
+from hostlens.catalog import features, scans, decoding, joins, windows, fitting, scoring

@@ -93,31 +93,33 @@ def _dim_sql():
 RANKED = (
     "m AS (SELECT idx, avg(v) AS mean FROM p_dense GROUP BY 1), "
     "con AS (SELECT host_id, pid, k, x.idx, v AS value, abs(v - mean) * CAST(salience AS DOUBLE) AS contribution, name, phrase FROM p_dense x JOIN m USING (idx) JOIN "
-    + _dim_sql() + " ON d.idx = x.idx WHERE host_id = 1), "
+    + _dim_sql() + " ON d.idx = x.idx), "
     "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY host_id, pid, k ORDER BY contribution DESC, idx) AS INT) AS rank FROM con WHERE contribution > 0) "
 )
 
 
 def _against_mean(spark, sf_dir):
-    """Vectors of one host next to the mean vector of the whole fleet."""
+    """Vectors next to the mean vector of the whole fleet."""
     v = process_vectors(spark, sf_dir)
     mean = (
         v.select(F.posexplode("features").alias("idx", "v")).groupBy("idx").agg(F.avg("v").alias("m"))
         .agg(F.array_sort(F.collect_list(F.struct("idx", "m"))).alias("s"))
     )
-    return v.where("host_id = 1").withColumn("norm_mean", mean.select("s.m").scalar())
+    return v.withColumn("norm_mean", mean.select("s.m").scalar())
 
 
-@query("J06_contribution_zip", sql("--MORE" + RANKED + "SELECT host_id, pid, k, CAST(idx AS INT) AS idx, name, round(value, 6) AS value, round(contribution, 6) AS contribution FROM ranked", "p_dense"))
+@query("J06_contribution_zip", sql("--MORE" + RANKED + "SELECT host_id, pid, CAST(idx AS INT) AS idx, name, CAST(count(*) AS BIGINT) AS windows, round(sum(value), 6) AS value, round(sum(contribution), 6) AS contribution FROM ranked GROUP BY ALL", "p_dense"))
 def j06(spark, sf_dir):
     rows = scoring.contribution_rows(_against_mean(spark, sf_dir), [*PROC, "k"], feature_dim(spark))
-    return rows.select(*PROC, "k", "idx", "name", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution"))
+    return rows.groupBy(*PROC, "idx", "name").agg(
+        F.count("*").alias("windows"), F.round(F.sum("value"), 6).alias("value"), F.round(F.sum("contribution"), 6).alias("contribution")
+    )
 
 
-@query("T07_ranked_contributions", sql("--MORE" + RANKED + "SELECT host_id, pid, k, rank, round(contribution, 6) AS contribution FROM ranked", "p_dense"))
+@query("T07_ranked_contributions", sql("--MORE" + RANKED + "SELECT host_id, pid, rank, CAST(count(*) AS BIGINT) AS windows, round(sum(contribution), 6) AS contribution FROM ranked GROUP BY ALL", "p_dense"))
 def t07(spark, sf_dir):
     rows = scoring.contribution_rows(_against_mean(spark, sf_dir), [*PROC, "k"], feature_dim(spark))
-    return rows.select(*PROC, "k", "rank", F.round("contribution", 6).alias("contribution"))
+    return rows.groupBy(*PROC, "rank").agg(F.count("*").alias("windows"), F.round(F.sum("contribution"), 6).alias("contribution"))
 
 
 @query("T08_notable_contributions", sql("--MORE" + RANKED + "SELECT host_id, pid, k, CAST(count(*) AS INT) AS notable FROM ranked WHERE contribution >= 0.05 AND rank <= 3 GROUP BY ALL", "p_dense"))
@@ -127,12 +129,12 @@ def t08(spark, sf_dir):
     return notable.groupBy(*PROC, "k").agg(F.count("*").cast("int").alias("notable"))
 
 
-@query("T09_top_features", sql("--MORE" + RANKED + "SELECT host_id, pid, k, rank, round(contribution, 3) AS contribution FROM ranked WHERE rank <= 5", "p_dense"))
+@query("T09_top_features", sql("--MORE" + RANKED + "SELECT host_id, pid, k, rank, round(contribution, 4) AS contribution FROM ranked WHERE rank <= 5", "p_dense"))
 def t09(spark, sf_dir):
     v = _against_mean(spark, sf_dir)
     ranked = scoring.ranked_contributions(F.col("features"), F.col("norm_mean"))
     top = v.withColumn("r", ranked).select(*PROC, "k", F.posexplode(scoring.top_features(F.col("features"), F.col("r"))).alias("p", "f"))
-    return top.select(*PROC, "k", (F.col("p") + 1).alias("rank"), F.round("f.contribution", 3).alias("contribution"))
+    return top.select(*PROC, "k", (F.col("p") + 1).alias("rank"), F.col("f.contribution").alias("contribution"))
 
 
 @query("J07_syscall_names", sql(f"SELECT event_id, {NAME_SQL} AS syscall_name FROM tel LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1", "tel"))

@@ -18,7 +18,7 @@ ST = Settings(
     window_seconds=DAY,
     sequence_length=5,
     score_interval_seconds=DAY,
-    dedup_seconds=3 * DAY,
+    dedup_seconds=DAY // 4,
     rate_window_seconds=DAY,
     max_alerts_per_window=10,
     retention_days=10,

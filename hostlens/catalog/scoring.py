@@ -12,6 +12,7 @@ from hostlens.functions import scalars as X
 from hostlens.operators import features as FE
 from hostlens.operators import scoring as SC
 from hostlens.operators import windows as Wd
+from hostlens.sources.store import delete_baseline
 
 KEY = [*PROC, "tick"]
 
@@ -24,11 +25,16 @@ def scoring_vectors(spark, sf_dir):
     return stored(spark, sf_dir, "scoring-vectors", build)
 
 
+def live_baselines(spark, sf_dir):
+    """All baselines but that of one program, so that some windows have none."""
+    return delete_baseline(baselines(spark, sf_dir), "node")
+
+
 def verdicts(spark, sf_dir):
     return stored(
         spark, sf_dir, "verdicts",
         lambda: SC.score_windows(
-            scoring_vectors(spark, sf_dir), baselines(spark, sf_dir), ST, PROC, "tick", safe_pids(spark, sf_dir)
+            scoring_vectors(spark, sf_dir), live_baselines(spark, sf_dir), ST, PROC, "tick", safe_pids(spark, sf_dir)
         ),
     )
 
@@ -36,7 +42,7 @@ def verdicts(spark, sf_dir):
 cte("v_key", "SELECT host_id, pid, tick, last_comm AS comm, last_ns FROM t_sem", "t_sem")
 cte(
     "v_x",
-    f"SELECT d.host_id, d.pid, d.tick, d.idx, d.v, mean, {NORM.format(v='d.v')} AS x, {NORM.format(v='tm')} AS c FROM t_dense d JOIN v_key w USING (host_id, pid, tick) "
+    f"SELECT d.host_id, d.pid, d.tick, d.idx, d.v, mean, {NORM.format(v='d.v')} AS x, {NORM.format(v='tm')} AS c FROM t_dense d JOIN (SELECT * FROM v_key WHERE comm <> 'node') w USING (host_id, pid, tick) "
     "JOIN b_stats s ON s.host_id = d.host_id AND s.comm = w.comm AND s.idx = d.idx",
     "t_dense", "v_key", "b_stats",
 )
@@ -45,7 +51,7 @@ cte("v_seq", "SELECT *, CASE WHEN row_number() OVER (PARTITION BY host_id, pid O
 cte(
     "v_raw",
     "SELECT k.*, f.comm IS NOT NULL AS model_available, k.pid % 13 = 0 AS safe, f.threshold, e.error, CASE WHEN f.comm IS NULL THEN 0.0 ELSE 100 / (1 + exp(-(e.error - wm) / ws)) END AS vae_score, "
-    "100 / (1 + exp(-(e.sequence_error - sm) / ss)) AS lstm_score FROM v_key k LEFT JOIN fitted f ON f.host_id = k.host_id AND f.comm = k.comm LEFT JOIN v_seq e ON e.host_id = k.host_id AND e.pid = k.pid AND e.tick = k.tick",
+    "100 / (1 + exp(-(e.sequence_error - sm) / ss)) AS lstm_score FROM v_key k LEFT JOIN (SELECT * FROM fitted WHERE comm <> 'node') f ON f.host_id = k.host_id AND f.comm = k.comm LEFT JOIN v_seq e ON e.host_id = k.host_id AND e.pid = k.pid AND e.tick = k.tick",
     "v_key", "fitted", "v_seq",
 )
 cte(
@@ -111,7 +117,7 @@ def c05(spark, sf_dir):
     from hostlens.operators import baseline as B
 
     v = scoring_vectors(spark, sf_dir).withColumn("comm", F.col("last_comm"))
-    x = B.attach_stats(v, baselines(spark, sf_dir).select("host_id", "comm", "n_windows", "norm_min", "norm_max"), ["host_id", "comm"], KEY, ST)
+    x = B.attach_stats(v, live_baselines(spark, sf_dir).select("host_id", "comm", "n_windows", "norm_min", "norm_max"), ["host_id", "comm"], KEY, ST)
     total = F.aggregate(B.normalized(), F.lit(0.0), lambda a, e: a + e)
     return x.where("norm_min IS NOT NULL").select(*KEY, F.round(total, 6).alias("total"))
 
@@ -147,10 +153,17 @@ cte(
 )
 
 
-@query("C10_contributions", sql("SELECT host_id, pid, tick, CAST(rank AS INT) AS rank, round(contribution, 4) AS contribution FROM v_rank WHERE rank <= 5", "v_rank"))
+@query("C10_contributions", sql("SELECT host_id, pid, tick, CAST(rank AS INT) AS rank, round(contribution, 6) AS contribution FROM v_rank WHERE rank <= 5", "v_rank"))
 def c10(spark, sf_dir):
-    top = verdicts(spark, sf_dir).where("model_available").select(*KEY, F.posexplode("top_features").alias("p", "f"))
-    return top.select(*KEY, (F.col("p") + 1).alias("rank"), F.col("f.contribution").alias("contribution"))
+    from hostlens.operators import baseline as B
+
+    v = scoring_vectors(spark, sf_dir).withColumn("comm", F.col("last_comm"))
+    means = live_baselines(spark, sf_dir).select("host_id", "comm", "n_windows", "norm_mean")
+    based = B.attach_stats(v, means, ["host_id", "comm"], KEY, ST).where("norm_mean IS NOT NULL")
+    ranked = F.slice(SC.ranked_contributions(F.col("features"), F.col("norm_mean")), 1, C.TOP_FEATURES)
+    return based.select(*KEY, F.posexplode(ranked).alias("p", "r")).select(
+        *KEY, (F.col("p") + 1).alias("rank"), F.round(-F.col("r.neg"), 6).alias("contribution")
+    )
 
 
 @query("C11_salience", sql(f"SELECT name, CAST(salience AS DOUBLE) AS salience, CAST(count(*) AS BIGINT) AS windows FROM p_vec p JOIN {_dim_sql()} ON d.idx = p.idx WHERE v > 0 GROUP BY ALL", "p_vec"))

@@ -98,6 +98,10 @@ def register_vectors(p: str, entity: list[str], source: str, windowing: str = "h
             f"FROM {p}pairs t JOIN {p}starts b ON {on('t', 'b')}) WHERE wk >= 0 AND ts_ns < s + wk * {STRIDE} + {W} AND prev_ns >= s + wk * {STRIDE}",
             f"{p}starts", f"{p}pairs",
         )
+    elif windowing == "whole":
+        key = list(entity)
+        cte(f"{p}win", f"SELECT * FROM {source}", source)
+        cte(f"{p}pwin", f"SELECT * FROM {p}pairs", f"{p}pairs")
     else:
         key = [*entity, "tick"]
         from hostlens.catalog.common import TICK
@@ -168,3 +172,5 @@ register_vectors("c_", ["host_id", "comm"], "train_src")
 cte("score_src", "SELECT * FROM tel WHERE ts_ns >= 1705795200000000000", "tel")
 register_vectors("t_", ["host_id", "pid"], "score_src", "ticks")
 register_vectors("tt_", ["host_id", "pid"], "tel", "ticks")
+cte("explain_src", "SELECT * FROM tel WHERE host_id = 3 AND pid = 7", "tel")
+register_vectors("e_", ["host_id", "pid"], "explain_src", "whole")

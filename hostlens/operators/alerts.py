@@ -83,6 +83,7 @@ def unacknowledged(alerts: DataFrame) -> DataFrame:
 
 # --- delivery -------------------------------------------------------------------------
 
+MAX_CHANNELS = 200
 CHANNEL_SCHEMA = "position int, type string, url string, enabled boolean, to_addrs array<string>"
 
 
@@ -141,12 +142,12 @@ def alert_json() -> Column:
 def outbox(alerts: DataFrame, channels: DataFrame) -> DataFrame:
     """One row per alert and channel: what to deliver, or why it cannot be.
 
-    Channels are configuration, a handful of rows; they are folded into an array
-    next to each alert, so the alerts are neither shuffled nor joined.
+    Channels are configuration, a handful of rows; they become an array next to
+    each alert, so the alerts are neither shuffled nor joined.
     """
-    configured = [
-        r.asDict() for r in channels.orderBy("position").limit(1000).collect()
-    ]
+    configured = [r.asDict() for r in channels.orderBy("position").take(MAX_CHANNELS + 1)]
+    if len(configured) > MAX_CHANNELS:
+        raise ValueError(f"more than {MAX_CHANNELS} alert channels configured")
     entries = []
     for c in configured:
         kind = c["type"]

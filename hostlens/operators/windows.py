@@ -123,6 +123,20 @@ def repeat_idle(scored: DataFrame, entity: list[str], last_tick: int) -> DataFra
     )
 
 
+@dataclass(frozen=True)
+class Whole:
+    """All rows of a process as one window."""
+
+    entity: list[str]
+
+    @property
+    def keys(self) -> list[str]:
+        return list(self.entity)
+
+    def assign(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("win_start", F.lit(-(1 << 63)).cast("bigint"))
+
+
 # --- trailing windows -------------------------------------------------------
 
 def latest_per_key(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from hostlens import constants as C
 from hostlens.config import NS, Settings
 from hostlens.functions import scalars as X
 from hostlens.operators import alerts as A
+from hostlens.operators import features as FE
 from hostlens.operators import scoring as S
-from hostlens.operators.windows import trailing
+from hostlens.operators.windows import Whole, trailing
 
 PROCESS = ["host_id", "pid"]
 
@@ -196,8 +197,8 @@ def detection_matrix(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return S.detections(vectors, keys)
 
 
-def newest_window(events: DataFrame, host_id: int, pid: int) -> DataFrame:
-    """All stored events of one process as a single window."""
-    return events.where((F.col("host_id") == host_id) & (F.col("pid") == pid))
-
-
+def explain_process(events: DataFrame, baselines: DataFrame, host_id: int, pid: int, settings: Settings) -> DataFrame:
+    """Verdict and explanation of one process over all its stored events."""
+    mine = events.where((F.col("host_id") == host_id) & (F.col("pid") == pid))
+    window = FE.vectors(mine, Whole(PROCESS), PROCESS, settings).withColumn("tick", F.lit(0))
+    return S.score_windows(window, baselines, settings, PROCESS, "tick").drop("tick")

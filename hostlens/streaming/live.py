@@ -6,6 +6,7 @@ largest one seen, so replays give the same result as live runs.
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,6 +57,16 @@ def sliding_features(stream: DataFrame, settings: Settings, names: list[str] | N
     )
 
 
+def tick_counts(stream: DataFrame, settings: Settings) -> DataFrame:
+    """Events per process and score interval, emitted when the interval is over."""
+    span = F.window("event_time", f"{settings.score_interval_seconds} seconds")
+    return (
+        stream.groupBy(span.alias("w"), "host_id", "pid")
+        .agg(F.count("*").alias("n"), F.max("ts_ns").alias("latest_ns"))
+        .select(F.unix_micros("w.start").alias("start_us"), "host_id", "pid", "n", "latest_ns")
+    )
+
+
 def start_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "append", fmt: str = "parquet"):
     """Start a file sink; ``trigger`` is e.g. ``{"availableNow": True}`` or
     ``{"processingTime": "30 seconds"}``."""
@@ -69,73 +80,67 @@ def start_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 # --- trailing window and rolling context as keyed state ---------------------------
 
-TRAILING_OUT = "host_id bigint, pid bigint, latest_ns bigint, event_count bigint, span_ns bigint, context bigint"
+TRAILING_OUT = "host_id bigint, pid bigint, latest_ns bigint, event_count bigint, span_ns bigint, reaped boolean"
+
+
+def _trailing_row(key, latest: int, count: int, span: int, reaped: bool) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "host_id": [key[0]], "pid": [key[1]], "latest_ns": [latest], "event_count": [count],
+            "span_ns": [span], "reaped": [reaped],
+        }
+    )
 
 
 class TrailingWindow(StatefulProcessor):
-    """Last W seconds of a process as state, in 100 ms cells.
-
-    State per process: the newest timestamp and, per cell, count, first and last
-    timestamp, so its size is bounded by the window length and not by the event
-    rate.  A cell on the old edge is kept when any of its events is in the
-    window; exact counts are therefore kept per distinct timestamp there.
-    A second list holds the sizes of the last L emitted windows.  Both expire
-    after ``idle_seconds`` of event time without events.
+    """Last W seconds of a process as state: how many events per timestamp.
+
+    After ``idle_ns`` of event time without events the state is dropped and a
+    ``reaped`` row tells so.  Eviction is by time alone, so an old event behind
+    a newer one goes as well.
     """
 
-    def __init__(self, window_ns: int, length: int, idle_ns: int):
-        self.window_ns, self.length, self.idle_ns = window_ns, length, idle_ns
+    def __init__(self, window_ns: int, idle_ns: int):
+        self.window_ns, self.idle_ns = window_ns, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getListState("cells", "ts_ns bigint, n bigint")
-        self.context = handle.getListState("context", "n bigint")
-        self.newest = handle.getValueState("newest", "ts_ns bigint")
+        self.counts = handle.getListState("counts", "ts_ns bigint, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        newest = self.newest.get()[0] if self.newest.exists() else 0
-        counts: dict[int, int] = {}
-        for ts, n in (self.cells.get() if self.cells.exists() else []):
-            counts[ts] = counts.get(ts, 0) + n
+        counts: Counter[int] = Counter()
+        for ts, n in (self.counts.get() if self.counts.exists() else []):
+            counts[ts] += n
+        newest = max(counts, default=0)
         for batch in rows:
-            for ts, n in batch["ts_ns"].value_counts().items():
-                counts[int(ts)] = counts.get(int(ts), 0) + int(n)
-        newest = max(newest, max(counts, default=0))
+            newest = max(newest, int(batch["ts_ns"].max()))
+            fresh = batch["ts_ns"][batch["ts_ns"] >= newest - self.window_ns]
+            counts.update({int(ts): int(n) for ts, n in fresh.value_counts().items()})
         kept = {ts: n for ts, n in counts.items() if ts >= newest - self.window_ns}
-        self.cells.put(list(kept.items()))
-        self.newest.update((newest,))
-        total = sum(kept.values())
-        sizes = [r[0] for r in (self.context.get() if self.context.exists() else [])][-(self.length - 1):]
-        sizes.append(total)
-        self.context.put([(s,) for s in sizes])
+        self.counts.put(list(kept.items()))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((newest + self.idle_ns) // 1_000_000)
-        yield pd.DataFrame(
-            {
-                "host_id": [key[0]], "pid": [key[1]], "latest_ns": [newest], "event_count": [total],
-                "span_ns": [newest - min(kept)], "context": [len(sizes)],
-            }
-        )
+        yield _trailing_row(key, newest, sum(kept.values()), newest - min(kept), False)
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        self.cells.clear()
-        self.context.clear()
-        self.newest.clear()
-        return iter([])
+        newest = max((r[0] for r in self.counts.get()), default=0)
+        self.counts.clear()
+        yield _trailing_row(key, newest, 0, 0, True)
 
     def close(self) -> None:
         pass
 
 
 def trailing_state(stream: DataFrame, settings: Settings, idle_seconds: int | None = None) -> DataFrame:
-    """Size of the trailing window of each process after every micro-batch."""
+    """Size of the trailing window of each process after every micro-batch, and
+    a last row when an idle process is forgotten."""
     idle = (idle_seconds or 2 * settings.window_seconds) * NS
     return (
         stream.select("host_id", "pid", "ts_ns", "event_time")
         .groupBy("host_id", "pid")
         .transformWithStateInPandas(
-            TrailingWindow(settings.window_ns, settings.sequence_length, idle),
+            TrailingWindow(settings.window_ns, idle),
             outputStructType=TRAILING_OUT,
             outputMode="Append",
             timeMode="EventTime",
@@ -143,6 +148,53 @@ def trailing_state(stream: DataFrame, settings: Settings, idle_seconds: int | No
     )
 
 
+CONTEXT_OUT = "host_id bigint, pid bigint, k bigint, context_size int, context_mean double"
+
+
+class RollingContext(StatefulProcessor):
+    """The values of the last L windows of a process; their mean once there are
+    L of them."""
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getListState("values", "v double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        context = deque((r[0] for r in (self.values.get() if self.values.exists() else [])), self.length)
+        pdf = pd.concat(list(rows)).sort_values("k")
+        sizes, means = [], []
+        for v in pdf["value"]:
+            context.append(float(v))
+            sizes.append(len(context))
+            means.append(sum(context) / self.length if len(context) == self.length else None)
+        self.values.put([(v,) for v in context])
+        yield pd.DataFrame(
+            {
+                "host_id": pdf["host_id"], "pid": pdf["pid"], "k": pdf["k"],
+                "context_size": pd.Series(sizes, index=pdf.index, dtype="int32"),
+                "context_mean": pd.Series(means, index=pdf.index, dtype="float64"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_context(stream: DataFrame, settings: Settings) -> DataFrame:
+    """``stream(host_id, pid, k, value)``, one row per window, windows of a
+    process in order over the micro-batches."""
+    return (
+        stream.select("host_id", "pid", "k", F.col("value").cast("double").alias("value"))
+        .groupBy("host_id", "pid")
+        .transformWithStateInPandas(
+            RollingContext(settings.sequence_length), outputStructType=CONTEXT_OUT,
+            outputMode="Append", timeMode="None",
+        )
+    )
+
+
 # --- alert funnel as keyed state ------------------------------------------------------
 
 FUNNEL_OUT = "host_id bigint, process_name string, pid bigint, timestamp_ns bigint, outcome string"

@@ -208,11 +208,15 @@ def round_half_even(value: Column, digits: int) -> Column:
     product = value * scale
     split = value * 134217729.0
     high = split - (split - value)
-    rest = (high * scale - product) + (value - high) * scale  # what the product lost
-    on_five = (product == F.rint(product)) & (F.pmod(F.abs(product), F.lit(10.0)) == 5.0)
-    nudge = F.signum(rest) / scale
-    return F.when(on_five & (rest != 0), F.round(value + nudge, digits)).otherwise(
-        F.when(on_five, F.bround(value, digits)).otherwise(F.round(value, digits))
+    lost = (high * scale - product) + (value - high) * scale  # rounding error of the product
+    whole = F.rint(product)
+    side = (product - whole) + lost  # where the value lies from the nearest step
+    on_five = (F.abs(product - whole) < 1e-3) & (F.pmod(F.abs(whole), F.lit(10.0)) == 5.0)
+    return (
+        F.when(on_five & (side > 0), (whole + 5.0) / scale)
+        .when(on_five & (side < 0), (whole - 5.0) / scale)
+        .when(on_five, F.bround(value, digits))
+        .otherwise(F.round(value, digits))
     )
 
 

@@ -107,7 +107,7 @@ class TrailingWindow(StatefulProcessor):
         self.handle = handle
         self.counts = handle.getListState("counts", "ts_ns bigint, n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         counts: Counter[int] = Counter()
         for ts, n in (self.counts.get() if self.counts.exists() else []):
             counts[ts] += n
@@ -123,7 +123,7 @@ class TrailingWindow(StatefulProcessor):
         self.handle.registerTimer((newest + self.idle_ns) // 1_000_000)
         yield _trailing_row(key, newest, sum(kept.values()), newest - min(kept), False)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         newest = max((r[0] for r in self.counts.get()), default=0)
         self.counts.clear()
         yield _trailing_row(key, newest, 0, 0, True)
@@ -161,7 +161,7 @@ class RollingContext(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.values = handle.getListState("values", "v double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         context = deque((r[0] for r in (self.values.get() if self.values.exists() else [])), self.length)
         pdf = pd.concat(list(rows)).sort_values("k")
         sizes, means = [], []
@@ -211,7 +211,7 @@ class FunnelState(StatefulProcessor):
         self.last = handle.getMapState("last", "process_name string", "ts_ns bigint")
         self.recent = handle.getListState("recent", "ts_ns bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         from hostlens.operators.funnel import Walk
 
         walk = Walk(self.settings)
@@ -260,7 +260,7 @@ class OpenEntry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "event_id bigint, ts_ns bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         waiting = tuple(self.open.get()) if self.open.exists() else None
         found = []
         pdf = pd.concat(list(rows)).sort_values(["ts_ns", "event_id"])

@@ -78,8 +78,13 @@ def normalized(method: str = "minmax", value: str = "features") -> Column:
     raise ValueError(f"unknown normalization method: {method!r}")
 
 
+MAX_WIDE_HOT_KEYS = 500  # a packed row is some 20 kB, so at most 10 MB are broadcast
+
+
 def attach_stats(vectors: DataFrame, packed: DataFrame, key: list[str], order: list[str], settings: Settings) -> DataFrame:
-    return attach_per_key(vectors, packed, key, "n_windows", order, settings)
+    """Vectors with the packed statistics of their key; null without any."""
+    bounded = settings.with_(max_hot_keys=min(settings.max_hot_keys, MAX_WIDE_HOT_KEYS))
+    return attach_per_key(vectors, packed, key, "n_windows", order, bounded)
 
 
 # --- ordered split --------------------------------------------------------------

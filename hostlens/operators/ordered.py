@@ -74,7 +74,8 @@ def cumulative_counts(
     """Histogram of ``value`` per key with the running counts below each value.
 
     For every ``name -> condition`` in ``counts`` the result has ``name`` (rows
-    with this value) and ``below_name`` (rows with a smaller value).
+    with this value), ``below_name`` (rows with a smaller value) and
+    ``total_name`` (rows of the key).
     """
     counts = counts or {"n": F.lit(True)}
     hist = (
@@ -91,6 +92,7 @@ def cumulative_counts(
         *keys,
         "_bin",
         *[F.coalesce(F.sum(f"_{n}").over(before_bin), F.lit(0)).alias(f"_{n}") for n in counts],
+        *[F.sum(f"_{n}").over(Window.partitionBy(*keys)).alias(f"total_{n}") for n in counts],
     )
     inside = (
         Window.partitionBy(*keys, "_bin")
@@ -105,6 +107,7 @@ def cumulative_counts(
             (F.col(f"_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"below_{n}")
             for n in counts
         ],
+        *[f"total_{n}" for n in counts],
     )
 
 
@@ -115,12 +118,7 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) ->
     group is held in memory.
     """
     hist = cumulative_counts(df, keys, value)
-    if keys:
-        totals = df.groupBy(*keys).agg(F.count(value).alias("_total"))
-        hist = hist.join(totals, keys)
-    else:
-        hist = hist.withColumn("_total", df.agg(F.count(value)).scalar())
-    place = (F.col("_total") - 1) * F.lit(float(q))
+    place = (F.col("total_n") - 1) * F.lit(float(q))
     low, high = F.floor(place), F.ceil(place)
     holds = lambda rank: (F.col("below_n") <= rank) & (rank < F.col("below_n") + F.col("n"))
     share = place - low

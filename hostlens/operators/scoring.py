@@ -13,7 +13,6 @@ from hostlens.config import Settings
 from hostlens.functions import scalars as X
 from hostlens.functions.dims import feature_index, feature_names, names_for, phrase, salience
 from hostlens.operators import baseline as B
-from hostlens.operators.skew import attach_per_key
 
 
 # --- fusion ----------------------------------------------------------------------
@@ -149,7 +148,7 @@ def score_windows(
     key = ["host_id", "comm"]
     named = windows.withColumn("comm", F.col("last_comm"))
     fitted = baselines.drop("window_seconds", "sequence_length")
-    based = attach_per_key(named, fitted, key, "n_windows", [*entity, order], settings)
+    based = B.attach_stats(named, fitted, key, [*entity, order], settings)
     available = F.col("norm_min").isNotNull()
     x = based.withColumn("x", F.when(available, B.normalized()).otherwise(F.col("features")))
 

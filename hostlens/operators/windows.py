@@ -86,10 +86,11 @@ class Snapshots:
             "tick", F.explode(F.sequence("_own", F.col("_own") + back))
         )
         return (
-            spread.join(self.latest, self.keys)
+            attach_per_key(spread, self.latest, self.keys, "tick_rows", ROW_ID, st)
+            # null where the process was idle in that tick
             .where(F.col("ts_ns").between(F.col("latest_ns") - st.window_ns, F.col("latest_ns")))
             .withColumn("win_start", F.col("latest_ns") - st.window_ns)
-            .drop("_own", "latest_ns")
+            .drop("_own", "latest_ns", "tick_rows")
         )
 
 
@@ -101,7 +102,7 @@ def tick_of(settings: Settings):
 def snapshots(events: DataFrame, entity: list[str], settings: Settings) -> Snapshots:
     latest = (
         events.groupBy(*entity, tick_of(settings).alias("tick"))
-        .agg(F.max("ts_ns").alias("latest_ns"))
+        .agg(F.max("ts_ns").alias("latest_ns"), F.count("*").alias("tick_rows"))
     )
     return Snapshots(latest, entity, settings)
 

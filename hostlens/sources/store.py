@@ -99,11 +99,15 @@ def with_event_date(df: DataFrame, boot_seconds: Column | int = 0) -> DataFrame:
     return df.withColumn("event_date", F.timestamp_seconds(seconds).cast("date"))
 
 
-def write_events(telemetry: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events, laid out by day and family, sorted for lookups by process."""
+def write_events(telemetry: DataFrame, path: str, mode: str = "append", files_per_partition: int = 64) -> None:
+    """Append events, laid out by day and family, sorted for lookups by process.
+
+    The rows of a partition are spread by hash over a number of files, so a day
+    of one family, or of one process, is never written by a single task.
+    """
     (
         with_event_date(to_envelope(telemetry))
-        .repartition("event_date", "event_type", F.pmod(F.xxhash64("host_id", "pid", "ts_ns"), F.lit(64)))
+        .repartition("event_date", "event_type", F.pmod(F.xxhash64("host_id", "pid", "ts_ns"), F.lit(files_per_partition)))
         .sortWithinPartitions("event_date", "event_type", "host_id", "pid", "ts_ns")
         .write.mode(mode)
         .partitionBy("event_date", "event_type")
@@ -298,7 +302,7 @@ def expired_rules(rules: DataFrame, now: Column) -> DataFrame:
 
 def save_rules(rules: DataFrame, path: str) -> None:
     """Replace the rule file: one JSON object per line."""
-    rules_to_json(rules).coalesce(1).write.mode("overwrite").text(path)
+    rules_to_json(rules).write.mode("overwrite").text(path)
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -143,7 +143,7 @@ def names(spark, sf_dir):
 
 @query(
     "F34_saturation",
-    "SELECT event_id, round(least(value / 2.0, 1.0), 8) AS half, 0.0 AS no_cap FROM events",
+    "SELECT event_id, round(least(value / 2.0, 1.0), 8) AS half, CAST(0.0 AS DOUBLE) AS no_cap FROM events",
 )
 def saturation(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

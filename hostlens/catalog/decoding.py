@@ -185,10 +185,10 @@ def p23(spark, sf_dir):
 # --- scalar functions -------------------------------------------------------------------
 
 
-@query("X01_c_string", "SELECT doc_id, trim(string_split(substr(text, 1, 40) || chr(10), chr(46))[1], chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS head FROM documents")
+@query("X01_c_string", "SELECT doc_id, trim(string_split(text || chr(10), chr(46))[1], chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS head FROM documents")
 def x01(spark, sf_dir):
     """Text with a NUL in place of each full stop, as raw bytes."""
-    raw = F.replace(F.concat(F.substring("text", 1, 40), F.lit("\n")), F.lit("."), F.lit("\u0000")).cast("binary")
+    raw = F.replace(F.concat(F.col("text"), F.lit("\n")), F.lit("."), F.lit("\u0000")).cast("binary")
     return table(spark, sf_dir, "documents").select("doc_id", X.c_string(raw).alias("head"))
 
 

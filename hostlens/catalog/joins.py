@@ -103,7 +103,7 @@ def _against_mean(spark, sf_dir):
     v = process_vectors(spark, sf_dir)
     mean = (
         v.select(F.posexplode("features").alias("idx", "v")).groupBy("idx").agg(F.avg("v").alias("m"))
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "m"))).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("idx", "m"))).alias("s"))
     )
     return v.withColumn("norm_mean", mean.select("s.m").scalar())
 
@@ -132,8 +132,8 @@ def t08(spark, sf_dir):
 @query("T09_top_features", sql("--MORE" + RANKED + "SELECT host_id, pid, k, rank, round(contribution, 4) AS contribution FROM ranked WHERE rank <= 5", "p_dense"))
 def t09(spark, sf_dir):
     v = _against_mean(spark, sf_dir)
-    ranked = scoring.ranked_contributions(F.col("features"), F.col("norm_mean"))
-    top = v.withColumn("r", ranked).select(*PROC, "k", F.posexplode(scoring.top_features(F.col("features"), F.col("r"))).alias("p", "f"))
+    ranked = scoring.top_ranked(F.col("w"), C.TOP_FEATURES)
+    top = v.withColumn("w", scoring.contributions(F.col("features"), F.col("norm_mean"))).withColumn("r", ranked).select(*PROC, "k", F.posexplode(scoring.top_features(F.col("features"), F.col("r"))).alias("p", "f"))
     return top.select(*PROC, "k", (F.col("p") + 1).alias("rank"), F.col("f.contribution").alias("contribution"))
 
 

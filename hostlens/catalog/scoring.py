@@ -160,8 +160,9 @@ def c10(spark, sf_dir):
     v = scoring_vectors(spark, sf_dir).withColumn("comm", F.col("last_comm"))
     means = live_baselines(spark, sf_dir).select("host_id", "comm", "n_windows", "norm_mean")
     based = B.attach_stats(v, means, ["host_id", "comm"], KEY, ST).where("norm_mean IS NOT NULL")
-    ranked = F.slice(SC.ranked_contributions(F.col("features"), F.col("norm_mean")), 1, C.TOP_FEATURES)
-    return based.select(*KEY, F.posexplode(ranked).alias("p", "r")).select(
+    weighed = based.withColumn("w", SC.contributions(F.col("features"), F.col("norm_mean")))
+    ranked = SC.top_ranked(F.col("w"), C.TOP_FEATURES)
+    return weighed.select(*KEY, F.posexplode(ranked).alias("p", "r")).select(
         *KEY, (F.col("p") + 1).alias("rank"), F.round(-F.col("r.neg"), 6).alias("contribution")
     )
 

@@ -46,7 +46,7 @@ def pack_normalizer(stats: DataFrame, key: list[str]) -> DataFrame:
     training part, which is what the window detector reconstructs.
     """
     names = ["min", "max", "mean", "std"] + (["train_mean"] if "train_mean" in stats.columns else [])
-    packed = F.array_sort(F.collect_list(F.struct("idx", *names)))
+    packed = F.sort_array(F.collect_list(F.struct("idx", *names)))
     wide = stats.groupBy(*key).agg(F.max("n").alias("n_windows"), packed.alias("_s")).select(
         *key, "n_windows", *[F.col(f"_s.{n}").alias(f"norm_{n}") for n in names]
     )
@@ -156,7 +156,7 @@ def fit_ar1(windows: DataFrame, key: list[str], order: str, value: str = "x") ->
         .groupBy(*key, "idx")
         .agg(F.coalesce(F.regr_slope("p.b", "p.a"), F.lit(1.0)).alias("slope"))
     )
-    packed = F.array_sort(F.collect_list(F.struct("idx", "slope")))
+    packed = F.sort_array(F.collect_list(F.struct("idx", "slope")))
     return slopes.groupBy(*key).agg(packed.alias("_s")).select(*key, F.col("_s.slope").alias("slopes"))
 
 

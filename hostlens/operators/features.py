@@ -187,7 +187,7 @@ def token_block(counts: DataFrame, keys: list[str]) -> DataFrame:
     n_of = lambda k: F.coalesce(F.sum(F.when(kind(k), F.col("n"))), F.lit(0))
     distinct = lambda k: F.sum(F.when(kind(k), 1).otherwise(0))
     entry = F.struct(F.col("num"), F.col("n"))
-    entries = lambda k: F.array_sort(F.collect_list(F.when(kind(k), entry)))
+    entries = lambda k: F.sort_array(F.collect_list(F.when(kind(k), entry)))
     chars = n_of(K_CHAR)
     n_log_n = F.sum(F.when(kind(K_CHAR), F.col("n") * F.log2(F.col("n").cast("double"))))
     return counts.groupBy(*keys).agg(

@@ -49,23 +49,32 @@ def is_anomalous(score: Column, threshold: float = 70.0) -> Column:
 
 # --- explanation ------------------------------------------------------------------
 
-def ranked_contributions(features: Column, base: Column) -> Column:
-    """Positive contributions of a vector, largest first, ties in vector order:
-    array of (neg, idx), ``neg`` being the negated contribution.
+def contributions(features: Column, base: Column) -> Column:
+    """Salience-weighted distance of each feature from the baseline mean; a
+    missing mean counts as 0."""
+    weight = F.array(*[F.lit(salience(n)) for n in feature_names()])
+    deviation = F.zip_with(features, base, lambda v, b: F.abs(v - F.coalesce(b, F.lit(0.0))))
+    return F.zip_with(deviation, weight, lambda d, w: d * w)
+
+
+def ranked_contributions(weighed: Column) -> Column:
+    """Positive contributions, largest first, ties in vector order: array of
+    (neg, idx), ``neg`` being the negated contribution.
 
     A contribution of zero can neither be explained nor listed.
     """
-    weight = F.array(*[F.lit(salience(n)) for n in feature_names()])
-    deviation = F.zip_with(features, base, lambda v, b: F.abs(v - F.coalesce(b, F.lit(0.0))))
-    weighed = F.zip_with(deviation, weight, lambda d, w: d * w)
     rows = F.transform(weighed, lambda c, i: F.struct((-c).alias("neg"), i.alias("idx")))
-    return F.array_sort(F.filter(rows, lambda r: r["neg"] < 0))
+    return F.sort_array(F.filter(rows, lambda r: r["neg"] < 0))
+
+
+def top_ranked(weighed: Column, k: int) -> Column:
+    return F.slice(ranked_contributions(weighed), 1, k)
 
 
 def contribution_rows(vectors: DataFrame, keys: list[str], dim: DataFrame) -> DataFrame:
     """Every contribution of every vector as a row with its rank, for whoever
     wants to query them; verdicts use ``ranked_contributions``."""
-    ranked = ranked_contributions(F.col("features"), F.col("norm_mean"))
+    ranked = ranked_contributions(contributions(F.col("features"), F.col("norm_mean")))
     return (
         vectors.select(*keys, "features", F.posexplode(ranked).alias("_at", "_c"))
         .select(
@@ -91,22 +100,26 @@ def top_features(features: Column, ranked: Column, k: int = C.TOP_FEATURES) -> C
     )
 
 
-def explanation(spark: SparkSession, process: Column, features: Column, ranked: Column, k: int = C.TOP_PHRASES) -> Column:
-    """One sentence naming the top contributions."""
+def clauses(spark: SparkSession, features: Column, ranked: Column, k: int = C.TOP_PHRASES) -> Column:
+    """``phrase (name=0.00)`` for each notable contribution, at most k."""
     syscalls = names_for(spark)
     names = F.array(*[F.lit(n) for n in feature_names()])
     phrases = F.array(*[F.lit(phrase(n, syscalls)) for n in feature_names()])
     notable = F.slice(F.filter(ranked, lambda r: -r["neg"] >= C.MIN_CONTRIBUTION), 1, k)
-    clauses = F.transform(
+    return F.transform(
         notable,
         lambda r: F.concat(
             F.get(phrases, r["idx"]), F.lit(" ("), F.get(names, r["idx"]), F.lit("="),
             X.fixed_text(F.get(features, r["idx"]), 2), F.lit(")"),
         ),
     )
-    size = F.size(clauses)
-    head = F.array_join(F.slice(clauses, F.lit(1), F.greatest(size - 1, F.lit(0))), ", ")
-    last = F.try_element_at(clauses, F.lit(-1))
+
+
+def sentence(process: Column, parts: Column) -> Column:
+    """One sentence out of the clauses."""
+    size = F.size(parts)
+    head = F.array_join(F.slice(parts, F.lit(1), F.greatest(size - 1, F.lit(0))), ", ")
+    last = F.try_element_at(parts, F.lit(-1))
     body = (
         F.when(size == 1, last)
         .when(size == 2, F.concat(head, F.lit(" and "), last))
@@ -164,14 +177,16 @@ def score_windows(
     sequence_score = 100.0 * B.calibrated("sequence_error", "sequence_error_mean", "sequence_error_std")
     ws, ww = weights(F.lit(True), F.lit(True), settings)
     safe = available & F.col("is_safe")
-    ranked = ranked_contributions(F.col("features"), F.coalesce("norm_mean", F.array().cast("array<double>")))
     return (
         scored.withColumn("window_error", F.when(available, B.window_error()))
         .withColumn("vae_score", F.when(available, window_score).otherwise(0.0))
         .withColumn("lstm_score", F.when(available, sequence_score))
         .withColumn("fused_score", fuse(F.col("vae_score"), F.col("lstm_score"), ws, ww))
         .withColumn("final_score", F.when(safe | ~available, 0.0).otherwise(F.col("fused_score")))
-        .withColumn("ranked", F.when(available, ranked))
+        # each of these is used more than once by the next one
+        .withColumn("weighed", F.when(available, contributions(F.col("features"), F.col("norm_mean"))))
+        .withColumn("ranked", top_ranked(F.col("weighed"), max(C.TOP_FEATURES, C.TOP_PHRASES)))
+        .withColumn("clauses", clauses(spark, F.col("features"), F.col("ranked")))
         .select(
             *entity,
             order,
@@ -193,7 +208,7 @@ def score_windows(
                 safe,
                 F.concat(F.lit("PID "), F.col("pid").cast("string"), F.lit(" is on the known-safe list; alert suppressed.")),
             )
-            .otherwise(explanation(spark, F.col("last_comm"), F.col("features"), F.col("ranked")))
+            .otherwise(sentence(F.col("last_comm"), F.col("clauses")))
             .alias("explanation"),
             F.coalesce(top_features(F.col("features"), F.col("ranked")), F.array().cast("array<struct<name:string,value:double,contribution:double>>")).alias("top_features"),
         )

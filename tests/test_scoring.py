@@ -18,10 +18,9 @@ EXPLAIN = [proc("bash", exe="/bin/bash", cmdline="bash"), file("/etc/shadow", "r
 
 def explained(spark, rows, name="evil"):
     v = FE.vectors(frame(spark, rows), Whole(PROC), PROC, ST).withColumn("base", F.array().cast("array<double>"))
-    ranked = v.withColumn("r", SC.ranked_contributions(F.col("features"), F.col("base")))
-    return ranked.select(
-        SC.explanation(spark, F.lit(name), F.col("features"), F.col("r")).alias("text"),
-        SC.top_features(F.col("features"), F.col("r")).alias("top"),
+    ranked = v.withColumn("w", SC.contributions(F.col("features"), F.col("base"))).withColumn("r", SC.top_ranked(F.col("w"), 5))
+    return ranked.withColumn("c", SC.clauses(spark, F.col("features"), F.col("r"))).select(
+        SC.sentence(F.lit(name), F.col("c")).alias("text"), SC.top_features(F.col("features"), F.col("r")).alias("top")
     ).first()
 
 

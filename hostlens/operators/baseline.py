@@ -57,15 +57,19 @@ def pack_normalizer(stats: DataFrame, key: list[str]) -> DataFrame:
 
 
 def minmax(x: Column, lo: Column, hi: Column) -> Column:
-    span = lambda i: F.when(hi[i] == lo[i], F.lit(1.0)).otherwise(hi[i] - lo[i])
-    return F.transform(
-        x, lambda v, i: F.least(F.greatest((v - lo[i]) / span(i), F.lit(0.0)), F.lit(1.0))
+    """(x - lo) / (hi - lo) into [0, 1]; a span of 0 counts as 1."""
+    span = F.zip_with(hi, lo, lambda h, l: F.when(h == l, F.lit(1.0)).otherwise(h - l))
+    above = F.zip_with(x, lo, lambda v, l: v - l)
+    return F.zip_with(
+        above, span, lambda d, s: F.least(F.greatest(d / s, F.lit(0.0)), F.lit(1.0))
     )
 
 
 def zscore(x: Column, mean: Column, std: Column) -> Column:
-    z = lambda v, i: F.least(F.greatest((v - mean[i]) / std[i], F.lit(-3.0)), F.lit(3.0))
-    return F.transform(x, lambda v, i: (z(v, i) + 3.0) / 6.0)
+    """Standard score cut at three deviations, moved into [0, 1]."""
+    off = F.zip_with(x, mean, lambda v, m: v - m)
+    cut = lambda z: F.least(F.greatest(z, F.lit(-3.0)), F.lit(3.0))
+    return F.zip_with(off, std, lambda d, s: (cut(d / s) + 3.0) / 6.0)
 
 
 def normalized(method: str = "minmax", value: str = "features") -> Column:

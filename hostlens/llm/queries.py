@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from hostlens.llm import quality_rules  # noqa: F401
+from hostlens.llm import quality_model, quality_rules  # noqa: F401
 from hostlens.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]

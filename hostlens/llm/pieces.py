@@ -105,7 +105,7 @@ class Rules:
         if self.trim_spaces:
             chunks, total = self._trimmed(chunks, total)
             if not chunks:
-                return "", np.zeros(1, np.int64)
+                return "", np.array([total])
         out, starts = [], []
         if self.dummy_prefix:
             out.append(" ")
@@ -136,6 +136,8 @@ class Rules:
             if chunk:
                 out.append((at, chunk))
                 after_space = chunk.endswith(" ")
+        if not out:
+            return [], 0
         spaces = f" {MARK}" if self.escape_spaces else " "
         while out and out[-1][1][-1] in spaces:
             total, chunk = out.pop()

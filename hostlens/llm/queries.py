@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from hostlens.llm import mixing, pieces, quality_model, quality_rules, simhash  # noqa: F401
+from hostlens.llm import language_model, mixing, pieces, quality_model, quality_rules, simhash  # noqa: F401
 from hostlens.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]

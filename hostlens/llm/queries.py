@@ -1,6 +1,8 @@
 """All queries of the subpackage."""
 
-from hostlens.llm import language_model, mixing, pieces, quality_model, quality_rules, simhash  # noqa: F401
+from hostlens.llm import (  # noqa: F401
+    language_model, metric_tree, mixing, pieces, quality_model, quality_rules, sharding, simhash,
+)
 from hostlens.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]

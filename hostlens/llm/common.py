@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostlens.sources.store import materialize
 
-#: texts of one Arrow batch; what a Python worker holds at once follows from it
-TEXTS_PER_BATCH = 1000
+#: of one Arrow batch; what a Python worker holds at once follows from it
+BATCH_BYTES = "16m"
+BATCH_SETTING, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: tables of at most so many rows are broadcast, larger ones are joined by a shuffle
 BROADCAST_ROWS = 50_000
 
@@ -29,11 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = TEXTS_PER_BATCH) -> None:
-    """Python workers get at most ``rows`` rows at once; a smaller setting stays."""
+def small_batches(df: DataFrame) -> None:
+    """Python workers get at most ``BATCH_BYTES`` at once, or one row, unless the
+    session sets a size of its own."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if conf.get(BATCH_SETTING) == DEFAULT_BATCH:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -166,7 +166,7 @@ def quantised(vector: Column, scale: int) -> Column:
 def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", p: Search = Search()) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``p.every``."""
     spark = vectors.sparkSession
-    small_batches(vectors, 4096)
+    small_batches(vectors)
     rows = materialize(
         vectors.select(col(vec_id).cast("long").alias("id"), quantised(col(vector), p.scale).alias("v"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())

@@ -314,7 +314,7 @@ def decode_column(ids: Column, model: bytes) -> Column:
 
 def encoded(docs: DataFrame, model: bytes, text: str = "text", end: bool = True) -> DataFrame:
     """``docs`` with ids, starts and ends; where a name is taken, underscores are added."""
-    small_batches(docs, 500)
+    small_batches(docs)
     ids, starts, ends, both = fresh(docs, "ids", "starts", "ends", "_pieces")
     found = docs.withColumn(both, encode_column(col(text), model, end))
     return found.select(

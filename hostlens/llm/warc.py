@@ -122,7 +122,7 @@ def records(pages: DataFrame, a: Archive) -> DataFrame:
 
 def write(pages: DataFrame, a: Archive) -> None:
     """Writes archive files and the index of what is in them."""
-    small_batches(pages, 500)
+    small_batches(pages)
 
     @F.pandas_udf("binary")
     def member(texts: pd.Series) -> pd.Series:
@@ -184,7 +184,7 @@ def index(spark: SparkSession, a: Archive) -> None:
                 )
 
     files = archive_files(spark, a)
-    small_batches(files, 8)
+    small_batches(files)
     lines = materialize(
         files.mapInArrow(walk, "url string, file string, offset long, length long")
         .select(capture_key(F.col("url")).alias("key"), "file", "offset", "length"),
@@ -245,7 +245,7 @@ def directory(spark: SparkSession, a: Archive) -> Directory:
 def lookup(keys: DataFrame, a: Archive) -> DataFrame:
     """(key, file, offset, length) of all captures of the distinct keys in column ``key``."""
     spark = keys.sparkSession
-    small_batches(keys, 2000)
+    small_batches(keys)
     sparse = directory(spark, a)
 
     @F.pandas_udf("array<long>")
@@ -277,7 +277,7 @@ def read(ranges: DataFrame, a: Archive) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, html) of records
     at (file, offset, length).  The payload of a whole record is held against its digest."""
     spark = ranges.sparkSession
-    small_batches(ranges, 500)
+    small_batches(ranges)
     ranges = materialize(ranges.select("file", "offset", "length"), "warc-ranges")
     per_file = ranges.groupBy(F.col("file").alias("f")).agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
     if ranges.limit(a.broadcast_ranges + 1).count() <= a.broadcast_ranges:

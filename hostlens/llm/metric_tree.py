@@ -16,8 +16,9 @@ are exact integers, so results and ties are exact.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without id.  Shorter vectors count as padded with zeros.  Of rows with one
-id the one with the smallest vector counts.  Components may be as large as 2^20
-after scaling; larger ones raise an error.  Equal vectors, however many, are
+id the one with the smallest vector counts.  Scores are computed in floating point
+while that is exact and in 64-bit integers beyond; if squared lengths exceed 2^62,
+scores are no longs and an error is raised.  Equal vectors, however many, are
 rows of pages like any other.  An empty table gives an empty result.
 """
 
@@ -34,7 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hostlens.llm.common import col, materialize, query, small_batches, table
 
-LARGEST = 1 << 20
+#: squared lengths up to the first bound are exact in floating point; scores up to the second are longs
+EXACT, LONG = 1 << 52, 1 << 62
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ class Tree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int, page: int):
-        lift = np.sqrt(np.maximum(0.0, largest - (vectors.astype(float) ** 2).sum(1)))
+        lift = np.sqrt(np.maximum(0.0, float(largest) - (vectors.astype(float) ** 2).sum(1)))
         self.points = np.column_stack((vectors.astype(float), lift))
         self.page = page
         self.largest = largest
@@ -90,7 +92,7 @@ class Tree:
                 self.last.append(placed)
             at += 1
         order = np.concatenate(order)
-        self.ids, self.vectors, self.points = ids[order], vectors[order].astype(float), self.points[order]
+        self.ids, self.vectors, self.points = ids[order], vectors[order], self.points[order]
         self.row_up = np.concatenate(row_up)
         self.center, self.radius, self.up = np.array(self.center), np.array(self.radius), np.array(self.up)
 
@@ -118,7 +120,7 @@ class Tree:
     def search(self, query_id: int, q: np.ndarray, k: int, margin: float) -> list[tuple[int, int]]:
         """The k best (score, id) of the tree, best first; the query's own id is left out."""
         point = np.append(q, 0.0)
-        norm = float(q @ q)
+        norm = float(q.astype(float) @ q.astype(float))
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
         reach = np.inf
         root = float(np.linalg.norm(self.center[0] - point))
@@ -173,16 +175,15 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         .groupBy("id").agg(F.min("v").alias("v")),
         "quantised",
     )
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    n, width, largest, top = rows.agg(
-        F.count("*"), F.max(F.size("v")), F.max(square), F.max(F.array_max(F.transform("v", F.abs)))
-    ).first()
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, width, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], empty)
-    if (top or 0) > LARGEST:
-        raise ValueError(f"a scaled component exceeds {LARGEST}")
-    width, largest = max(1, width), largest or 0
+    if largest > LONG:
+        raise ValueError("scores of these vectors exceed 64-bit integers")
+    width, largest = max(1, width), int(largest)
+    kind = np.dtype("f8") if largest <= EXACT else np.dtype("i8")
     pivots = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(p.pivots, max(1, n // 64))).collect()]
     centers = np.array([[*v, *[0] * (width - len(v))] for v in pivots], float)
     blocks, query_blocks = -(-n // p.block_rows), max(1, -(-n // p.every // p.query_rows))
@@ -217,7 +218,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
 
     def load(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        v = matrix(frame["v"]).astype("<i4")
+        v = matrix(frame["v"]).astype("<i8")
         return pd.DataFrame([(int(frame["block"].iloc[0]), frame["id"].to_numpy("<i8").tobytes(), v.tobytes())], columns=["block", "ids", "vs"])
 
     stored = materialize(numbered.groupBy("block").applyInPandas(load, "block int, ids binary, vs binary"), "vector-blocks")
@@ -232,6 +233,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         .repartition(min(blocks, 4096), "block").join(stored, "block")
     )
+    # roundings of a distance near zero are as large as the root of those of its square
     margin = 1e-6 * (1 + float(np.sqrt(4.0 * largest)))
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +242,9 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
             for r in part.to_pylist():
                 if loaded != r["block"]:
                     ids = np.frombuffer(r["ids"], "<i8")
-                    tree, loaded = Tree(ids, np.frombuffer(r["vs"], "<i4").reshape(-1, width), largest, p.page), r["block"]
+                    tree, loaded = Tree(ids, np.frombuffer(r["vs"], "<i8").reshape(-1, width).astype(kind), largest, p.page), r["block"]
                 out = []
-                for i, q in zip(np.frombuffer(r["query_ids"], "<i8").tolist(), np.frombuffer(r["query_vs"], "<i4").reshape(-1, width).astype(float)):
+                for i, q in zip(np.frombuffer(r["query_ids"], "<i8").tolist(), np.frombuffer(r["query_vs"], "<i8").reshape(-1, width).astype(kind)):
                     out += [(i, x, s) for s, x in tree.search(i, q, p.k, margin)]
                 if out:
                     a, b, c = zip(*out)

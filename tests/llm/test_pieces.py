@@ -75,12 +75,20 @@ def test_character_map(rule, dummy, trim):
         assert [len(raw[:a].decode(errors="replace")) for a in align] == list(offsets)
 
 
+def test_words_merged_together_agree_with_words_merged_alone():
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("abcdeéღ▁tionst😀") for _ in range(rnd.randint(1, 70))) for _ in range(2000)}
+    p = P.Pieces(P.read_model(PATH))
+    found = p.learn(words)
+    assert all((p.memory.get(w) or found[w]) == p._merged(w) for w in words)
+    assert all(len(w) <= 64 for w in p.memory)
+
+
 def test_memory_is_bounded(own):
-    memory = P.Memory(own._merged, most=10, longest=5)
-    for i in range(100):
-        assert memory[f"▁w{i}"] == own._merged(f"▁w{i}")
-        assert memory["▁longer" * 3] == own._merged("▁longer" * 3)
-    assert len(memory) <= 10
+    for i in range(30):
+        own.learn({f"▁w{i}x{k}" for k in range(20)}, most=100)
+        assert len(own.memory) <= 120
+        assert own.memory[f"▁w{i}x3"] == own._merged(f"▁w{i}x3")
 
 
 def test_other_models_are_refused():

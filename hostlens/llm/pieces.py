@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostlens.llm.common import col, fresh, query, small_batches, table
@@ -146,20 +146,78 @@ class Rules:
         return out, total
 
 
-class Memory(dict):
-    """Words and their pieces as (id, characters) pairs of int32 in bytes."""
-
-    def __init__(self, encode, most: int = 300_000, longest: int = 40):
-        super().__init__()
-        self.encode, self.most, self.longest = encode, most, longest
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = found
-        return found
+class Merges:
+    """All merges of a vocabulary as sorted pairs of symbols, for many words at once.
+
+    Symbols are ids of pieces, and numbers beyond them for single characters that
+    are only parts of pieces.
+    """
+
+    NONE = 1 << 30
+
+    def __init__(self, ids: dict[str, int], scores: dict[str, float]):
+        symbols = dict(ids)
+        for p in ids:
+            for c in p:
+                symbols.setdefault(c, len(ids) + 1000 + len(symbols))
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for p, i in symbols.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        levels = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        found = []
+        for p, score in scores.items():
+            for cut in range(1, len(p)):
+                left, right = symbols.get(p[:cut]), symbols.get(p[cut:])
+                if left is not None and right is not None:
+                    found.append((left << 32 | right, levels[score], ids[p]))
+        found.sort()
+        self.pairs, self.ranks, self.made = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol made) of pairs; rank ``NONE`` if they do not merge."""
+        if not len(self.pairs):
+            return np.full(len(left), self.NONE), np.zeros(len(left), np.int64)
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == pair, self.ranks[at], self.NONE), self.made[at]
+
+    def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, symbol, characters) after merging; ``word`` numbers the words in order.
+
+        Each round merges the best pair of every word, of equal ones the leftmost,
+        and looks up only the two pairs that are new.  Finished words leave.
+        """
+        size = np.ones(len(symbols), np.int64)
+        done = []
+        rank, made = self.look(symbols[:-1], symbols[1:])
+        rank, made = np.append(rank, self.NONE), np.append(made, 0)
+        rank[:-1][word[1:] != word[:-1]] = self.NONE
+        while len(symbols):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(symbols)), first)
+            alive = best >> 32 < self.NONE
+            at = best[alive] & 0xFFFFFFFF
+            symbols[at] = made[at]
+            size[at] += size[at + 1]
+            stays = np.repeat(alive, np.diff(np.append(first, len(symbols))))
+            if not alive.all():
+                done.append((word[~stays], symbols[~stays], size[~stays]))
+            # the pair after a merged one starts at its place now, and both sides are new
+            rank[at] = self.NONE
+            new = np.zeros(len(symbols) + 1, bool)
+            new[at] = True
+            stays[at + 1] = False
+            symbols, size, word, rank, made, new = (x[stays] for x in (symbols, size, word, rank, made, new[:-1]))
+            new[:-1] |= new[1:]
+            near = np.flatnonzero(new[:-1] & (word[1:] == word[:-1]))
+            rank[near], made[near] = self.look(symbols[near], symbols[near + 1])
+        if not done:
+            return word, symbols, size
+        word, symbols, size = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        return word[order], symbols[order], size[order]
 
 
 class Pieces:
@@ -200,8 +258,35 @@ class Pieces:
         if not fallback:
             raise ValueError("only models with byte fallback are supported")
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
-        self.words = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.memory = Memory(self._merged)
+        # nothing merges with a character that is in no piece
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.id))
+        words = f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")
+        self.words = re.compile("(?s).+" if crossing else words).findall
+        self.merges = Merges(self.id, self.score)
+        #: words and their pieces, as (id, characters) pairs of int32 in bytes
+        self.memory: dict[str, bytes] = {}
+
+    def learn(self, words: set[str], most: int = 200_000, longest: int = 64) -> dict[str, bytes]:
+        """Remembers words; words with rare characters, and very long ones, go one by
+        one, and the latter are only returned."""
+        if len(words - self.memory.keys()) + len(self.memory) > most:
+            self.memory.clear()
+        words = words - self.memory.keys()
+        rare = {w for w in words if len(w) > longest}
+        plain = list(words - rare)
+        codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols, lengths = self.merges.of_char[codes], np.array([len(w) for w in plain], np.int64)
+        number = np.repeat(np.arange(len(plain)), lengths)
+        odd = np.zeros(len(plain), bool)
+        odd[number[symbols < 0]] = True
+        odd[number[symbols >= len(self.surface)]] = True
+        usual = ~odd[number]
+        word, symbols, size = self.merges.merge(symbols[usual], number[usual])
+        raw = np.column_stack((symbols, size)).astype(np.int32).tobytes()
+        edge = np.searchsorted(word, np.arange(len(plain) + 1)) * 8
+        for i, w in enumerate(plain):
+            self.memory[w] = self._merged(w) if odd[i] else raw[edge[i] : edge[i + 1]]
+        return {w: self._merged(w) for w in rare}
 
     def _merged(self, word: str) -> bytes:
         """Best-scoring neighbours are merged first, of equal ones the leftmost."""
@@ -265,13 +350,22 @@ class Pieces:
 
     def encode(self, text: str | None, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first byte and the end of what each covers in ``text``."""
-        normal, align = self.rules.apply(text or "")
-        both = np.frombuffer(b"".join(map(self.memory.__getitem__, self.words(normal))), np.int32).reshape(-1, 2)
-        ids, stops = both[:, 0], np.cumsum(both[:, 1])
-        starts, stops = align[stops - both[:, 1]], align[stops]
-        if end:
-            ids, starts, stops = np.append(ids, self.end), np.append(starts, align[-1]), np.append(stops, align[-1])
-        return ids.astype(np.int32), starts.astype(np.int64), stops.astype(np.int64)
+        return self.encode_all([text], end)[0]
+
+    def encode_all(self, texts: list[str | None], end: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of many texts, whose new words are merged together."""
+        normal = [self.rules.apply(t or "") for t in texts]
+        split = [self.words(n) for n, _ in normal]
+        rare, out = self.learn(set().union(*split)), []
+        find = self.memory.__getitem__ if not rare else lambda w: self.memory.get(w) or rare[w]
+        for words, (_, align) in zip(split, normal):
+            both = np.frombuffer(b"".join(map(find, words)), np.int32).reshape(-1, 2)
+            stops = np.cumsum(both[:, 1])
+            ids, starts, stops = both[:, 0], align[stops - both[:, 1]], align[stops]
+            if end:
+                ids, starts, stops = np.append(ids, self.end), np.append(starts, align[-1]), np.append(stops, align[-1])
+            out.append((ids, starts, stops))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that make no character become U+FFFD each."""
@@ -290,24 +384,33 @@ class Pieces:
         return raw.decode("utf-8", "each")
 
 
-def encode_column(text: Column, model: bytes, end: bool = True) -> Column:
-    """struct(ids, starts, ends) of a text column."""
+def encode_column(text: Column, model: bytes, end: bool = True, decoded: bool = False) -> Column:
+    """struct(ids, starts, ends) of a text column; with ``decoded`` also what the ids
+    decode to."""
 
-    @F.pandas_udf("ids array<int>, starts array<long>, ends array<long>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<ids:array<int>,starts:array<long>,ends:array<long>" + (",decoded:string>" if decoded else ">"))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(model)
         for texts in batches:
-            yield pd.DataFrame([pieces.encode(t, end) for t in texts], columns=["ids", "starts", "ends"])
+            found = pieces.encode_all(texts.to_pylist(), end)
+            edges = np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32)
+            fields = []
+            for i, kind in enumerate((np.int32, np.int64, np.int64)):
+                flat = np.concatenate([f[i] for f in found]) if found else np.zeros(0)
+                fields.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(kind))))
+            if decoded:
+                fields.append(pa.array([pieces.decode(f[0].tolist()) for f in found], pa.string()))
+            yield pa.StructArray.from_arrays(fields, ["ids", "starts", "ends", "decoded"][: len(fields)])
 
     return encode(text)
 
 
 def decode_column(ids: Column, model: bytes) -> Column:
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(model)
         for arrays in batches:
-            yield pd.Series([pieces.decode(a.tolist()) for a in arrays], dtype=object)
+            yield pa.array([pieces.decode(a or []) for a in arrays.to_pylist()], pa.string())
 
     return decode(ids)
 
@@ -325,12 +428,12 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", end: bool = True)
 
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = default_model()
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    decoded = docs.select("doc_id", "ids", decode_column(F.col("ids"), model).alias("decoded"))
-    return decoded.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    small_batches(docs)
+    both = docs.select("doc_id", encode_column(F.col("text"), default_model(), decoded=True).alias("p"))
+    return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("p.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("p.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("p.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

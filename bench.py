@@ -91,7 +91,7 @@ def main():
     alerts = materialize(alert_table(spark, sf_dir), "alerts")
     timed("alert_page", lambda: run_all(R.alert_page(alerts, limit=100, severity="CRITICAL")))
     timed("process_summaries", lambda: run_all(R.process_summaries(R.processes(t, ST), feed)))
-    timed("syscall_frequency", lambda: run_all(R.syscall_frequency(t, syscall_dim(spark), 9, 10 * 86_400)))
+    timed("syscall_frequency", lambda: run_all(R.syscall_frequency(t, syscall_dim(spark), 1, 9, 10 * 86_400)))
     timed("list_alerts", lambda: run_all(A.list_alerts(alerts, severity="HIGH", limit=100, offset=20)))
 
     print(json.dumps({

@@ -101,7 +101,7 @@ def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule lines in file order: three entries for each program name."""
-    t = tel(spark, sf_dir).where("host_id < 3")
+    t = tel(spark, sf_dir)
     return t.groupBy("comm", "host_id").agg(F.count("*").alias("n")).select(
         F.col("host_id").alias("position"),
         F.col("comm").alias("process_name"),
@@ -173,7 +173,7 @@ cte(
     "SELECT host_id AS position, comm AS process_name, 'seen ' || CAST(n AS VARCHAR) AS reason, "
     "CAST(n % 130 AS DOUBLE) AS max_score_suppress, CASE n % 3 WHEN 0 THEN TIMESTAMP '2024-01-15 00:00:00' "
     "WHEN 1 THEN TIMESTAMP '2024-02-15 00:00:00' END AS expires_at "
-    "FROM (SELECT comm, host_id, count(*) AS n FROM tel WHERE host_id < 3 GROUP BY 1, 2)",
+    "FROM (SELECT comm, host_id, count(*) AS n FROM tel GROUP BY 1, 2)",
     "tel",
 )
 cte(

@@ -46,11 +46,11 @@ def j02(spark, sf_dir):
     return D.succeeded(D.enter_exit(half_calls(spark, sf_dir, C.NETWORK), PROC, ["dst_ip"], ["ret"], ST))
 
 
-@query("J03_baseline_lookup", sql("SELECT event_id, f.host_id, b.n_windows, b.n_windows IS NOT NULL AS model_available FROM feed f LEFT JOIN (SELECT host_id, comm, CAST(count(*) AS BIGINT) AS n_windows FROM tel WHERE fam < 5 AND host_id < 3 GROUP BY 1, 2) b ON f.host_id = b.host_id AND f.process_name = b.comm", "feed"))
+@query("J03_baseline_lookup", sql("SELECT event_id, f.host_id, b.n_windows, b.n_windows IS NOT NULL AS model_available FROM feed f LEFT JOIN (SELECT host_id, comm, CAST(count(*) AS BIGINT) AS n_windows FROM tel WHERE comm <> 'sshd' GROUP BY 1, 2) b ON f.host_id = b.host_id AND f.process_name = b.comm", "feed"))
 def j03(spark, sf_dir):
     from hostlens.operators.skew import attach_per_key
 
-    known = tel(spark, sf_dir).where("fam < 5 AND host_id < 3").groupBy("host_id", "comm").agg(F.count("*").alias("n_windows"))
+    known = tel(spark, sf_dir).where("comm <> 'sshd'").groupBy("host_id", "comm").agg(F.count("*").alias("n_windows"))
     feed = verdict_feed(spark, sf_dir).withColumn("comm", F.col("process_name"))
     return attach_per_key(feed, known, ["host_id", "comm"], "n_windows", ["event_id"], ST).select(
         "event_id", "host_id", "n_windows", F.col("n_windows").isNotNull().alias("model_available")

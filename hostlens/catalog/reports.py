@@ -50,12 +50,12 @@ def r04(spark, sf_dir):
     return page.select("alert_id", "score", "total", "unacknowledged")
 
 
-@query("R05_syscall_frequency", sql(f"SELECT {NAME_SQL} AS syscall_name, CAST(count(*) AS BIGINT) AS n FROM tel LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1 AND pid = 9 AND ts_ns >= (SELECT max(ts_ns) FROM tel WHERE fam = 1 AND pid = 9) - {10 * DAY * NS} GROUP BY 1", "tel"))
+@query("R05_syscall_frequency", sql(f"SELECT {NAME_SQL} AS syscall_name, CAST(count(*) AS BIGINT) AS n FROM tel LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1 AND host_id = 1 AND pid = 9 AND ts_ns >= (SELECT max(ts_ns) FROM tel WHERE fam = 1 AND host_id = 1 AND pid = 9) - {10 * DAY * NS} GROUP BY 1", "tel"))
 def r05(spark, sf_dir):
-    return R.syscall_frequency(tel(spark, sf_dir), syscall_dim(spark), 9, 10 * DAY)
+    return R.syscall_frequency(tel(spark, sf_dir), syscall_dim(spark), 1, 9, 10 * DAY)
 
 
-@query("R06_top_syscalls", sql(f"SELECT {NAME_SQL} AS syscall_name, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM tel WHERE host_id = 3 AND pid = 7 ORDER BY ts_ns DESC, event_id DESC LIMIT 1000) LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1 GROUP BY 1 ORDER BY n DESC, syscall_name LIMIT 15", "tel"))
+@query("R06_top_syscalls", sql(f"SELECT {NAME_SQL} AS syscall_name, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM tel WHERE host_id = 3 AND pid = 7) LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1 GROUP BY 1 ORDER BY n DESC, syscall_name LIMIT 15", "tel"))
 def r06(spark, sf_dir):
     return R.top_syscalls(tel(spark, sf_dir), syscall_dim(spark), 3, 7)
 
@@ -65,7 +65,7 @@ def r07(spark, sf_dir):
     return R.family_breakdown(tel(spark, sf_dir))
 
 
-@query("R08_recent_files", sql("SELECT event_id, ts_ns, operation, path FROM (SELECT * FROM tel WHERE host_id = 3 AND pid = 7 ORDER BY ts_ns DESC, event_id DESC LIMIT 1000) WHERE fam = 3 ORDER BY ts_ns DESC, event_id DESC LIMIT 15", "tel"))
+@query("R08_recent_files", sql("SELECT event_id, ts_ns, operation, path FROM tel WHERE host_id = 3 AND pid = 7 AND fam = 3 ORDER BY ts_ns DESC, event_id DESC LIMIT 15", "tel"))
 def r08(spark, sf_dir):
     return R.recent_files(tel(spark, sf_dir), 3, 7)
 
@@ -90,7 +90,7 @@ def r12(spark, sf_dir):
     return R.score_matrix(summaries(spark, sf_dir))
 
 
-@query("R13_alerts_by_severity", sql("SELECT alert_id, severity, score FROM (SELECT * FROM alerts ORDER BY created_unix DESC, alert_id DESC LIMIT 100) WHERE severity = 'HIGH'", "alerts"))
+@query("R13_alerts_by_severity", sql("SELECT alert_id, severity, score FROM alerts WHERE severity = 'HIGH' ORDER BY created_unix DESC, alert_id DESC LIMIT 100", "alerts"))
 def r13(spark, sf_dir):
     return R.alerts_of_severity(alert_table(spark, sf_dir), "HIGH").select("alert_id", "severity", "score")
 

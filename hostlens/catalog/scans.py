@@ -132,16 +132,16 @@ def typed(spark, sf_dir):
 _FROM, _TO = T0 + 5 * DAY * NS, T0 + 25 * DAY * NS
 
 
-@query("S10_events_of_pid", sql(f"SELECT event_id, ts_ns, fam AS event_type, comm FROM tel WHERE pid = 7 AND ts_ns BETWEEN {_FROM} AND {_TO}", "tel"))
+@query("S10_events_of_pid", sql(f"SELECT event_id, ts_ns, fam AS event_type, comm FROM tel WHERE host_id = 3 AND pid = 7 AND ts_ns BETWEEN {_FROM} AND {_TO}", "tel"))
 def by_pid(spark, sf_dir):
     events = S.read_events(spark, event_store(spark, sf_dir))
-    return S.by_pid(events, 7, _FROM, _TO).select("event_id", "ts_ns", "event_type", "comm")
+    return S.by_pid(events, 3, 7, _FROM, _TO).select("event_id", "ts_ns", "event_type", "comm")
 
 
-@query("S11_events_of_process", sql(f"SELECT event_id, ts_ns, fam AS event_type, pid FROM tel WHERE comm = 'nginx' AND ts_ns BETWEEN {_FROM} AND {_TO} ORDER BY ts_ns, event_id LIMIT 500", "tel"))
+@query("S11_events_of_process", sql(f"SELECT event_id, ts_ns, fam AS event_type, pid FROM tel WHERE comm = 'nginx' AND ts_ns BETWEEN {_FROM} AND {_TO}", "tel"))
 def by_name(spark, sf_dir):
     events = S.read_events(spark, event_store(spark, sf_dir))
-    return S.by_process_name(events, "nginx", _FROM, _TO, 500).select("event_id", "ts_ns", "event_type", "pid")
+    return S.by_process_name(events, "nginx", _FROM, _TO).select("event_id", "ts_ns", "event_type", "pid")
 
 
 @query("S12_retention", sql(f"SELECT fam AS event_type, CAST(count(*) AS BIGINT) AS n, min(ts_ns) AS oldest FROM tel WHERE ts_ns >= {NOW - 10 * DAY * NS + 3600 * NS} GROUP BY 1", "tel"))

@@ -42,9 +42,9 @@ def w04(spark, sf_dir):
     return tel(spark, sf_dir).groupBy(*PROC).agg(F.count("*").alias("events"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
 
-@query("W05_one_window", sql("--MORE" + LATEST + "SELECT event_id, ts_ns, comm FROM tw WHERE pid = 11", "tel"))
+@query("W05_one_window", sql("--MORE" + LATEST + "SELECT event_id, ts_ns, comm FROM tw WHERE host_id = 3 AND pid = 11", "tel"))
 def w05(spark, sf_dir):
-    mine = tel(spark, sf_dir).where("pid = 11")
+    mine = tel(spark, sf_dir).where("host_id = 3 AND pid = 11")
     return Wd.trailing(mine, PROC, ST).select("event_id", "ts_ns", "comm")
 
 
@@ -146,9 +146,9 @@ def t02(spark, sf_dir):
     return A.list_alerts(alert_table(spark, sf_dir), limit=50, offset=100).select("alert_id", "created_unix")
 
 
-@query("T03_last_events", sql("SELECT event_id, ts_ns FROM tel WHERE pid = 9 ORDER BY ts_ns DESC, event_id DESC LIMIT 40", "tel"))
+@query("T03_last_events", sql("SELECT event_id, ts_ns FROM tel WHERE host_id = 1 AND pid = 9 ORDER BY ts_ns DESC, event_id DESC LIMIT 40", "tel"))
 def t03(spark, sf_dir):
-    return R.last_events(tel(spark, sf_dir).where("pid = 9"), 40).select("event_id", "ts_ns")
+    return R.last_events(tel(spark, sf_dir).where("host_id = 1 AND pid = 9"), 40).select("event_id", "ts_ns")
 
 
 @query("T04_top_processes", sql("--MORE" + SUMMARY + "SELECT host_id, pid, latest_score FROM summaries ORDER BY latest_score DESC, host_id, pid LIMIT 10", "feed"))
@@ -156,11 +156,11 @@ def t04(spark, sf_dir):
     return R.top_processes(summaries(spark, sf_dir)).select(*PROC, "latest_score")
 
 
-@query("T05_top_syscalls", sql(f"SELECT {NAME_SQL} AS syscall_name, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM tel WHERE host_id = 1 AND pid = 9 ORDER BY ts_ns DESC, event_id DESC LIMIT 1000) LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1 GROUP BY 1 ORDER BY n DESC, syscall_name LIMIT 15", "tel"))
+@query("T05_top_syscalls", sql(f"SELECT {NAME_SQL} AS syscall_name, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM tel WHERE host_id = 1 AND pid = 9) LEFT JOIN {_names_sql()} ON nr = syscall_nr WHERE fam = 1 GROUP BY 1 ORDER BY n DESC, syscall_name LIMIT 15", "tel"))
 def t05(spark, sf_dir):
     return R.top_syscalls(tel(spark, sf_dir), syscall_dim(spark), 1, 9)
 
 
-@query("T06_last_file_operations", sql("SELECT event_id, ts_ns, operation, path FROM (SELECT * FROM tel WHERE host_id = 1 AND pid = 9 ORDER BY ts_ns DESC, event_id DESC LIMIT 1000) WHERE fam = 3 ORDER BY ts_ns DESC, event_id DESC LIMIT 15", "tel"))
+@query("T06_last_file_operations", sql("SELECT event_id, ts_ns, operation, path FROM tel WHERE host_id = 1 AND pid = 9 AND fam = 3 ORDER BY ts_ns DESC, event_id DESC LIMIT 15", "tel"))
 def t06(spark, sf_dir):
     return R.recent_files(tel(spark, sf_dir), 1, 9)

@@ -61,14 +61,16 @@ def get_alert(alerts: DataFrame, alert_id: int) -> DataFrame:
     return alerts.where(F.col("alert_id") == alert_id)
 
 
-def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
-    """``acks(alert_id, note)``; a later note replaces an earlier one."""
-    notes = acks.select("alert_id", F.col("note").alias("_note"))
+def acknowledge(alerts: DataFrame, acks: DataFrame, order: str | None = None) -> DataFrame:
+    """``acks(alert_id, note)``: the last note by ``order`` counts (without it, the
+    largest); an acknowledgement without a note keeps the note there is."""
+    last = F.max_by(F.struct("note"), F.col(order)) if order else F.max(F.struct("note"))
+    notes = acks.groupBy("alert_id").agg(last.alias("_ack"))
     return (
         alerts.join(notes, "alert_id", "left")
-        .withColumn("acknowledged", F.col("acknowledged") | F.col("_note").isNotNull())
-        .withColumn("ack_note", F.coalesce("_note", "ack_note"))
-        .drop("_note")
+        .withColumn("acknowledged", F.col("acknowledged") | F.col("_ack").isNotNull())
+        .withColumn("ack_note", F.coalesce("_ack.note", "ack_note"))
+        .drop("_ack")
     )
 
 
@@ -83,7 +85,6 @@ def unacknowledged(alerts: DataFrame) -> DataFrame:
 
 # --- delivery -------------------------------------------------------------------------
 
-MAX_CHANNELS = 200
 CHANNEL_SCHEMA = "position int, type string, url string, enabled boolean, to_addrs array<string>"
 
 
@@ -142,37 +143,25 @@ def alert_json() -> Column:
 def outbox(alerts: DataFrame, channels: DataFrame) -> DataFrame:
     """One row per alert and channel: what to deliver, or why it cannot be.
 
-    Channels are configuration, a handful of rows; they become an array next to
-    each alert, so the alerts are neither shuffled nor joined.
+    All channels become one array inside the plan, which stands next to each
+    alert, so the alerts are neither shuffled nor joined.
     """
-    configured = [r.asDict() for r in channels.orderBy("position").take(MAX_CHANNELS + 1)]
-    if len(configured) > MAX_CHANNELS:
-        raise ValueError(f"more than {MAX_CHANNELS} alert channels configured")
-    entries = []
-    for c in configured:
-        kind = c["type"]
-        body, subject, problem = F.lit(""), F.lit(""), None
-        if kind == "webhook":
-            body = webhook_payload()
-            problem = None if c["url"] else "no webhook url configured"
-        elif kind == "syslog":
-            body = syslog_line()
-        elif kind == "email":
-            body, subject = mail_body(), mail_subject()
-            problem = None if c["to_addrs"] else "no recipients configured"
-        entries.append(
-            F.struct(
-                F.lit(c["position"]).alias("position"),
-                F.lit(kind).alias("channel"),
-                subject.alias("subject"),
-                body.alias("body"),
-                F.lit(problem is None).alias("deliverable"),
-                F.lit(problem or "").alias("detail"),
-            )
-        )
-    empty = "array<struct<position:int,channel:string,subject:string,body:string,deliverable:boolean,detail:string>>"
-    rows = F.array(*entries) if entries else F.array().cast(empty)
-    return alerts.select("alert_id", "host_id", F.inline(rows))
+    configured = channels.agg(
+        F.array_sort(F.collect_list(F.struct("position", "type", "url", F.col("to_addrs").isNotNull() & (F.size("to_addrs") > 0))))
+        .cast("array<struct<position:int,type:string,url:string,mails:boolean>>").alias("channels")
+    ).scalar()
+    kind, missing_url = F.col("_c.type"), F.coalesce(F.col("_c.url"), F.lit("")) == ""
+    problem = (
+        F.when((kind == "webhook") & missing_url, "no webhook url configured")
+        .when((kind == "email") & ~F.coalesce(F.col("_c.mails"), F.lit(False)), "no recipients configured")
+        .otherwise("")
+    )
+    body = F.when(kind == "webhook", webhook_payload()).when(kind == "syslog", syslog_line()).when(kind == "email", mail_body())
+    return alerts.withColumn("_c", F.explode(configured)).select(
+        "alert_id", "host_id", "_c.position", kind.alias("channel"),
+        F.when(kind == "email", mail_subject()).otherwise("").alias("subject"),
+        F.coalesce(body, F.lit("")).alias("body"), (problem == "").alias("deliverable"), problem.alias("detail"),
+    )
 
 
 def default_channels(spark: SparkSession) -> DataFrame:

@@ -79,9 +79,9 @@ def alert_page(alerts: DataFrame, limit: int = 100, offset: int = 0, **filters)
     )
 
 
-def syscall_frequency(events: DataFrame, dim: DataFrame, pid: int, seconds: int = 60) -> DataFrame:
+def syscall_frequency(events: DataFrame, dim: DataFrame, host_id: int, pid: int, seconds: int = 60) -> DataFrame:
     """Calls by name in the last seconds before the newest call of the process."""
-    mine = events.where((F.col("pid") == pid) & (F.col("fam") == C.SYSCALL))
+    mine = events.where((F.col("host_id") == host_id) & (F.col("pid") == pid) & (F.col("fam") == C.SYSCALL))
     newest = mine.agg(F.max("ts_ns")).scalar()
     recent = mine.where(F.col("ts_ns") >= newest - seconds * NS)
     return named_calls(recent, dim).groupBy("syscall_name").agg(F.count("*").alias("n"))
@@ -93,10 +93,9 @@ def named_calls(calls: DataFrame, dim: DataFrame) -> DataFrame:
     return with_syscall_names(calls, dim)
 
 
-def top_syscalls(events: DataFrame, dim: DataFrame, host_id: int, pid: int, limit: int = 1000, k: int = 15) -> DataFrame:
-    """Most frequent calls among the newest events of a process."""
-    mine = events.where((F.col("host_id") == host_id) & (F.col("pid") == pid))
-    calls = last_events(mine, limit).where(F.col("fam") == C.SYSCALL)
+def top_syscalls(events: DataFrame, dim: DataFrame, host_id: int, pid: int, k: int = 15) -> DataFrame:
+    """Most frequent calls of a process, over all events given."""
+    calls = events.where((F.col("host_id") == host_id) & (F.col("pid") == pid) & (F.col("fam") == C.SYSCALL))
     return (
         named_calls(calls, dim).groupBy("syscall_name").agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "syscall_name").limit(k)
@@ -109,10 +108,9 @@ def family_breakdown(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_files(events: DataFrame, host_id: int, pid: int, limit: int = 1000, k: int = 15) -> DataFrame:
-    """The last k file operations among the newest events of a process."""
-    mine = events.where((F.col("host_id") == host_id) & (F.col("pid") == pid))
-    files = last_events(mine, limit).where(F.col("fam") == C.FILE)
+def recent_files(events: DataFrame, host_id: int, pid: int, k: int = 15) -> DataFrame:
+    """The last k file operations of a process, over all events given."""
+    files = events.where((F.col("host_id") == host_id) & (F.col("pid") == pid) & (F.col("fam") == C.FILE))
     return last_events(files, k).select("event_id", "ts_ns", "operation", "path")
 
 
@@ -152,9 +150,8 @@ def max_severity(summaries: DataFrame) -> DataFrame:
 
 
 def alerts_of_severity(alerts: DataFrame, severity: str, newest: int = 100) -> DataFrame:
-    """Alerts of one severity among the newest ones: the page is cut first."""
-    page = A.list_alerts(alerts, limit=newest)
-    return page if severity == "ALL" else page.where(F.col("severity") == severity)
+    """The newest alerts of one severity."""
+    return A.list_alerts(alerts, severity=None if severity == "ALL" else severity, limit=newest)
 
 
 def recent_alerts(alerts: DataFrame, duration: str, now_unix: float, severity: str | None = None, limit: int = 200) -> DataFrame:

@@ -6,6 +6,7 @@ next to its readers first (``materialize``), never over its own input.
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 
@@ -19,10 +20,15 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared work folder of the session; a local one only where the
-    session names none, as in tests."""
+    """The shared work folder of the session.
+
+    A local one is made only where the session names none and all tasks run in
+    this process; on a cluster, folders of single machines would lose data.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="hostlens-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")
@@ -99,15 +105,16 @@ def with_event_date(df: DataFrame, boot_seconds: Column | int = 0) -> DataFrame:
     return df.withColumn("event_date", F.timestamp_seconds(seconds).cast("date"))
 
 
-def write_events(telemetry: DataFrame, path: str, mode: str = "append", files_per_partition: int = 64) -> None:
+def write_events(telemetry: DataFrame, path: str, mode: str = "append") -> None:
     """Append events, laid out by day and family, sorted for lookups by process.
 
-    The rows of a partition are spread by hash over a number of files, so a day
-    of one family, or of one process, is never written by a single task.
+    Rows are rebalanced by day and family: adaptive execution splits what is
+    large and joins what is small by measured bytes, so the number of files
+    follows the volume and no day is left to a single task.
     """
     (
         with_event_date(to_envelope(telemetry))
-        .repartition("event_date", "event_type", F.pmod(F.xxhash64("host_id", "pid", "ts_ns"), F.lit(files_per_partition)))
+        .hint("rebalance", "event_date", "event_type")
         .sortWithinPartitions("event_date", "event_type", "host_id", "pid", "ts_ns")
         .write.mode(mode)
         .partitionBy("event_date", "event_type")
@@ -125,18 +132,32 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENVELOPE_SCHEMA).parquet(path)
 
 
-def by_pid(events: DataFrame, pid: int, from_ts: int = 0, to_ts: int = LONG_MAX) -> DataFrame:
-    return events.where((F.col("pid") == pid) & F.col("ts_ns").between(from_ts, to_ts)).orderBy(
-        "ts_ns", "event_id"
-    )
+def between(events: DataFrame, from_ts: int, to_ts: int, boot_seconds: int = 0) -> DataFrame:
+    """Events of a time range; in a stored table days out of range are not read.
+
+    ``boot_seconds`` is what ``with_event_date`` was given.
+    """
+    kept = events.where(F.col("ts_ns").between(from_ts, to_ts))
+    if "event_date" not in events.columns:
+        return kept
+    day = lambda ts: F.lit(datetime.date(1970, 1, 1) + datetime.timedelta(seconds=ts // NS + boot_seconds))
+    last = (datetime.date.max - datetime.date(1970, 1, 1)).days * 86_400 - boot_seconds
+    if from_ts > 0:
+        kept = kept.where(F.col("event_date") >= day(from_ts))
+    return kept.where(F.col("event_date") <= day(to_ts)) if to_ts // NS < last and to_ts < LONG_MAX else kept
 
 
-def by_process_name(events: DataFrame, name: str, from_ts: int = 0, to_ts: int = LONG_MAX, limit: int = 10_000) -> DataFrame:
-    return (
-        events.where((F.col("comm") == name) & F.col("ts_ns").between(from_ts, to_ts))
-        .orderBy("ts_ns", "event_id")
-        .limit(limit)
-    )
+def by_pid(events: DataFrame, host_id: int, pid: int, from_ts: int = 0, to_ts: int = LONG_MAX) -> DataFrame:
+    """Events of one process: a pid names a process only on its host."""
+    mine = between(events, from_ts, to_ts).where((F.col("host_id") == host_id) & (F.col("pid") == pid))
+    return mine.orderBy("ts_ns", "event_id")
+
+
+def by_process_name(
+    events: DataFrame, name: str, from_ts: int = 0, to_ts: int = LONG_MAX, limit: int | None = None
+) -> DataFrame:
+    found = between(events, from_ts, to_ts).where(F.col("comm") == name).orderBy("ts_ns", "event_id")
+    return found if limit is None else found.limit(limit)
 
 
 def retention_cutoff(now_ns: int, settings: Settings) -> int:
@@ -144,11 +165,11 @@ def retention_cutoff(now_ns: int, settings: Settings) -> int:
 
 
 def retained(events: DataFrame, now_ns: int, settings: Settings) -> DataFrame:
-    return events.where(F.col("ts_ns") >= retention_cutoff(now_ns, settings))
+    return between(events, retention_cutoff(now_ns, settings), LONG_MAX)
 
 
 def expired_count(events: DataFrame, now_ns: int, settings: Settings) -> DataFrame:
-    return events.where(F.col("ts_ns") < retention_cutoff(now_ns, settings)).agg(
+    return between(events, -LONG_MAX, retention_cutoff(now_ns, settings) - 1).agg(
         F.count("*").alias("deleted")
     )
 
@@ -181,12 +202,9 @@ def apply_retention(spark: SparkSession, path: str, now_ns: int, settings: Setti
             .partitionBy("event_date", "event_type")
             .parquet(path)
         )
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in parts:
         if not p["new"]:
-            folder = hadoop(f"{path}/event_date={p['event_date']}/event_type={p['event_type']}")
-            folder.getFileSystem(conf).delete(folder, True)
+            delete_folder(spark, f"{path}/event_date={p['event_date']}/event_type={p['event_type']}")
     return sum(p["old"] for p in parts)
 
 
@@ -278,9 +296,18 @@ def last_rule_per_process(rules: DataFrame, position: str) -> DataFrame:
     )
 
 
-def upsert_rule(rules: DataFrame, added: DataFrame) -> DataFrame:
-    """Add or replace rules; a ceiling outside 0..100 is not accepted."""
+def upsert_rule(rules: DataFrame, added: DataFrame, position: str | None = None) -> DataFrame:
+    """Add or replace rules; a ceiling outside 0..100 is not accepted.
+
+    Of several additions for a process the last by ``position`` counts; without
+    positions, the largest row.
+    """
     ok = added.where(F.col("max_score_suppress").between(0, 100))
+    if position:
+        ok = last_rule_per_process(ok, position)
+    else:
+        rest = [c for c in ok.columns if c != "process_name"]
+        ok = ok.groupBy("process_name").agg(F.max(F.struct(*rest)).alias("_r")).select("process_name", "_r.*")
     return rules.join(ok.select("process_name"), "process_name", "left_anti").unionByName(ok)
 
 
@@ -306,31 +333,95 @@ def save_rules(rules: DataFrame, path: str) -> None:
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a file; without a file there are no rules."""
+    """Rules of a file, of each process the last one; without a file there are none.
+
+    Lines are in order of file name and place, files being read whole or in
+    splits that follow each other.
+    """
     try:
         lines = spark.read.text(path)
     except AnalysisException:
         return spark.createDataFrame([], RULE_SCHEMA)
-    return rules_from_json(lines).where("valid").drop("valid")
+    place = F.struct(F.input_file_name(), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    found = rules_from_json(lines.select("value", place.alias("_place"))).where("valid").drop("valid")
+    return last_rule_per_process(found, "_place")
 
 
 # --- baselines -----------------------------------------------------------------------------
 
-def save_baselines(baselines: DataFrame, path: str) -> None:
-    """Write baselines; only the processes in ``baselines`` are replaced."""
+BASELINE_BUCKETS = 64
+
+
+def _baseline_place(df: DataFrame) -> DataFrame:
+    """Folders by host and a hash of the program, so many programs make few folders."""
+    return df.withColumn("host", F.col("host_id")).withColumn(
+        "bucket", F.pmod(F.xxhash64("comm"), F.lit(BASELINE_BUCKETS)).cast("int")
+    )
+
+
+def _replace_baselines(kept: DataFrame, path: str) -> None:
+    """Rewrite the folders that ``kept`` has rows in."""
     (
-        baselines.withColumn("process_name", F.col("comm"))
-        .withColumn("saved_at", F.current_timestamp())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("process_name")
-        .parquet(path)
+        materialize(kept, "baselines").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("host", "bucket").parquet(path)
     )
 
 
-def load_baselines(spark: SparkSession, path: str, process: str | None = None) -> DataFrame:
+def save_baselines(baselines: DataFrame, path: str) -> None:
+    """Write baselines; only those of the same host and program are replaced."""
+    spark = baselines.sparkSession
+    new = _baseline_place(baselines).withColumn("saved_at", F.current_timestamp())
+    if exists(spark, path):
+        old = spark.read.parquet(path).withColumn("host", F.col("host_id"))
+        touched = old.join(new.select("host", "bucket").distinct(), ["host", "bucket"], "left_semi")
+        rest = touched.join(new.select("host_id", "comm"), ["host_id", "comm"], "left_anti")
+        new = rest.unionByName(new, allowMissingColumns=True)
+    _replace_baselines(new, path)
+
+
+def load_baselines(spark: SparkSession, path: str, process: str | None = None, host_id: int | None = None) -> DataFrame:
+    table = spark.read.parquet(path)
+    if process is not None:
+        bucket = F.pmod(F.xxhash64(F.lit(process)), F.lit(BASELINE_BUCKETS)).cast("int")
+        table = table.where((F.col("bucket") == bucket) & (F.col("comm") == process))
+    if host_id is not None:
+        table = table.where((F.col("host") == host_id) & (F.col("host_id") == host_id))
+    return table.drop("host", "bucket")
+
+
+def remove_baseline(spark: SparkSession, path: str, process: str, host_id: int) -> bool:
+    """Delete one baseline from the stored table; false if there was none."""
     table = spark.read.parquet(path)
-    return table if process is None else table.where(F.col("process_name") == process)
+    bucket = F.pmod(F.xxhash64(F.lit(process)), F.lit(BASELINE_BUCKETS)).cast("int")
+    folder = table.where((F.col("host") == host_id) & (F.col("bucket") == bucket))
+    mine = (F.col("comm") == process) & (F.col("host_id") == host_id)
+    if folder.where(mine).isEmpty():
+        return False
+    number = folder.select("bucket").first()[0]
+    rest = folder.where(~mine).withColumn("host", F.col("host_id"))
+    if rest.isEmpty():
+        delete_folder(spark, f"{path}/host={host_id}/bucket={number}")
+    else:
+        _replace_baselines(rest, path)
+    return True
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+# --- processes exempted from scoring --------------------------------------------------------
+
+def save_safe_pids(pids: DataFrame, path: str) -> None:
+    """Replace the stored list of (host_id, pid)."""
+    materialize(pids.select("host_id", "pid").distinct(), "safe-pids").write.mode("overwrite").parquet(path)
+
+
+def load_safe_pids(spark: SparkSession, path: str) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], "host_id bigint, pid bigint")
+    return spark.read.parquet(path)
 
 
 def list_baselines(baselines: DataFrame) -> DataFrame:

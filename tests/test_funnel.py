@@ -118,6 +118,27 @@ def test_alert_table(spark):
     assert [r["alert_id"] for r in A.acknowledged_ids(made, acks).collect()] == [1]
 
 
+def test_repeated_acks_and_rules(spark, tmp_path):
+    made = spark.createDataFrame([(1, False, "old"), (2, False, "old"), (3, False, "old")], "alert_id bigint, acknowledged boolean, ack_note string")
+    acks = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, None, 1)], "alert_id bigint, note string, n int")
+    rows = sorted(map(tuple, A.acknowledge(made, acks, "n").collect()))
+    assert rows == [(1, True, "a"), (2, True, "old"), (3, False, "old")]
+    assert A.acknowledge(made, acks).count() == 3
+    two = rules(spark, ("a", 70, None), ("a", 80, None))
+    assert S.upsert_rule(two.limit(0), two.withColumn("n", F.col("max_score_suppress").cast("int")), "n").first()["max_score_suppress"] == 80
+    lines = [f'{{"process_name":"p{i % 2}","reason":"r{i}"}}' for i in range(6)]
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    assert {(r["process_name"], r["reason"]) for r in S.load_rules(spark, path).collect()} == {("p0", "r4"), ("p1", "r5")}
+
+
+def test_many_channels(spark):
+    made = spark.createDataFrame([(1, 0, "p", 4, 91.0, "HIGH", "x", 5)], "alert_id bigint, host_id bigint, process_name string, pid bigint, score double, severity string, explanation string, timestamp_ns bigint")
+    config = spark.createDataFrame([(i, "webhook", f"http://h/{i}", None, None) for i in range(300)], A.CHANNEL_SCHEMA)
+    out = A.outbox(made, config)
+    assert out.count() == 300 and out.where("deliverable").count() == 300
+
+
 def test_outbox(spark):
     made = A.build_alerts(verdicts(spark, [(0, "a", 92.25, 1)]), F.col("event_id"))
     config = spark.createDataFrame(

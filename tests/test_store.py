@@ -33,11 +33,14 @@ def test_event_table(spark, tmp_path):
     S.write_events(events.where("event_id >= 20"), path)
     table = S.read_events(spark, path)
     assert table.count() == 40
-    mine = S.by_pid(table, 1, 4 * DAY, 10 * DAY)
+    mine = S.by_pid(table, 0, 1, 4 * DAY, 10 * DAY)
     assert [r["event_id"] for r in mine.collect()] == [4, 7]
     assert [r["event_id"] for r in S.by_process_name(table, "app", limit=3).collect()] == [0, 1, 2]
     plan = mine._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(pid), IsNotNull(ts_ns), EqualTo(pid,1), GreaterThanOrEqual(ts_ns" in plan
+    assert "PushedFilters: [IsNotNull(" in plan
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert S.by_pid(table, 1, 1).isEmpty()  # the same pid on another host
+    assert S.between(table, 3 * DAY + 5, 3 * DAY + 5).count() == 1 and S.between(table, 0, S.LONG_MAX).count() == 40
 
     now = 39 * DAY + 6
     assert S.expired_count(table, now, ST).first()["deleted"] == 10
@@ -86,6 +89,42 @@ def test_baseline_table_replaces_one_process(spark, tmp_path):
     assert S.baseline_exists(table, "a") and not S.baseline_exists(table, "zzz")
     assert S.delete_baseline(table, "a").count() == 1
     assert S.load_baselines(spark, path, "b").count() == 1
+    # the same program on another host is another baseline
+    S.save_baselines(spark.createDataFrame([(1, "a", 5.0, 7, 1, 30, 20), (None, "a", 6.0, 7, 1, 30, 20)], cols), path)
+    S.save_baselines(spark.createDataFrame([(1, "a", 5.5, 7, 1, 30, 20)], cols), path)
+    rows = {(r["host_id"], r["comm"], r["threshold"]) for r in S.load_baselines(spark, path).collect()}
+    assert rows == {(0, "a", 9.0), (0, "b", 2.0), (1, "a", 5.5), (None, "a", 6.0)}
+    assert S.load_baselines(spark, path, "a", 1).first()["threshold"] == 5.5
+    assert S.remove_baseline(spark, path, "a", 1) and not S.remove_baseline(spark, path, "a", 1)
+    assert {(r["host_id"], r["comm"]) for r in S.load_baselines(spark, path).collect()} == {(0, "a"), (0, "b"), (None, "a")}
+
+
+def test_safe_pids_are_kept(spark, tmp_path):
+    path = str(tmp_path / "safe")
+    assert S.load_safe_pids(spark, path).isEmpty()
+    S.save_safe_pids(spark.createDataFrame([(0, 1), (0, 1), (1, 1)], "host_id bigint, pid bigint"), path)
+    S.save_safe_pids(S.load_safe_pids(spark, path).where("host_id = 1"), path)
+    assert [tuple(r) for r in S.load_safe_pids(spark, path).collect()] == [(1, 1)]
+
+
+def test_work_folder_is_shared_on_a_cluster():
+    import pytest
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        S.work_root(Session())
 
 
 def test_raw_decoding(spark):

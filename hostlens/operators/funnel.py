@@ -2,20 +2,20 @@
 
 The first two steps look at one verdict and are plain expressions.  The other
 two depend on which alerts of the host were sent before, so the verdicts of a
-host have to be walked in time order.  The walk is cut into time chunks that
-run in parallel: what a chunk must know of the past are only the alerts sent
-in the last few minutes before it, a handful of rows.  Chunks start from an
-assumed past and are repeated with the past their predecessor has produced,
-until no past changes any more; the result then equals one long walk.
+host are walked in time order.  Nothing is remembered longer than the longer of
+the two horizons, so a host's verdicts fall into stretches, separated by at least
+one empty cell of that length, that know nothing of each other and are walked in
+parallel, each once.  A walk streams over sorted narrow rows and holds only what
+can still matter, however long its stretch is.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostlens.config import NS, Settings
 from hostlens.sources.store import materialize, rule_is_active
@@ -45,116 +45,98 @@ def first_steps(settings: Settings) -> Column:
     )
 
 
-class Walk:
-    """State of one walk: who was alerted when, and the recent send times."""
+class Quota:
+    """What one host has sent that still matters, at a moment that only moves on.
 
-    def __init__(self, settings: Settings):
-        self.dedup = settings.dedup_seconds * NS
-        self.rate = settings.rate_window_seconds * NS
+    ``quiet`` says until when a process is a duplicate; ``slots`` until when each
+    alert counts towards the limit of the host.
+    """
+
+    def __init__(self, settings: Settings, quiet: dict[str, int] | None = None, slots: Iterable[int] = ()):
+        self.dedup_ns = settings.dedup_seconds * NS
+        self.rate_ns = settings.rate_window_seconds * NS
         self.limit = settings.max_alerts_per_window
-        self.last: dict[str, int] = {}
-        self.recent: deque[int] = deque()
-
-    def sent(self, process: str, ts: int) -> None:
-        self.last[process] = ts
-        self.recent.append(ts)
-        if len(self.last) > 4096:
-            self.last = {p: t for p, t in self.last.items() if ts - t < self.dedup}
-
-    def step(self, process: str, ts: int) -> str:
-        before = self.last.get(process)
-        if before is not None and ts - before < self.dedup:
+        self.quiet = dict(quiet or {})
+        self.ends = deque(sorted((end, process) for process, end in self.quiet.items()))
+        self.slots = deque(slots)
+
+    def advance(self, ts: int) -> None:
+        """Forget what ends before ``ts``."""
+        while self.ends and self.ends[0][0] <= ts:
+            end, process = self.ends.popleft()
+            if self.quiet.get(process) == end:
+                del self.quiet[process]
+        while self.slots and self.slots[0] < ts:
+            self.slots.popleft()
+
+    def decide(self, process: str, ts: int) -> str:
+        self.advance(ts)
+        if process in self.quiet:
             return "deduped"
-        while self.recent and self.recent[0] < ts - self.rate:
-            self.recent.popleft()
-        if len(self.recent) >= self.limit:
+        if len(self.slots) >= self.limit:
             return "rate_limited"
-        self.sent(process, ts)
+        if self.dedup_ns > 0:
+            self.quiet[process] = ts + self.dedup_ns
+            self.ends.append((ts + self.dedup_ns, process))
+        self.slots.append(ts + self.rate_ns)
         return "sent"
 
 
+ORDER = ["timestamp_ns", "process_name", "pid"]
+
+
 def _walker(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, walk = None, Walk(settings)
+        at, quota = None, Quota(settings)
         for batch in batches:
+            stretches = zip(batch["host_id"].astype("Int64"), batch["_stretch"])
             outcomes = []
-            for host, chunk, known, ts, process in zip(
-                batch["host_id"], batch["_chunk"], batch["_known"], batch["timestamp_ns"],
-                batch["process_name"],
-            ):
-                if at != (host, chunk):
-                    at, walk = (host, chunk), Walk(settings)
-                if known:
-                    walk.sent(process, ts)
-                    outcomes.append("known")
-                else:
-                    outcomes.append(walk.step(process, ts))
-            batch["outcome"] = outcomes
-            yield batch[batch["outcome"] != "known"].drop(columns="_known")
+            for (host, stretch), ts, process in zip(stretches, batch["timestamp_ns"], batch["process_name"]):
+                here = (None if pd.isna(host) else host, stretch)
+                if at != here:
+                    at, quota = here, Quota(settings)
+                outcomes.append(quota.decide(process, ts))
+            yield batch.assign(outcome=outcomes)
 
     return run
 
 
+def stretches(survivors: DataFrame, settings: Settings) -> DataFrame:
+    """Adds ``_stretch``, a number per host that grows where nothing lies in a whole
+    cell of the longer horizon.  Only occupied cells are put in order per host."""
+    cell = max(settings.dedup_seconds, settings.rate_window_seconds) * NS + 1
+    placed = survivors.withColumn("_cell", F.expr(f"timestamp_ns div {cell}L"))
+    occupied = Window.partitionBy("_host").orderBy("_at")
+    gap = F.col("_at") - F.lag("_at").over(occupied) > 1
+    cells = (
+        placed.select(F.col("host_id").alias("_host"), F.col("_cell").alias("_at")).distinct()
+        .withColumn("_new", F.coalesce(gap, F.lit(False)).cast("long"))
+        .withColumn("_stretch", F.sum("_new").over(occupied)).drop("_new")
+    )
+    same = F.col("host_id").eqNullSafe(F.col("_host")) & F.col("_cell").eqNullSafe(F.col("_at"))
+    return placed.join(cells, same).drop("_host", "_at", "_cell")
+
+
 def walk(survivors: DataFrame, row_key: list[str], settings: Settings) -> DataFrame:
     """Outcome ``sent``, ``deduped`` or ``rate_limited`` of each survivor.
 
-    Verdicts of a host are taken in order of time, process name and pid.
+    Verdicts of a host are taken in order of time, process name and pid.  Each
+    row is moved to the walk of its stretch once; ``survivors`` is read twice.
     """
-    horizon = max(settings.dedup_seconds, settings.rate_window_seconds) * NS
-    # a chunk spans several horizons, so only its predecessor can matter to it
-    size = 8 * horizon
-    order = ["timestamp_ns", "process_name", "pid"]
-    narrow = list(dict.fromkeys(["host_id", *order, *row_key]))
-    base = materialize(
-        survivors.select(*narrow, F.expr(f"timestamp_ns div {size}L").alias("_chunk")), "funnel-input"
-    )
-    fresh = base.withColumn("_known", F.lit(False))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", outcome string"
-
-    def one_round(past: DataFrame | None) -> DataFrame:
-        rows = fresh
-        if past is not None:
-            rows = rows.unionByName(
-                past.withColumn("_chunk", F.col("_chunk") + 1).withColumn("_known", F.lit(True))
-                # a chunk without rows of its own needs no past
-                .join(base.select("host_id", "_chunk").distinct(), ["host_id", "_chunk"], "left_semi")
-                .select(*fresh.columns)
-            )
-        placed = rows.repartition("host_id", "_chunk").sortWithinPartitions(
-            "host_id", "_chunk", F.desc("_known"), *order
-        )
-        return materialize(placed.mapInPandas(_walker(settings), schema), "funnel-round")
-
-    def tails(done: DataFrame) -> DataFrame:
-        end = (F.col("_chunk") + 1) * size
-        return done.where(
-            (F.col("outcome") == "sent") & (F.col("timestamp_ns") >= end - horizon)
-        ).drop("outcome")
-
-    done = one_round(None)
-    past = tails(done)
-    while not past.isEmpty():
-        done = one_round(past)
-        now = tails(done)
-        marks = ["host_id", "_chunk", "timestamp_ns", "process_name", "pid"]
-        a, b = now.select(*marks), past.select(*marks)
-        if a.exceptAll(b).unionAll(b.exceptAll(a)).isEmpty():
-            break
-        past = now
-    return done.drop("_chunk")
+    narrow = survivors.select(*dict.fromkeys(["host_id", *ORDER, *row_key]))
+    rows = stretches(narrow, settings)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", outcome string"
+    placed = rows.repartition("host_id", "_stretch").sortWithinPartitions("host_id", "_stretch", *ORDER)
+    return placed.mapInPandas(_walker(settings), schema).drop("_stretch")
 
 
 def run_funnel(verdicts: DataFrame, rules: DataFrame, now: Column, row_key: list[str], settings: Settings) -> DataFrame:
     """All verdicts with their ``outcome``: below_threshold, suppressed,
     deduped, rate_limited or sent."""
-    staged = suppressed_by_rule(verdicts, rules, now).withColumn("outcome", first_steps(settings))
-    walked = walk(staged.where(F.col("outcome").isNull()), row_key, settings)
-    later = walked.select(*row_key, F.col("outcome").alias("_later"))
-    return (
-        staged.join(later, row_key, "left")
-        .withColumn("outcome", F.coalesce("outcome", "_later"))
-        .drop("_later", "is_suppressed")
-    )
+    staged = suppressed_by_rule(verdicts, rules, now).withColumn("outcome", first_steps(settings)).drop("is_suppressed")
+    survivors = materialize(staged.where(F.col("outcome").isNull()).drop("outcome"), "funnel-survivors")
+    walked = walk(survivors, row_key, settings).select(*row_key, "outcome")
+    return staged.where(F.col("outcome").isNotNull()).unionByName(survivors.join(walked, row_key))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ largest one seen, so replays give the same result as live runs.
 
 from __future__ import annotations
 
+import json
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
@@ -201,37 +202,67 @@ FUNNEL_OUT = "host_id bigint, process_name string, pid bigint, timestamp_ns bigi
 
 
 class FunnelState(StatefulProcessor):
-    """Deduplication and rate limit of one host: the last alert per process and
-    the recent send times, both forgotten once they cannot matter any more."""
+    """Deduplication and rate limit of one host.
+
+    Time of a host only moves on: a verdict older than the newest one of an
+    earlier batch comes too late and gets the outcome ``late``.  ``quiet`` is read
+    for the processes of a batch only; ``ends`` lists processes by the period in
+    which their silence ends, so that those that are over are found without
+    reading the rest.
+    """
 
     def __init__(self, settings: Settings):
         self.settings = settings
+        self.period = max(1, settings.dedup_seconds) * NS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "process_name string", "ts_ns bigint")
-        self.recent = handle.getListState("recent", "ts_ns bigint")
+        self.quiet = handle.getMapState("quiet", "process_name string", "until_ns bigint")
+        self.ends = handle.getMapState("ends", "period bigint", "names string")
+        self.slots = handle.getListState("slots", "until_ns bigint")
+        self.newest = handle.getValueState("newest", "ts_ns bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from hostlens.operators.funnel import Walk
-
-        walk = Walk(self.settings)
-        for k, v in (self.last.iterator() if self.last.exists() else []):
-            walk.last[k[0]] = v[0]
-        walk.recent.extend(r[0] for r in (self.recent.get() if self.recent.exists() else []))
-        before = dict(walk.last)
-        pdf = pd.concat(list(rows)).sort_values(["timestamp_ns", "process_name", "pid"])
-        pdf["outcome"] = [
-            walk.step(p, int(t)) for p, t in zip(pdf["process_name"], pdf["timestamp_ns"])
-        ]
-        horizon = int(pdf["timestamp_ns"].iloc[-1]) - self.settings.dedup_seconds * NS
-        for process, ts in walk.last.items():
-            if before.get(process) != ts:
-                self.last.updateValue((process,), (ts,))
-        for process, ts in walk.last.items():
-            if ts <= horizon:
-                self.last.removeKey((process,))
-        self.recent.put([(t,) for t in walk.recent])
-        yield pdf[["host_id", "process_name", "pid", "timestamp_ns", "outcome"]]
+        from hostlens.operators.funnel import ORDER, Quota
+
+        pdf = pd.concat(list(rows)).sort_values(ORDER)
+        known = {}
+        for process in pdf["process_name"].unique():
+            if self.quiet.containsKey((process,)):
+                known[process] = self.quiet.getValue((process,))[0]
+        quota = Quota(self.settings, known, (r[0] for r in (self.slots.get() if self.slots.exists() else [])))
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        outcomes, changed = [], {}
+        for process, ts in zip(pdf["process_name"], pdf["timestamp_ns"].astype(int)):
+            if newest is not None and ts < newest:
+                outcomes.append("late")
+                continue
+            outcomes.append(quota.decide(process, ts))
+            if outcomes[-1] == "sent":
+                changed[process] = ts + self.settings.dedup_seconds * NS
+        now = max(int(pdf["timestamp_ns"].max()), newest or 0)
+        self.newest.update((now,))
+        self.slots.put([(t,) for t in quota.slots])
+        self._remember(changed)
+        self._forget(now)
+        yield pdf.assign(outcome=outcomes)[["host_id", "process_name", "pid", "timestamp_ns", "outcome"]]
+
+    def _remember(self, changed: dict[str, int]) -> None:
+        by_period: dict[int, list[str]] = {}
+        for process, until in changed.items():
+            self.quiet.updateValue((process,), (until,))
+            by_period.setdefault(until // self.period, []).append(process)
+        for period, names in by_period.items():
+            old = json.loads(self.ends.getValue((period,))[0]) if self.ends.containsKey((period,)) else []
+            self.ends.updateValue((period,), (json.dumps(sorted({*old, *names})),))
+
+    def _forget(self, now: int) -> None:
+        # alerts are sent before now, so at most two periods are still open
+        over = [k[0] for k in (self.ends.keys() if self.ends.exists() else []) if (k[0] + 1) * self.period <= now]
+        for period in over:
+            for process in json.loads(self.ends.getValue((period,))[0]):
+                if self.quiet.containsKey((process,)) and self.quiet.getValue((process,))[0] <= now:
+                    self.quiet.removeKey((process,))
+            self.ends.removeKey((period,))
 
     def close(self) -> None:
         pass
@@ -239,7 +270,8 @@ class FunnelState(StatefulProcessor):
 
 def funnel_stream(survivors: DataFrame, settings: Settings) -> DataFrame:
     """Outcome of every verdict that passed threshold and suppression; verdicts
-    must arrive in time order per host, as the score trigger produces them."""
+    arrive in time order per host, as the score trigger produces them, or are
+    called late."""
     return (
         survivors.select("host_id", "process_name", "pid", "timestamp_ns")
         .groupBy("host_id")

@@ -77,6 +77,25 @@ def test_parallel_walk_equals_one_walk(spark, seed):
     assert outcomes(spark, rows, settings=st) == brute(rows, st)
 
 
+def test_a_process_that_never_pauses_is_walked_once(spark, monkeypatch):
+    """Over 1000 horizons without a gap, survivors are written once."""
+    st = ST.with_(dedup_seconds=5, rate_window_seconds=10, max_alerts_per_window=1)
+    rows = [(0, "loud", 95, i * 3) for i in range(3400)] + [(1, "calm", 95, i * 400) for i in range(30)]
+    written = []
+    monkeypatch.setattr(FN, "materialize", lambda df, label: written.append(label) or S.materialize(df, label))
+    assert outcomes(spark, rows, settings=st) == brute(rows, st)
+    assert written == ["funnel-survivors"]
+    marked = FN.stretches(verdicts(spark, rows), st).groupBy("host_id").agg(F.countDistinct("_stretch").alias("n"))
+    assert {r["host_id"]: r["n"] for r in marked.collect()} == {0: 1, 1: 30}
+
+
+def test_quota_forgets_by_time():
+    quota = FN.Quota(ST.with_(dedup_seconds=5, rate_window_seconds=10, max_alerts_per_window=1000))
+    for i in range(10_000):
+        quota.decide(f"p{i}", i * NS)
+        assert len(quota.quiet) == len(quota.ends) <= 6 and len(quota.slots) <= 11
+
+
 def test_counters_and_metrics(spark):
     from hostlens.plans.reports import metric_lines
 

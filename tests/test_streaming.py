@@ -61,6 +61,17 @@ def test_funnel_stream_equals_batch(spark, tmp_path):
     assert streamed == batch and set(batch.values()) == {"sent", "deduped", "rate_limited"}
 
 
+def test_late_verdicts_are_named(spark, tmp_path):
+    L.use_rocksdb(spark)
+    rows = [(i, 0, p, 1, 90.0, t * NS) for i, (p, t) in enumerate([("a", 1), ("b", 100), ("a", 50), ("b", 101), ("a", 102), ("a", 103)])]
+    df = spark.createDataFrame(rows, "event_id bigint, host_id bigint, process_name string, pid bigint, final_score double, timestamp_ns bigint")
+    st = ST.with_(dedup_seconds=20, rate_window_seconds=60, max_alerts_per_window=3)
+    for path, check, out in feed(spark, tmp_path, ["event_id < 2", "event_id >= 2"], df):
+        run(L.funnel_stream(L.event_stream(spark, path, df.schema), st), out, check)
+    got = {r["timestamp_ns"] // NS: r["outcome"] for r in spark.read.parquet(out).collect()}
+    assert got == {1: "sent", 100: "sent", 50: "late", 101: "deduped", 102: "sent", 103: "deduped"}
+
+
 def test_pairs_over_batches(spark, tmp_path):
     L.use_rocksdb(spark)
     kinds = ["enter", "exit", "exit", "enter", "enter", "exit"]

@@ -11,7 +11,8 @@ whole copies for certain, and one more with the inclusion probability p that is
 left.  Documents of a source are ranked by the odds of a random number u divided
 by the odds of p (Pareto order sampling), and taken in that order as long as the
 words that are due last; the sample has a fixed size in words.  What the next
-document overshoots is filled by documents that fit, in the same order.
+document overshoots is filled by documents that fit, in the same order, and one
+document more is taken if that brings the source nearer to its target.
 
 Random numbers are hashes of doc_id and seed, so reruns agree.  The order of a
 source is summed in bins, not in one task: only the bin in which the words run
@@ -142,14 +143,17 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
                 F.lit(None).cast("array<struct<due:double,cut:double>>").alias("steps")),
         "mix-plan",
     )
-    for _ in range(mix.fills + 1):
+
+    def untaken(most: Column) -> DataFrame:
         state = sources.select("source", F.struct("plan", "due", "steps").alias("state"))
-        open_rows = attach(rows, state, "source", "state").select(
+        found = attach(rows, state, "source", "state").select(
             "source", "size", place(F.col("doc_id"), F.col("state.plan"), mix).alias("place"), F.col("state.due").alias("due"),
             F.coalesce(F.col("state.steps"), F.array()).alias("steps"),
-        ).where(F.col("place").isNotNull() & (F.col("size") > 0) & (F.col("size") <= F.col("due")))
-        open_rows = open_rows.where(~_taken(F.col("size"), F.col("place"), F.col("steps"))).drop("steps")
-        cuts = _cut(open_rows, mix)
+        ).where(F.col("place").isNotNull() & (F.col("size") > 0) & most)
+        return found.where(~_taken(F.col("size"), F.col("place"), F.col("steps"))).drop("steps")
+
+    for _ in range(mix.fills + 1):
+        cuts = _cut(untaken(F.col("size") <= F.col("due")), mix)
         step = F.struct("due", F.coalesce("step.cut", F.lit(-1.0)).alias("cut"))
         sources = materialize(
             attach(sources, cuts, "source", "step").select(
@@ -158,7 +162,11 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
             ),
             "mix-plan",
         )
-    return sources.select("source", F.struct("plan.*", "steps").alias("plan"))
+    nearest = F.struct(F.abs(F.col("size") - F.col("due")).alias("gap"), "place", "size")
+    last = materialize(
+        untaken(F.col("size") < 2 * F.col("due")).groupBy("source").agg(F.min(nearest).alias("last")), "mix-last"
+    )
+    return attach(sources, last, "source", "last").select("source", F.struct("plan.*", "steps", "last").alias("plan"))
 
 
 def place(doc_id: Column, plan: Column, mix: Mix) -> Column:
@@ -170,7 +178,10 @@ def place(doc_id: Column, plan: Column, mix: Mix) -> Column:
 
 
 def copies(doc_id: Column, size: Column, plan: Column, mix: Mix) -> Column:
-    more = (size > 0) & F.coalesce(_taken(size, place(doc_id, plan, mix), plan["steps"]), F.lit(False))
+    at, last = place(doc_id, plan, mix), plan["last"]
+    more = F.coalesce(_taken(size, at, plan["steps"]), F.lit(False)) | F.coalesce(
+        (size == last["size"]) & (at == last["place"]), F.lit(False)
+    )
     return F.when(size > 0, plan["certain"] + more.cast("long")).otherwise(F.lit(0).cast("long"))
 
 
@@ -222,9 +233,16 @@ summed{k} AS (
 placed{k + 1} AS MATERIALIZED (
     SELECT * EXCLUDE (candidate, running) REPLACE (taken OR (candidate AND running <= due) AS taken,
         due - coalesce(max(CASE WHEN candidate AND running <= due THEN running END) OVER (PARTITION BY source), 0) AS due) FROM summed{k})""")
+    end = mix.fills + 1
+    parts.append(f"""
+gaps AS (
+    SELECT *, NOT taken AND place IS NOT NULL AND size > 0 AND size < 2 * due AS candidate FROM placed{end}),
+ended AS (
+    SELECT * REPLACE (taken OR (candidate AND rank() OVER (
+        PARTITION BY source, candidate ORDER BY abs(size - due), place, size) = 1) AS taken) FROM gaps)""")
     return ",".join(parts) + f"""
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (certain + CASE WHEN taken THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
-FROM placed{mix.fills + 1}"""
+FROM ended"""
 
 
 SQL = _sql(Mix())

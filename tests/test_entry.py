@@ -38,3 +38,23 @@ def test_every_query_has_sql_and_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.count() > 0 and "final_score" in df.columns
+
+
+def test_entry_without_the_training_data_part():
+    """With the subpackage away, everything else is registered as before."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+class Away:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("hostlens.llm"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Away())
+import __spark_entry__ as e
+assert "C14_verdicts" in e.queries() and not [q for q in e.queries() if q.startswith("op") or q == "pipeline"]
+assert set(e.oracle_sql()) <= set(e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent, timeout=120)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hostlens.sources.store import materialize
 
 #: of one Arrow batch; what a Python worker holds at once follows from it
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 BATCH_SETTING, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: tables of at most so many rows are broadcast, larger ones are joined by a shuffle
 BROADCAST_ROWS = 50_000

@@ -266,7 +266,7 @@ class Pieces:
         #: words and their pieces, as (id, characters) pairs of int32 in bytes
         self.memory: dict[str, bytes] = {}
 
-    def learn(self, words: set[str], most: int = 200_000, longest: int = 64) -> dict[str, bytes]:
+    def learn(self, words: set[str], most: int = 120_000, longest: int = 64) -> dict[str, bytes]:
         """Remembers words; words with rare characters, and very long ones, go one by
         one, and the latter are only returned."""
         if len(words - self.memory.keys()) + len(self.memory) > most:

@@ -63,9 +63,8 @@ class Archive:
         return f"{self.path}/blocks"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hex digits make four letters."""
-    digits = F.sha1(payload)
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: five of them make four letters."""
     number = lambda i: F.conv(F.substring(digits, F.lit(5) * i + 1, F.lit(5)), 16, 10).cast("int")
     letter = lambda n, shift: F.substring(F.lit(ALPHABET), F.shiftright(n, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(
@@ -99,13 +98,13 @@ def records(pages: DataFrame, a: Archive) -> DataFrame:
     """(record) texts, ending in the blank line that ends a record."""
     rows = pages.select(
         col("page_id").alias("page_id"), clean_url(col("url")).alias("url"), F.coalesce(col("html"), F.lit("")).alias("html")
-    ).withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
+    ).withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     leaders = materialize(
-        rows.where(F.col("size") >= a.min_bytes).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
-        .where(F.col("n") > 1).select("digest", "leader"),
+        rows.where(F.col("size") >= a.min_bytes).groupBy("sha1").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
+        .where(F.col("n") > 1).select("sha1", "leader"),
         "warc-leaders",
     )
-    rows = attach(rows, leaders, "digest", "leader")
+    rows = attach(rows, leaders, "sha1", "leader").withColumn("digest", base32(F.col("sha1")))
     revisit = F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
     http = _lines("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.col("size").cast("string"), "\r\n\r\n")
     name = lambda c: _lines("<urn:page:", F.coalesce(c.cast("string"), F.lit("")), ">")
@@ -273,38 +272,43 @@ def lookup(keys: DataFrame, a: Archive) -> DataFrame:
     return blocks.join(wanted, "block").select(F.explode(search("lines", "keys")).alias("hit")).select("hit.*")
 
 
-def read(ranges: DataFrame, a: Archive) -> DataFrame:
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def read(ranges: DataFrame, a: Archive, payload: bool = True) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, html) of records
-    at (file, offset, length).  The payload of a whole record is held against its digest."""
+    at (file, offset, length); html only with ``payload``.  The payload of a whole
+    record is held against its digest."""
     spark = ranges.sparkSession
-    small_batches(ranges)
     ranges = materialize(ranges.select("file", "offset", "length"), "warc-ranges")
+    small_batches(ranges)
     per_file = ranges.groupBy(F.col("file").alias("f")).agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
     if ranges.limit(a.broadcast_ranges + 1).count() <= a.broadcast_ranges:
         per_file = F.broadcast(per_file)
-    slices = archive_files(spark, a).join(per_file, F.col("file") == F.col("f")).select(F.explode(F.transform(
-        "ranges", lambda r: F.substring(F.col("content"), (r["offset"] + 1).cast("int"), r["length"].cast("int"))
-    )).alias("slice"))
-    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-
-    @F.pandas_udf(kind)
-    def parse(parts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for packed in parts:
-            head, block = headers(next(members(packed))[2])
-            http, _, rest = block[: int(head["Content-Length"])].partition(b"\r\n\r\n")
-            size = int(http.rpartition(b"Content-Length: ")[2])
-            digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-            number = lambda name: int(head[name][10:-1]) if head.get(name, "<urn:page:>") != "<urn:page:>" else None
-            whole = head["WARC-Type"] == "response"
-            if whole and (len(rest) != size or base64.b32encode(hashlib.sha1(rest).digest()).decode() != digest):
-                raise RuntimeError(f"record {head['WARC-Record-ID']} does not hold its payload")
-            rows.append((number("WARC-Record-ID"), size, digest, head["WARC-Type"], number("WARC-Refers-To"),
-                         rest.decode("utf-8", "surrogatepass") if whole else None))
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
-        return frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
-
-    return slices.select(parse("slice").alias("r")).select("r.*")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * payload]
+    names = [c.split()[0] for c in READ.split(", ")] + ["html"] * payload
+
+    def parse(packed: bytes) -> tuple:
+        head, block = headers(next(members(packed))[2])
+        http, _, rest = block[: int(head["Content-Length"])].partition(b"\r\n\r\n")
+        size, digest = int(http.rpartition(b"Content-Length: ")[2]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+        page, other = (head.get(k, "<urn:page:>")[10:-1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
+        whole = head["WARC-Type"] == "response"
+        if whole and (len(rest) != size or base64.b32encode(hashlib.sha1(rest).digest()).decode() != digest):
+            raise RuntimeError(f"record {head['WARC-Record-ID']} does not hold its payload")
+        html = (rest.decode("utf-8", "surrogatepass") if whole else None,) * payload
+        return int(page) if page else None, size, digest, head["WARC-Type"], int(other) if other else None, *html
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for content, wanted in zip(part["content"], part["ranges"].to_pylist()):
+                view = memoryview(content.as_buffer())
+                for at in range(0, len(wanted), 200):
+                    rows = [parse(bytes(view[r["offset"] : r["offset"] + r["length"]])) for r in wanted[at : at + 200]]
+                    yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
+
+    files = archive_files(spark, a).join(per_file, F.col("file") == F.col("f")).select("content", "ranges")
+    return files.mapInArrow(cut, READ + ", html string" * payload)
 
 
 _LETTER = " || ".join(f"substr('{ALPHABET}', 1 + ((n >> {s}) & 31), 1)" for s in (15, 10, 5, 0))
@@ -326,4 +330,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = Archive(work_path(spark, "warc"))
     write(pages, archive)
     found = lookup(pages.select(capture_key(F.col("url")).alias("key")), archive)
-    return read(found, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(found, archive, payload=False)

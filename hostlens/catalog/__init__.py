@@ -8,6 +8,7 @@ from hostlens.catalog import (  # noqa: F401
     features,
     fitting,
     joins,
+    outbox,
     reports,
     scans,
     scoring,

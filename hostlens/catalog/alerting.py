@@ -11,25 +11,36 @@ from hostlens.operators import alerts as A
 from hostlens.operators import funnel as FN
 from hostlens.sources import store as S
 
-cte(
-    "staged",
-    f"SELECT f.*, CASE WHEN final_score < 70 THEN 'below_threshold' WHEN coalesce(final_score < max_score_suppress, false) THEN 'suppressed' END AS first_outcome "
-    f"FROM feed f LEFT JOIN (SELECT * FROM rules WHERE expires_at IS NULL OR {NOW_TS} < expires_at) r USING (process_name)",
-    "feed", "rules",
-)
-cte("surv", "SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY timestamp_ns, process_name, pid) AS rn FROM staged WHERE first_outcome IS NULL", "staged")
 _OUT = (
     f"CASE WHEN len(list_filter(w.sent, lambda x: x.p = s.process_name AND s.timestamp_ns - x.t < {DAY // 4 * NS})) > 0 THEN 'deduped' "
     f"WHEN len(list_filter(w.sent, lambda x: x.t >= s.timestamp_ns - {DAY * NS})) >= 10 THEN 'rate_limited' ELSE 'sent' END"
 )
-cte(
-    "walk",
-    "SELECT host_id, rn, event_id, 'sent' AS outcome, [{'p': process_name, 't': timestamp_ns}] AS sent FROM surv WHERE rn = 1 UNION ALL "
-    f"SELECT host_id, rn, event_id, outcome, CASE WHEN outcome = 'sent' THEN list_append(list_filter(sent, lambda x: x.t >= timestamp_ns - {DAY * NS}), {{'p': process_name, 't': timestamp_ns}}) ELSE sent END "
-    f"FROM (SELECT s.host_id, s.rn, s.event_id, s.process_name, s.timestamp_ns, w.sent, {_OUT} AS outcome FROM walk w JOIN surv s ON s.host_id = w.host_id AND s.rn = w.rn + 1)",
-    "surv",
-)
-cte("outcomes", "SELECT s.* EXCLUDE (first_outcome), coalesce(first_outcome, outcome) AS outcome FROM staged s LEFT JOIN walk w USING (event_id)", "staged", "walk")
+
+
+def funnel_ctes(source: str, key: str, pre: str = "") -> None:
+    """The funnel over the common table ``source``, whose rows ``key`` tells apart."""
+    staged, surv, walk = f"{pre}staged", f"{pre}surv", f"{pre}walk"
+    cte(
+        staged,
+        f"SELECT f.*, CASE WHEN final_score < 70 THEN 'below_threshold' WHEN coalesce(final_score < max_score_suppress, false) THEN 'suppressed' END AS first_outcome "
+        f"FROM {source} f LEFT JOIN (SELECT * FROM rules WHERE expires_at IS NULL OR {NOW_TS} < expires_at) r USING (process_name)",
+        source, "rules",
+    )
+    cte(surv, f"SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY timestamp_ns, process_name, pid) AS rn FROM {staged} WHERE first_outcome IS NULL", staged)
+    cte(
+        walk,
+        f"SELECT host_id, rn, {key}, 'sent' AS outcome, [{{'p': process_name, 't': timestamp_ns}}] AS sent FROM {surv} WHERE rn = 1 UNION ALL "
+        f"SELECT host_id, rn, {key}, outcome, CASE WHEN outcome = 'sent' THEN list_append(list_filter(sent, lambda x: x.t >= timestamp_ns - {DAY * NS}), {{'p': process_name, 't': timestamp_ns}}) ELSE sent END "
+        f"FROM (SELECT s.host_id, s.rn, s.{key}, s.process_name, s.timestamp_ns, w.sent, {_OUT} AS outcome FROM {walk} w JOIN {surv} s ON s.host_id = w.host_id AND s.rn = w.rn + 1)",
+        surv,
+    )
+    cte(
+        f"{pre}outcomes",
+        f"SELECT s.* EXCLUDE (first_outcome), coalesce(first_outcome, outcome) AS outcome FROM {staged} s LEFT JOIN {walk} w USING ({key})", staged, walk,
+    )
+
+
+funnel_ctes("feed", "event_id")
 
 
 def outcomes(spark, sf_dir):
@@ -206,5 +217,3 @@ def a18(spark, sf_dir):
 @query("A19_unacknowledged", sql("SELECT CAST(count(*) AS BIGINT) AS unacknowledged FROM alerts WHERE NOT acknowledged", "alerts"))
 def a19(spark, sf_dir):
     return A.unacknowledged(alert_table(spark, sf_dir))
-
-

@@ -29,11 +29,9 @@ class Settings:
     max_alerts_per_window: int = 10
     # storage
     retention_days: int = 30
-    # physical layout: how many rows of one key may meet in one task, how many
-    # hot keys are handled apart, and the length of a time chunk used wherever
-    # the rows of one key have to be put in order
+    # physical layout: how many rows of one key may meet in one task, and the
+    # length of a time chunk used wherever the rows of one key have to be put in order
     rows_per_task: int = 2_000_000
-    max_hot_keys: int = 10_000
     order_chunk_seconds: int = 60
 
     @property

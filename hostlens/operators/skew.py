@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostlens.config import Settings
 
-SPREAD = 4096
-
 
 def attach_per_key(
     rows: DataFrame,
@@ -19,36 +17,22 @@ def attach_per_key(
 ) -> DataFrame:
     """Left join ``rows`` to ``per_key``, which has one row per ``keys``.
 
-    ``per_key`` carries in ``size_col`` how many rows its key has.  The keys
-    with more than ``rows_per_task`` rows, at most ``max_hot_keys`` of them, are
-    served from a broadcast of that bounded list, and their rows get a salt
-    derived from ``row_id`` so that they spread over all tasks instead of
-    following their key.  All other keys take an ordinary equi-join, which
-    adaptive execution turns into a broadcast when ``per_key`` is measured to be
-    small enough.
+    ``per_key`` carries in ``size_col`` how many rows its key has.  A key with
+    more than ``rows_per_task`` rows is joined in as many parts as it has such
+    portions: its entry is repeated for each part, and its rows are dealt to the
+    parts by a hash of ``row_id``.  All that is broadcast is the number of parts
+    of these keys, of which there are at most rows / ``rows_per_task``.
     """
     values = [c for c in per_key.columns if c not in keys]
-    hot = (
-        per_key.where(F.col(size_col) > settings.rows_per_task)
-        .orderBy(F.desc(size_col), *keys)
-        .limit(settings.max_hot_keys)
-        .select(*keys, F.struct(*values).alias("_hot"))
-    )
-    cold = per_key.select(
+    parts = F.ceil(F.col(size_col) / settings.rows_per_task)
+    large = per_key.where(F.col(size_col) > settings.rows_per_task).select(*keys, parts.alias("_parts"))
+    spread = per_key.select(
         *keys,
-        F.struct(*values).alias("_cold"),
-        # always 0, but not a literal, so that it stays a join key
-        F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_salt"),
+        F.struct(*values).alias("_entry"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.coalesce(parts, F.lit(1)), F.lit(1)) - 1)).alias("_salt"),
     )
-    salt = F.when(
-        F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*row_id), F.lit(SPREAD)) + 1
-    ).otherwise(F.lit(0))
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt.cast("bigint"))
-        .join(cold, keys + ["_salt"], "left")
+    dealt = rows.join(F.broadcast(large), keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*row_id), F.coalesce("_parts", F.lit(1)).cast("bigint"))
     )
-    picked = [
-        F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values
-    ]
-    return joined.select(*rows.columns, *picked)
+    picked = [F.col(f"_entry.{c}").alias(c) for c in values]
+    return dealt.join(spread, [*keys, "_salt"], "left").select(*rows.columns, *picked)

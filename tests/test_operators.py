@@ -20,7 +20,7 @@ def test_attach_per_key_hot_and_cold(spark):
     )
     per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("event_id").alias("m")).where("key <> 3")
     for limit in (10, 10_000):
-        st = ST.with_(rows_per_task=limit, max_hot_keys=2)
+        st = ST.with_(rows_per_task=limit)
         out = attach_per_key(rows, per_key, ["key"], "n", ["event_id"], st)
         plain = rows.join(per_key, ["key"], "left").select(*out.columns)
         assert out.exceptAll(plain).isEmpty() and plain.exceptAll(out).isEmpty()

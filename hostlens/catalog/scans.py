@@ -24,12 +24,12 @@ def _shape(df):
 
 @query("S02_union_families", sql(SPLIT_SQL, "tel"))
 def union_families(spark, sf_dir):
-    return _shape(T.union_families(spark, T.split_families(tel(spark, sf_dir))))
+    return _shape(T.own_fields(tel(spark, sf_dir)))
 
 
 @query("U01_union_families", sql("SELECT fam, CAST(count(*) AS BIGINT) AS n, CAST(count(path) AS BIGINT) AS paths FROM tel GROUP BY 1", "tel"))
 def u01(spark, sf_dir):
-    whole = T.union_families(spark, T.split_families(tel(spark, sf_dir)))
+    whole = T.own_fields(tel(spark, sf_dir))
     return whole.groupBy("fam").agg(F.count("*").alias("n"), F.count("path").alias("paths"))
 
 

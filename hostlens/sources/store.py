@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from hostlens.config import NS, Settings
-from hostlens.sources.telemetry import FAMILY_FIELDS, union_families
+from hostlens.sources.telemetry import FAMILY_FIELDS, own_fields
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -82,20 +82,16 @@ def to_envelope(telemetry: DataFrame) -> DataFrame:
     )
 
 
-def _detail_schema(family: int) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in FAMILY_FIELDS[family].items()])
-
-
 def from_envelope(envelope: DataFrame, families: list[int] | None = None) -> DataFrame:
     """Typed events of the given families (all by default) in one table."""
-    parsed = {}
-    for family in families or list(FAMILY_FIELDS):
-        parsed[family] = (
-            envelope.where(F.col("event_type") == family)
-            .withColumn("_d", F.from_json("data", _detail_schema(family)))
-            .select("event_id", "host_id", "ts_ns", "pid", "comm", "_d.*")
-        )
-    return union_families(envelope.sparkSession, parsed)
+    wanted = families or list(FAMILY_FIELDS)
+    fields = {n: t for have in FAMILY_FIELDS.values() for n, t in have.items()}
+    detail = T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    parsed = envelope.where(F.col("event_type").isin(*wanted)).select(
+        "event_id", "host_id", "ts_ns", "pid", "comm", F.col("event_type").cast("int").alias("fam"),
+        F.from_json("data", detail).alias("_d"),
+    )
+    return own_fields(parsed.select("event_id", "host_id", "ts_ns", "pid", "comm", "fam", "_d.*"))
 
 
 def with_event_date(df: DataFrame, boot_seconds: Column | int = 0) -> DataFrame:

@@ -91,6 +91,15 @@ def split_families(telemetry: DataFrame) -> dict[int, DataFrame]:
     }
 
 
+def own_fields(telemetry: DataFrame) -> DataFrame:
+    """The mixed table with every field null outside the families that have it, as
+    splitting and uniting the families gives, in one pass."""
+    return conform(telemetry).where(F.col("fam").isin(*FAMILY_FIELDS)).select(
+        *_KEY, "fam",
+        *[F.when(F.col("fam").isin(*[n for n, have in FAMILY_FIELDS.items() if f in have]), F.col(f)).alias(f) for f in _all_fields()],
+    )
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Add missing telemetry columns as typed nulls, in schema order."""
     have = set(df.columns)

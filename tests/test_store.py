@@ -135,3 +135,13 @@ def test_raw_decoding(spark):
     a, b = T.decode(raw, C.NETWORK).orderBy("event_id").collect()
     assert (a["src_ip"], a["dst_ip"], a["protocol"], a["direction"], a["comm"]) == ("127.0.0.1", "10.0.0.5", "UDP", "outbound", "nginx")
     assert (b["protocol"], b["direction"]) == ("1", "9")
+
+
+def test_one_pass_equals_split_and_union(spark):
+    events = all_events(spark)
+    one, many = T.own_fields(events), T.union_families(spark, T.split_families(events))
+    assert sorted(one.columns) == sorted(many.columns)
+    many = many.select(one.columns)
+    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+    picked = S.from_envelope(S.to_envelope(events), [C.FILE])
+    assert {r["fam"] for r in picked.select("fam").collect()} == {C.FILE}

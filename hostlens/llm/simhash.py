@@ -146,15 +146,15 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         fingerprints(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))).select("doc_id", "fp"), "document-fingerprints"
     )
     chosen = clusters(rows).groupBy("component_id").agg(F.min("doc_id").alias("keep"), F.min("fp").alias("fp"))
-    kept = chosen.where(F.col("keep").isNotNull()).select("keep")
-    orphans = chosen.where(F.col("keep").isNull()).select("fp")
-    one, own = fresh(docs, "_row", "_fp")
+    one, own, keep, orphan = fresh(docs, "_row", "_fp", "_keep", "_orphan")
+    kept = chosen.where(F.col("keep").isNotNull()).select(F.col("keep").alias(keep))
+    orphans = chosen.where(F.col("keep").isNull()).select(F.col("fp").alias(orphan))
     everything = F.xxhash64(*map(col, docs.columns))
-    named = docs.join(kept, col(doc_id) == F.col("keep"), "left_semi")
+    named = docs.join(kept, col(doc_id) == col(keep), "left_semi")
     first = Window.partitionBy(col(doc_id)).orderBy(everything)
     named = named.withColumn(one, F.row_number().over(first)).where(col(one) == 1).drop(one)
     nameless = fingerprints(docs.where(col(doc_id).isNull()), text, own)
-    nameless = nameless.join(orphans.select(F.col("fp").alias("_orphan")), col(own) == F.col("_orphan"), "left_semi")
+    nameless = nameless.join(orphans, col(own) == col(orphan), "left_semi")
     nameless = nameless.withColumn(one, F.row_number().over(Window.partitionBy(col(own)).orderBy(everything)))
     return named.unionByName(nameless.where(col(one) == 1).drop(one, own))
 

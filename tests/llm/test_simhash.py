@@ -8,7 +8,7 @@ import xxhash
 
 from hostlens.llm import simhash as S
 
-SCHEMA = "doc_id long, text string, fp string, _row int"
+SCHEMA = "doc_id long, text string, fp string, _row int, keep int, _orphan int"
 
 
 def brute_fingerprint(text):
@@ -77,7 +77,7 @@ def test_one_per_component(spark):
     body = "the quick brown fox jumps over the lazy dog and runs far away from here "
     rows = [(5, body * 3), (3, body * 3), (3, body * 3), (9, "other words entirely unlike"), (None, "no id at all"),
             (None, "no id at all"), (None, body * 3), (11, None), (12, ""), (13, " ")]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    df = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], SCHEMA)
     kept = S.one_per_component(df)
     assert kept.columns == df.columns
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())

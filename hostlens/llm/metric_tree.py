@@ -48,7 +48,7 @@ class Search:
     every: int = 50
     block_rows: int = 4096
     query_rows: int = 512
-    page: int = 64
+    page: int = 512
     pivots: int = 256
 
 

@@ -10,6 +10,14 @@ are linked as a chain, so no group is expanded into pairs.
 Links become components by alternating large-star and small-star steps on
 written tables; every document then carries the smallest doc_id it can reach.
 
+That contract (3 words, 2 of 64 bits) is the one of op4.  The stage that keeps
+one document of each group (``one_per_component``) asks for 5-word shingles and
+an exact Jaccard similarity of 0.8 or more, at which a 64-bit fingerprint
+differs in ten bits.  It uses several short fingerprints instead, each with its
+ball of one bit: documents that meet at a variant of any of them are candidates,
+and candidates are linked where the similarity of their shingle sets, computed
+from the texts, is reached.  See ``copies``.
+
 Null and empty texts have fingerprint zero, which is linked like any other.
 Documents without doc_id get a component but never name one (null if no member
 has an id).  Repeated rows stay repeated.  An empty table gives an empty result.
@@ -18,6 +26,7 @@ has an id).  Repeated rows stay repeated.  An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -28,6 +37,11 @@ from hostlens.llm.common import col, fresh, materialize, query, small_batches, t
 
 SEED = 42
 _CHUNK = 1 << 16
+#: share of the pairs just at the similarity asked for that the short fingerprints let meet, by design
+RECALL = 0.96
+#: entries of a variant are compared with so many before them, and with the first
+_NEIGHBOURS = 4
+_SALTS = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -121,7 +135,11 @@ def components(edges: DataFrame) -> DataFrame:
 def clusters(rows: DataFrame, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp) rows with ``component_id``; ``rows`` is read several times."""
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    roots = components(links(classes, max_bits))
+    return _with_component(rows, classes, components(links(classes, max_bits)))
+
+
+def _with_component(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp) with the smallest doc_id of the component of their fp."""
     rooted = materialize(
         classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")),
         "rooted",
@@ -135,17 +153,183 @@ def hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """Distinct XXH64 of the shingles, sorted; words as in ``fingerprint``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))
+    k = min(words_per_shingle, len(words))
+    starts, ends = starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as ``shingles`` gives them; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def short_fingerprints(documents: int, similarity: float) -> tuple[int, int]:
+    """How many short fingerprints of how many bits, for a number of documents.
+
+    Bits grow with the logarithm of the documents, so that a variant holds few
+    documents by chance; fingerprints follow from the share of pairs at
+    ``similarity`` that one of them lets meet (at most two bits differ).
+    """
+    bits = min(40, max(20, math.ceil(math.log2(max(documents, 2))) + 5))
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meets = sum(math.comb(bits, k) * differs**k * (1 - differs) ** (bits - k) for k in range(3))
+    tables = 1 if meets >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
+    return min(tables, 3968 // bits), bits
+
+
+def signature(found: np.ndarray, tables: int, bits: int) -> tuple[int, list[int]]:
+    """A 64-bit fingerprint of a set of shingles and ``tables`` independent short ones."""
+    width = -(-(64 + tables * bits) // 64)
+    total = np.zeros(64 * width, np.int64)
+    for at in range(0, len(found), 255):  # a sum of 255 bits fits a byte
+        x = found[at : at + 255, None] + _SALTS[:width]
+        x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+        total += np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    set_bits = 2 * total > len(found)
+    short = set_bits[64 : 64 + tables * bits].reshape(tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    return int(np.packbits(set_bits[:64]).view(">i8")[0]), short.tolist()
+
+
+def set_digest(found: np.ndarray) -> int:
+    """What names a shingle set: equal for equal sets, as a signed 64-bit number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def _sets(docs: DataFrame, text: Column, words_per_shingle: int, tables: int, bits: int) -> Column:
+    small_batches(docs)
+
+    @F.pandas_udf("fp long, size int, wide long, short array<long>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            found = shingles(t, words_per_shingle)
+            out.append((set_digest(found), len(found), *signature(found, tables, bits)))
+        return pd.DataFrame(out, columns=["fp", "size", "wide", "short"])
+
+    return sets(text)
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+
+
+def candidates(classes: DataFrame, similarity: float, tables: int, bits: int) -> DataFrame:
+    """Pairs (a, b), a > b, of sets that meet at a variant of a short fingerprint.
+
+    Entries of a variant are paired with the few before them and with the first,
+    so a crowd is no square; its members meet at many variants.  Pairs far above
+    the distance that ``similarity`` lets expect (by more than four deviations of
+    the wide and of all short fingerprints) and pairs whose sizes rule the
+    similarity out are dropped.
+    """
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    farthest = [math.ceil(n * differs + 4.5 * math.sqrt(n * differs * (1 - differs))) for n in (64, tables * bits)]
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(bits))]])
+    meeting = Window.partitionBy("variant").orderBy("fp")
+    full = classes.where("size > 0")
+    entries = (
+        full.select("fp", "wide", F.posexplode("short").alias("at", "value"))
+        .select("fp", "wide", (F.col("value") + F.col("at") * F.lit(1 << bits).cast("long")).alias("value"), F.explode(masks).alias("mask"))
+        .select(F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), F.struct("fp", "wide").alias("x"), "fp")
+    )
+    before = F.array(F.first("x").over(meeting), *[F.lag("x", k).over(meeting) for k in range(1, _NEIGHBOURS + 1)])
+    near = F.bit_count(F.col("x.wide").bitwiseXOR(F.col("y.wide")))
+    met = (
+        entries.select("x", before.alias("ys")).select("x", F.explode("ys").alias("y"))
+        .where((F.col("y.fp") < F.col("x.fp")) & (near <= farthest[0]))
+        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    )
+    for side in ("a", "b"):
+        met = met.join(full.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col("short").alias(f"short_{side}")), side)
+    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    met = met.withColumn("bits", _distance("short_a", "short_b"))
+    return met.where((smaller >= larger * (similarity - 1e-9)) & (F.col("bits") <= farthest[1])).select("a", "b", "bits")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs between different components, with the components (ra, rb)."""
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs.where("ra <> rb")
+
+
+def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text) rows as (doc_id, fp, component_id); fp names the shingle set.
+
+    Candidates whose similarity is reached are linked.  First each set is compared
+    with the smallest it met, then one pair for each two components, then all
+    pairs that are still between components: only comparisons within a component,
+    which change nothing, are spared.
+    """
+    tables, bits = short_fingerprints(docs.count(), similarity)
+    key = F.xxhash64("text").alias("body")
+    found = _sets(docs, F.col("text"), words_per_shingle, tables, bits)
+    rows = materialize(docs.select("doc_id", key, found.alias("s")).select("doc_id", "body", "s.*"), "document-sets")
+    same = [F.first(c).alias(c) for c in ("size", "wide", "short")]
+    classes = materialize(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("body").alias("body"), *same), "shingle-sets"
+    )
+    pairs = materialize(candidates(classes, similarity, tables, bits), "candidates")
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = classes.select("fp", "body").join(ends, "fp", "left_semi")
+    texts = docs.select(key, "text").join(wanted.select("body"), "body", "left_semi").groupBy("body").agg(F.min("text").alias("text"))
+    bodies = materialize(wanted.join(texts, "body").select("fp", "text"), "candidate-texts")
+    small_batches(docs)
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(shingles(x, words_per_shingle), shingles(y, words_per_shingle)) for x, y in zip(a, b)], dtype="float64")
+
+    def checked(some: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            some = some.join(bodies.select(F.col("fp").alias(side), F.col("text").alias(f"text_{side}")), side)
+        some = some.withColumn("alike", alike("text_a", "text_b") >= F.lit(similarity))
+        return materialize(some.select("a", "b", "alike"), "compared")
+
+    roots, compared, live = None, [], pairs
+    for step in range(3):
+        if step == 0:
+            chosen = pairs.groupBy("a").agg(F.min("b").alias("b"))
+        else:
+            live = live.select("a", "b", "bits").join(compared[-1].select("a", "b"), ["a", "b"], "left_anti")
+            live = materialize(_across(live, roots), "open-pairs")
+            chosen = live.select("a", "b")
+            if step == 1:
+                chosen = live.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
+        compared.append(checked(chosen))
+        edges = compared[0]
+        for more in compared[1:]:
+            edges = edges.unionByName(more)
+        roots = components(edges.where("alike").select("a", "b"))
+    return _with_component(rows.select("doc_id", "fp"), classes.select("fp", "first_id"), roots)
+
+
+def one_per_component(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
     """One document of each component: the one with the smallest doc_id, and of
     repeated rows the one whose remaining columns hash lowest.
 
-    Fingerprints are computed once and written; the texts are then read again
-    and joined with the ids to keep, whose shuffle carries no texts.
+    Shingle sets are named and fingerprinted once and written; the texts are then
+    read again and joined with the ids to keep, whose shuffle carries no texts.
     """
-    rows = materialize(
-        fingerprints(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))).select("doc_id", "fp"), "document-fingerprints"
-    )
-    chosen = clusters(rows).groupBy("component_id").agg(F.min("doc_id").alias("keep"), F.min("fp").alias("fp"))
+    rows = copies(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), words_per_shingle, similarity)
+    chosen = rows.groupBy("component_id").agg(F.min("doc_id").alias("keep"), F.min("fp").alias("fp"))
     one, own, keep, orphan = fresh(docs, "_row", "_fp", "_keep", "_orphan")
     kept = chosen.where(F.col("keep").isNotNull()).select(F.col("keep").alias(keep))
     orphans = chosen.where(F.col("keep").isNull()).select(F.col("fp").alias(orphan))
@@ -153,7 +337,8 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     named = docs.join(kept, col(doc_id) == col(keep), "left_semi")
     first = Window.partitionBy(col(doc_id)).orderBy(everything)
     named = named.withColumn(one, F.row_number().over(first)).where(col(one) == 1).drop(one)
-    nameless = fingerprints(docs.where(col(doc_id).isNull()), text, own)
+    nameless = docs.where(col(doc_id).isNull())
+    nameless = nameless.withColumn(own, _sets(docs, col(text), words_per_shingle, 1, 20)["fp"])
     nameless = nameless.join(orphans, col(own) == col(orphan), "left_semi")
     nameless = nameless.withColumn(one, F.row_number().over(Window.partitionBy(col(own)).orderBy(everything)))
     return named.unionByName(nameless.where(col(one) == 1).drop(one, own))

@@ -34,22 +34,43 @@ def _event_files(spark, sf_dir):
     return from_events(L.event_stream(spark, sf_dir, schema, glob="events.parquet"))
 
 
-def _stream_of(spark, df, files=4, per_trigger=100, order=None):
-    """Write a table as files and read them back as a stream.
+def _stream_of(spark, df, files=4, per_trigger=100):
+    """Write a table as files and read them back as a stream."""
+    L.use_rocksdb(spark)
+    path = S.work_path(spark, "feed")
+    df.repartition(files).write.parquet(path)
+    return L.event_stream(spark, path, df.schema, max_files=per_trigger)
+
+
+def _sliced(df, order, rows=None):
+    """``df`` with the number of its slice by ``order``, and the number of slices.
+
+    Slices follow each other, hold about ``rows`` rows each, and are four at
+    least; rows of one value of ``order`` stay together.
+    """
+    slices = max(4, -(-df.count() // (rows or ST.rows_per_task)))
+    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 1 / (10 * slices))
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.when(F.col(order) > cut, 1).otherwise(0)
+    return df.withColumn("_slice", part), slices
+
+
+def _finish_in_order(spark, df, order, follow, rows=None):
+    """``follow`` over a table whose slices by ``order`` arrive one after another.
 
-    With ``order``, files follow each other by that column and every micro-batch
-    gets one, so that state has to go from batch to batch.
+    The query is run once per slice on the same checkpoint, so state has to go
+    from run to run.  The table is computed once, and a slice is written by as
+    many tasks as it has partitions.
     """
     L.use_rocksdb(spark)
-    path = S.work_path(spark, "feed")
-    if order is None:
-        df.repartition(files).write.parquet(path)
-        return L.event_stream(spark, path, df.schema, max_files=per_trigger)
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    part = F.least(F.floor((F.col(order) - low) * F.lit(files) / F.lit(max(1, high - low))), F.lit(files - 1)) if low is not None else F.lit(0)
-    for i in range(files):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return L.event_stream(spark, path, df.schema, max_files=1)
+    root, feed = S.work_path(spark, "stream"), S.work_path(spark, "feed")
+    sliced, slices = _sliced(S.materialize(df, "ordered"), order, rows)
+    for i in range(slices):
+        sliced.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(feed)
+        out = follow(L.event_stream(spark, feed, df.schema, max_files=1 << 30))
+        L.start_sink(out, f"{root}/out", f"{root}/checkpoint", ONCE, "append").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 @query("S01_event_stream", sql("SELECT event_id, ts_ns, fam, comm FROM tel", "tel"))
@@ -128,7 +149,7 @@ def st3(spark, sf_dir):
 @query("ST4_rolling_context", sql("--MORE w AS (SELECT host_id, pid, k, CAST(count(*) AS BIGINT) AS events FROM p_win GROUP BY ALL) SELECT host_id, pid, k, CAST(len(es) AS INTEGER) AS context_size, CASE WHEN len(es) = 5 THEN round(list_avg(es), 8) END AS context_mean FROM (SELECT *, list(events) OVER (PARTITION BY host_id, pid ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS es FROM w)", "p_win"))
 def st4(spark, sf_dir):
     windows = _windows(spark, sf_dir).select(*PROC, "k", F.col("events").alias("value"))
-    out = _finish(spark, L.rolling_context(_stream_of(spark, windows, order="k"), ST))
+    out = _finish_in_order(spark, windows, "k", lambda rows: L.rolling_context(rows, ST))
     return out.withColumn("context_mean", F.round("context_mean", 8))
 
 
@@ -146,7 +167,7 @@ def st6(spark, sf_dir):
 def st7(spark, sf_dir):
     staged = FN.suppressed_by_rule(verdict_feed(spark, sf_dir), rules(spark, sf_dir), F.expr(NOW_TS))
     survivors = staged.withColumn("outcome", FN.first_steps(ST)).where("outcome IS NULL").drop("outcome")
-    return _finish(spark, L.funnel_stream(_stream_of(spark, survivors, order="timestamp_ns"), ST))
+    return _finish_in_order(spark, survivors, "timestamp_ns", lambda rows: L.funnel_stream(rows, ST))
 
 
 HALF = T0 + 15 * DAY * NS
@@ -183,7 +204,7 @@ def st9(spark, sf_dir):
 
 @query("ST10_entry_exit_state", sql("--MORE" + PAIRS.format(f=1) + "SELECT host_id, pid, event_id AS enter_id, exit_id, ts_ns AS enter_ns, exit_ns FROM linked WHERE kind = 'enter' AND nk = 'exit'", "tel"))
 def st10(spark, sf_dir):
-    return _finish(spark, L.pair_stream(_stream_of(spark, half_calls(spark, sf_dir, 1), order="ts_ns")))
+    return _finish_in_order(spark, half_calls(spark, sf_dir, 1), "ts_ns", L.pair_stream)
 
 
 @query("ST11_persist_and_score", sql("SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS n FROM feed UNION ALL SELECT 'verdicts', CAST(count(*) AS BIGINT) FROM feed WHERE model_available UNION ALL SELECT 'alerts', CAST(count(*) AS BIGINT) FROM feed WHERE model_available AND final_score >= 70", "feed"))

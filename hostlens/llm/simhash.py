@@ -14,9 +14,9 @@ That contract (3 words, 2 of 64 bits) is the one of op4.  The stage that keeps
 one document of each group (``one_per_component``) asks for 5-word shingles and
 an exact Jaccard similarity of 0.8 or more, at which a 64-bit fingerprint
 differs in ten bits.  It uses several short fingerprints instead, each with its
-ball of one bit: documents that meet at a variant of any of them are candidates,
-and candidates are linked where the similarity of their shingle sets, computed
-from the texts, is reached.  See ``copies``.
+ball of one bit.  Sets that meet at a variant are compared in rounds: a round
+gives each variant one of its members as centre, every other component there is
+compared with it, and what is alike becomes one component.  See ``copies``.
 
 Null and empty texts have fingerprint zero, which is linked like any other.
 Documents without doc_id get a component but never name one (null if no member
@@ -39,9 +39,11 @@ SEED = 42
 _CHUNK = 1 << 16
 #: share of the pairs just at the similarity asked for that the short fingerprints let meet, by design
 RECALL = 0.96
-#: entries of a variant are compared with so many before them, and with the first
-_NEIGHBOURS = 4
-_SALTS = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: members of a variant that may have met by chance
+_SMALL = 6
+#: centres a set is compared with in a turn, and turns without a find after which comparing ends
+_TRIES, _QUIET = 2, 2
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -184,164 +186,210 @@ def short_fingerprints(documents: int, similarity: float) -> tuple[int, int]:
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     meets = sum(math.comb(bits, k) * differs**k * (1 - differs) ** (bits - k) for k in range(3))
     tables = 1 if meets >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
-    return min(tables, 3968 // bits), bits
+    return tables, bits
 
 
-def signature(found: np.ndarray, tables: int, bits: int) -> tuple[int, list[int]]:
-    """A 64-bit fingerprint of a set of shingles and ``tables`` independent short ones."""
-    width = -(-(64 + tables * bits) // 64)
+def signature(found: np.ndarray, tables: int, bits: int) -> tuple[int, int, list[int]]:
+    """A 128-bit fingerprint of a set of shingles and ``tables`` independent short ones."""
+    width = -(-(128 + tables * bits) // 64)
+    salts = np.arange(width, dtype=np.uint64) * _GOLDEN
     total = np.zeros(64 * width, np.int64)
     for at in range(0, len(found), 255):  # a sum of 255 bits fits a byte
-        x = found[at : at + 255, None] + _SALTS[:width]
+        x = found[at : at + 255, None] + salts
         x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
         total += np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
     set_bits = 2 * total > len(found)
-    short = set_bits[64 : 64 + tables * bits].reshape(tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-    return int(np.packbits(set_bits[:64]).view(">i8")[0]), short.tolist()
+    short = set_bits[128 : 128 + tables * bits].reshape(tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    return *np.packbits(set_bits[:128]).view(">i8").tolist(), short.tolist()
 
 
-def set_digest(found: np.ndarray) -> int:
-    """What names a shingle set: equal for equal sets, as a signed 64-bit number."""
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+def set_name(found: np.ndarray) -> bytes:
+    """128 bits that are equal for equal shingle sets."""
+    return xxhash.xxh3_128_digest(found.tobytes(), SEED)
+
+
+def _body(text: Column) -> Column:
+    """128 bits that name a text; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
 def _sets(docs: DataFrame, text: Column, words_per_shingle: int, tables: int, bits: int) -> Column:
     small_batches(docs)
 
-    @F.pandas_udf("fp long, size int, wide long, short array<long>")
+    @F.pandas_udf("name binary, size int, wide1 long, wide2 long, short array<long>")
     def sets(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             found = shingles(t, words_per_shingle)
-            out.append((set_digest(found), len(found), *signature(found, tables, bits)))
-        return pd.DataFrame(out, columns=["fp", "size", "wide", "short"])
+            out.append((set_name(found), len(found), *signature(found, tables, bits)))
+        return pd.DataFrame(out, columns=["name", "size", "wide1", "wide2", "short"])
 
     return sets(text)
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
-    )
+def _apart(one: str, two: str) -> Column:
+    """Bits in which the wide fingerprints of two prefixes differ."""
+    return sum(F.bit_count(F.col(f"{one}wide{i}").bitwiseXOR(F.col(f"{two}wide{i}"))) for i in (1, 2))
 
 
-def candidates(classes: DataFrame, similarity: float, tables: int, bits: int) -> DataFrame:
-    """Pairs (a, b), a > b, of sets that meet at a variant of a short fingerprint.
+def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """(variant, id, size, wide1, wide2) where sets meet at a variant of a short fingerprint.
 
-    Entries of a variant are paired with the few before them and with the first,
-    so a crowd is no square; its members meet at many variants.  Pairs far above
-    the distance that ``similarity`` lets expect (by more than four deviations of
-    the wide and of all short fingerprints) and pairs whose sizes rule the
-    similarity out are dropped.
+    Short fingerprints also meet by chance.  In a variant of up to ``_SMALL`` sets a
+    set stays only if the 128 bits of its wide fingerprint agree with another one's;
+    at ``similarity`` one pair in some 100,000 differs in more bits.  Larger
+    variants, hardly ever chance, stay as they are.
     """
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    farthest = [math.ceil(n * differs + 4.5 * math.sqrt(n * differs * (1 - differs))) for n in (64, tables * bits)]
+    farthest = math.ceil(128 * differs + 4.5 * math.sqrt(128 * differs * (1 - differs)))
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(bits))]])
-    meeting = Window.partitionBy("variant").orderBy("fp")
-    full = classes.where("size > 0")
+    same = ["id", "size", "wide1", "wide2"]
     entries = (
-        full.select("fp", "wide", F.posexplode("short").alias("at", "value"))
-        .select("fp", "wide", (F.col("value") + F.col("at") * F.lit(1 << bits).cast("long")).alias("value"), F.explode(masks).alias("mask"))
-        .select(F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), F.struct("fp", "wide").alias("x"), "fp")
+        classes.where("size > 0").select(*same, F.posexplode("short").alias("at", "value"))
+        .select(*same, (F.col("value") + F.col("at") * F.lit(1 << bits).cast("long")).alias("value"), F.explode(masks).alias("mask"))
+        .select(F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), *same)
     )
-    before = F.array(F.first("x").over(meeting), *[F.lag("x", k).over(meeting) for k in range(1, _NEIGHBOURS + 1)])
-    near = F.bit_count(F.col("x.wide").bitwiseXOR(F.col("y.wide")))
-    met = (
-        entries.select("x", before.alias("ys")).select("x", F.explode("ys").alias("y"))
-        .where((F.col("y.fp") < F.col("x.fp")) & (near <= farthest[0]))
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    meeting = Window.partitionBy("variant").orderBy("id")
+    near = F.lit(False)
+    for k in [k for k in range(1 - _SMALL, _SMALL) if k]:
+        bits_apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.lag(w, k).over(meeting))) for w in ("wide1", "wide2"))
+        near = near | F.coalesce(bits_apart <= farthest, F.lit(False))
+    large = F.count("*").over(Window.partitionBy("variant")) > _SMALL
+    return entries.withColumn("stays", large | near).where("stays").drop("stays")
+
+
+def _centres(live: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """What is left of ``live``, the variants where components still meet, with the
+    component of each set (root); and the pairs (id, centre, apart, mass) of a turn.
+
+    The first centre of a variant is its set with the largest mass, that of a crowd
+    around it; later ones are drawn by a hash.
+    """
+    if roots is None:
+        rooted = live.withColumn("root", F.col("id"))
+    else:
+        own = roots.select(F.col("node").alias("id"), F.col("root").alias("new"))
+        rooted = live.join(own, "id", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    drawn = F.col("mass") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+    centres = (
+        rooted.groupBy("variant").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"),
+            F.max(F.struct(drawn.alias("drawn"), "id", "root", "size", "wide1", "wide2", "mass")).alias("c"),
+        ).where("low <> high").select("variant", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "root", "size", "wide1", "wide2", "mass")])
     )
-    for side in ("a", "b"):
-        met = met.join(full.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col("short").alias(f"short_{side}")), side)
-    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    met = met.withColumn("bits", _distance("short_a", "short_b"))
-    return met.where((smaller >= larger * (similarity - 1e-9)) & (F.col("bits") <= farthest[1])).select("a", "b", "bits")
+    joined = materialize(rooted.join(centres, "variant"), "open-variants")
+    pairs = joined.where("root <> c_root").select("id", "size", F.col("c_id").alias("centre"), "c_size", _apart("", "c_").alias("apart"), "c_mass")
+    return joined.select(*live.columns), pairs
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs between different components, with the components (ra, rb)."""
-    for side in ("a", "b"):
-        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-        pairs = pairs.join(own, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-    return pairs.where("ra <> rb")
+def _chosen(pairs: DataFrame, tried: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+    """(a, b), a > b: for each set the few centres to compare it with, the heaviest
+    ones first, later the nearest.  Sizes that rule the similarity out, and pairs that
+    were tried, are left out.  A set has at most as many centres as variants."""
+    fits = F.least("size", "c_size") >= F.greatest("size", "c_size") * (similarity - 1e-9)
+    order = -F.col("c_mass") if turn == 0 else F.col("apart").cast("long")
+    ends = [F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")]
+    wanted = pairs.where(fits).select("id", "centre", order.alias("order")).distinct()
+    if tried is not None:
+        wanted = wanted.select("*", *ends).join(tried, ["a", "b"], "left_anti").drop("a", "b")
+    best = wanted.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("order", "centre"))), 1, _TRIES).alias("best"))
+    return best.select("id", F.explode("best.centre").alias("centre")).select(*ends).distinct()
 
 
 def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text) rows as (doc_id, fp, component_id); fp names the shingle set.
-
-    Candidates whose similarity is reached are linked.  First each set is compared
-    with the smallest it met, then one pair for each two components, then all
-    pairs that are still between components: only comparisons within a component,
-    which change nothing, are spared.
+    """(doc_id, text) rows as (doc_id, body, root, component_id).
+
+    Sets that meet at variants are compared in turns.  In each, a set is compared
+    with at most ``_TRIES`` centres of its variants, so a turn's pairs are in
+    proportion to the sets, whatever the size of a crowd; variants within one
+    component leave.  The first centres are the sets with the largest mass (the
+    members of all their variants, counted): the text a crowd of copies was made
+    from, as its copies lie around it.  Later ones are drawn anew for every variant,
+    and a set tries the nearest of them.  Turns end when ``_QUIET`` of them in a row
+    find nothing alike.  Similarity is exact: shingle sets are made once of every
+    text that met another, and intersected.
     """
     tables, bits = short_fingerprints(docs.count(), similarity)
-    key = F.xxhash64("text").alias("body")
     found = _sets(docs, F.col("text"), words_per_shingle, tables, bits)
-    rows = materialize(docs.select("doc_id", key, found.alias("s")).select("doc_id", "body", "s.*"), "document-sets")
-    same = [F.first(c).alias(c) for c in ("size", "wide", "short")]
+    rows = materialize(docs.select("doc_id", _body(F.col("text")).alias("body"), found.alias("s")).select("doc_id", "body", "s.*"), "document-sets")
+    same = [F.first(c).alias(c) for c in ("size", "wide1", "wide2", "short")]
     classes = materialize(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("body").alias("body"), *same), "shingle-sets"
+        rows.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.min("body").alias("body"), *same)
+        .withColumn("id", F.monotonically_increasing_id()), "shingle-sets"
+    )
+    met = materialize(meetings(classes, similarity, bits), "meetings")
+    crowd = materialize(met.groupBy("variant").agg(F.count("*").alias("n")), "variant-sizes")
+    mass = materialize(met.join(crowd, "variant").groupBy("id").agg(F.sum("n").alias("mass")), "masses")
+    wanted = classes.select("id", "body").join(mass.select("id"), "id", "left_semi")
+    texts = (
+        docs.select(_body(F.col("text")).alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
+        .groupBy("body").agg(F.min("text").alias("text"))
     )
-    pairs = materialize(candidates(classes, similarity, tables, bits), "candidates")
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.select("fp", "body").join(ends, "fp", "left_semi")
-    texts = docs.select(key, "text").join(wanted.select("body"), "body", "left_semi").groupBy("body").agg(F.min("text").alias("text"))
-    bodies = materialize(wanted.join(texts, "body").select("fp", "text"), "candidate-texts")
     small_batches(docs)
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(shingles(x, words_per_shingle), shingles(y, words_per_shingle)) for x, y in zip(a, b)], dtype="float64")
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words_per_shingle).view(np.int64) for t in texts])
+
+    sets = materialize(wanted.join(texts, "body").select("id", hashes("text").alias("set")), "candidate-sets")
 
-    def checked(some: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            some = some.join(bodies.select(F.col("fp").alias(side), F.col("text").alias(f"text_{side}")), side)
-        some = some.withColumn("alike", alike("text_a", "text_b") >= F.lit(similarity))
-        return materialize(some.select("a", "b", "alike"), "compared")
-
-    roots, compared, live = None, [], pairs
-    for step in range(3):
-        if step == 0:
-            chosen = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        else:
-            live = live.select("a", "b", "bits").join(compared[-1].select("a", "b"), ["a", "b"], "left_anti")
-            live = materialize(_across(live, roots), "open-pairs")
-            chosen = live.select("a", "b")
-            if step == 1:
-                chosen = live.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
-        compared.append(checked(chosen))
-        edges = compared[0]
-        for more in compared[1:]:
-            edges = edges.unionByName(more)
-        roots = components(edges.where("alike").select("a", "b"))
-    return _with_component(rows.select("doc_id", "fp"), classes.select("fp", "first_id"), roots)
+            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        alike = both / (F.size("set_a") + F.size("set_b") - both) >= similarity
+        return materialize(pairs.select("a", "b", alike.alias("alike")), "compared")
+
+    live = met.join(mass, "id").withColumn("root", F.col("id"))
+    roots = tried = None
+    turn = quiet = 0
+    while quiet < _QUIET:
+        live, pairs = _centres(live, roots, turn)
+        new = compared(_chosen(pairs, tried, similarity, turn))
+        done, alike = new.agg(F.count("*"), F.sum(F.col("alike").cast("long"))).first()
+        quiet = 0 if alike else quiet + 1
+        if alike:
+            links = new.where("alike").select("a", "b")
+            if roots is not None:
+                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = components(links)
+        elif not done and turn:
+            break
+        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
+        turn += 1
+    rooted = classes.select("name", "id", "first_id")
+    if roots is None:
+        rooted = rooted.withColumn("root", F.col("id"))
+    else:
+        rooted = rooted.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = materialize(rooted.select("name", "root", "first_id"), "rooted")
+    lowest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
+    ids = materialize(rooted.join(lowest, "root").select("name", "root", "component_id"), "components")
+    return rows.select("doc_id", "body", "name").join(ids, "name").drop("name")
 
 
 def one_per_component(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, and of
-    repeated rows the one whose remaining columns hash lowest.
+    """One document of each component: the one with the smallest doc_id (documents
+    without come last), of several texts with that id the one whose digest is
+    smallest, and of rows repeated with both the one whose columns hash lowest.
 
     Shingle sets are named and fingerprinted once and written; the texts are then
     read again and joined with the ids to keep, whose shuffle carries no texts.
     """
     rows = copies(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), words_per_shingle, similarity)
-    chosen = rows.groupBy("component_id").agg(F.min("doc_id").alias("keep"), F.min("fp").alias("fp"))
-    one, own, keep, orphan = fresh(docs, "_row", "_fp", "_keep", "_orphan")
-    kept = chosen.where(F.col("keep").isNotNull()).select(F.col("keep").alias(keep))
-    orphans = chosen.where(F.col("keep").isNull()).select(F.col("fp").alias(orphan))
-    everything = F.xxhash64(*map(col, docs.columns))
-    named = docs.join(kept, col(doc_id) == col(keep), "left_semi")
-    first = Window.partitionBy(col(doc_id)).orderBy(everything)
-    named = named.withColumn(one, F.row_number().over(first)).where(col(one) == 1).drop(one)
-    nameless = docs.where(col(doc_id).isNull())
-    nameless = nameless.withColumn(own, _sets(docs, col(text), words_per_shingle, 1, 20)["fp"])
-    nameless = nameless.join(orphans, col(own) == col(orphan), "left_semi")
-    nameless = nameless.withColumn(one, F.row_number().over(Window.partitionBy(col(own)).orderBy(everything)))
-    return named.unionByName(nameless.where(col(one) == 1).drop(one, own))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "body")).alias("first")
+    keep_id, keep_body, own, row = fresh(docs, "_keep_id", "_keep_body", "_body", "_row")
+    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias(keep_id), F.col("first.body").alias(keep_body))
+    named = docs.withColumn(own, _body(col(text))).join(
+        kept, (col(own) == col(keep_body)) & col(doc_id).eqNullSafe(col(keep_id)), "left_semi"
+    )
+    columns = [col(c) for c in docs.columns]
+    once = named.groupBy(col(doc_id).alias(keep_id), col(own)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
+    return once.select(*[col(row).getField(c).alias(c) for c in docs.columns])
 
 
 @query("op4_simhash_near_dedup")

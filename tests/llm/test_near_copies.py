@@ -1,5 +1,7 @@
 """The near-dedup stage: 5-word shingles, Jaccard of 0.8 or more, against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -76,6 +78,81 @@ def test_crowd_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in S.copies(docs).collect()} == dict(enumerate(want))
 
 
+def crowd_around(rng, copies, changes):
+    """One text of 200 words and copies of it, each with words of its own."""
+    words = text_of(rng, 200)
+    texts = [" ".join(words)]
+    for _ in range(copies):
+        copy = list(words)
+        for at in rng.choice(200, changes, replace=False):
+            copy[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("copies", [100, 1500])
+def test_star(spark, copies):
+    """Copies that resemble the text they were made from, and not each other."""
+    rng = np.random.default_rng(3)
+    texts = [t for t in crowd_around(rng, copies * 3, 4)]
+    base = S.shingles(texts[0], 5)
+    near = [t for t in texts[1:] if S.jaccard(base, S.shingles(t, 5)) >= 0.8][:copies]
+    assert len(near) == copies
+    rng.shuffle(near)
+    docs = spark.createDataFrame(list(enumerate([*near, texts[0]])), "doc_id long, text string")
+    found = Counter(r.component_id for r in S.copies(docs).collect())
+    assert max(found.values()) >= 0.95 * (copies + 1)
+
+
+@pytest.mark.parametrize("level", [0.8, 0.85, 0.9, 0.95])
+def test_recall_of_pairs(spark, level):
+    """Pairs of 300 shingles just at a similarity."""
+    rng = np.random.default_rng(int(100 * level))
+    texts = []
+    for _ in range(300):
+        words = text_of(rng, 304)
+        copy, at = list(words), 0
+        while S.jaccard(S.shingles(" ".join(words), 5), S.shingles(" ".join(copy), 5)) > level + 0.012:
+            copy[-1 - at] = f"x{rng.integers(0, 1 << 40)}"
+            at += 1
+        texts += [" ".join(words), " ".join(copy)]
+    _, similar = brute_pairs(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.copies(docs).collect()}
+    found = [got[i] == got[j] for i, j in similar]
+    assert len(found) > 250 and np.mean(found) >= 0.93
+
+
+def brute_pairs(texts):
+    """Neighbouring texts that are alike; others share nothing."""
+    sets = [S.shingles(t, 5) for t in texts]
+    similar = {(i + 1, i): S.jaccard(sets[i], sets[i + 1]) for i in range(0, len(sets), 2)}
+    return None, {p: x for p, x in similar.items() if x >= 0.8}
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    rng = np.random.default_rng(4)
+    one, two, three = (" ".join(text_of(rng, 60)) for _ in range(3))
+    rows = [
+        (None, one, "a"), (None, one + " more", "b"), (None, two, "c"), (None, two, "c"),  # no ids: one of each
+        (5, three, "d"), (5, three, "d"), (5, "another text", "e"), (7, three + " x", "f"), (6, "", "g"), (8, None, "h"), (9, " ", "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _body string")
+    kept = sorted(((r.doc_id or 0, r._body) for r in S.one_per_component(docs).collect()))
+    assert [k for k in kept if k[0]] == [(5, "d"), (5, "e"), (6, "g")]
+    assert [k[1] for k in kept if not k[0]] in (["a", "c"], ["b", "c"])
+    assert S.one_per_component(docs).columns == docs.columns
+    assert S.one_per_component(docs.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    words = text_of(rng, 100_000)
+    copy = [*words[:50_000], "new", *words[50_000:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(words[:50_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_similarity_is_exact():
     words = [f"w{i}" for i in range(13)]
     a, b = S.shingles(" ".join(words), 5), S.shingles(" ".join(words[:12]), 5)

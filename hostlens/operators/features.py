@@ -35,43 +35,58 @@ def _is(family: int) -> Column:
     return F.col("fam") == family
 
 
-def slice_measures() -> dict[str, Column]:
-    """What is summed, maximised or or-ed per slice; name -> column."""
+MEASURES = [
+    "n", "outbound", "bytes_sent", "bytes_recv", "tor", "private", "dns", "dns_bytes", "dns_max", "system_files", "exec_opens",
+    "writes", "log_deletions", "timestomps", "spawns", "shell", "priv_esc", "injection", "namespaces", "pivot", "lolbins",
+    "lolbin_bits",
+]
+#: how the values of a measure are folded; all others are summed
+FOLDS = {name: "max" for name in ("tor", "private", "dns_max", "shell", "priv_esc", "injection", "pivot")} | {"lolbin_bits": "or"}
+
+
+def fold(name: str, value: Column | str) -> Column:
+    return {"sum": F.sum, "max": F.max, "or": F.bit_or}[FOLDS.get(name, "sum")](value)
+
+
+def row_measures() -> dict[str, Column]:
+    """What one event adds to a window; name -> value, of which null adds nothing."""
     col = F.col
     path = F.coalesce(col("path"), F.lit(""))
     outbound = _is(C.NETWORK) & (col("direction") == "outbound")
     inbound = _is(C.NETWORK) & ~F.coalesce(col("direction") == "outbound", F.lit(False))
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    flag = lambda cond: F.max(F.when(cond, 1).otherwise(0))
-    total = lambda cond, v: F.sum(F.when(cond, F.col(v)).otherwise(F.lit(0)))
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    value = lambda cond, v: F.when(cond, F.col(v)).otherwise(F.lit(0))
     lol = _is(C.LOLBIN)
-    return {
-        "n": F.count("*"),
-        "outbound": n(outbound),
-        "bytes_sent": total(outbound, "bytes_count"),
-        "bytes_recv": total(inbound, "bytes_count"),
-        "tor": flag(_is(C.NETWORK) & X.is_tor_port(col("dst_port"))),
-        "private": flag(_is(C.NETWORK) & X.is_rfc1918(col("dst_ip"))),
-        "dns": n(_is(C.DNS_TUNNEL)),
-        "dns_bytes": total(_is(C.DNS_TUNNEL), "payload_size"),
-        "dns_max": F.max(F.when(_is(C.DNS_TUNNEL), col("payload_size")).otherwise(F.lit(0))),
-        "system_files": n(_is(C.FILE) & (X.in_system_dir(path) | X.is_sensitive_path(path))),
-        "exec_opens": n(_is(C.FILE) & (col("operation") == "open") & X.looks_executable(path)),
-        "writes": n(_is(C.FILE) & (col("operation") == "write")),
-        "log_deletions": n(_is(C.ANTIFORENSIC) & col("action").isin("unlink", "truncate")),
-        "timestomps": n(_is(C.ANTIFORENSIC) & (col("action") == "timestomp")),
-        "spawns": n(_is(C.PROCESS) & col("action").isin("exec", "fork")),
-        "shell": flag(_is(C.PROCESS) & X.is_shell(col("comm"), col("exe_path"), col("cmdline"))),
-        "priv_esc": flag(_is(C.SYSCALL) & X.is_priv_esc(col("syscall_nr"))),
-        "injection": flag(_is(C.INJECTION)),
-        "namespaces": n(_is(C.CONTAINER) & col("action").isin("setns", "unshare")),
-        "pivot": flag(_is(C.CONTAINER) & (col("action") == "pivot_root")),
-        "lolbins": n(lol),
-        "lolbin_bits": F.bit_or(F.when(lol, X.lolbin_bits(col("comm"))).otherwise(F.lit(0))),
-    }
+    measures = [
+        F.lit(1),
+        one(outbound),
+        value(outbound, "bytes_count"),
+        value(inbound, "bytes_count"),
+        one(_is(C.NETWORK) & X.is_tor_port(col("dst_port"))),
+        one(_is(C.NETWORK) & X.is_rfc1918(col("dst_ip"))),
+        one(_is(C.DNS_TUNNEL)),
+        value(_is(C.DNS_TUNNEL), "payload_size"),
+        value(_is(C.DNS_TUNNEL), "payload_size"),
+        one(_is(C.FILE) & (X.in_system_dir(path) | X.is_sensitive_path(path))),
+        one(_is(C.FILE) & (col("operation") == "open") & X.looks_executable(path)),
+        one(_is(C.FILE) & (col("operation") == "write")),
+        one(_is(C.ANTIFORENSIC) & col("action").isin("unlink", "truncate")),
+        one(_is(C.ANTIFORENSIC) & (col("action") == "timestomp")),
+        one(_is(C.PROCESS) & col("action").isin("exec", "fork")),
+        one(_is(C.PROCESS) & X.is_shell(col("comm"), col("exe_path"), col("cmdline"))),
+        one(_is(C.SYSCALL) & X.is_priv_esc(col("syscall_nr"))),
+        one(_is(C.INJECTION)),
+        one(_is(C.CONTAINER) & col("action").isin("setns", "unshare")),
+        one(_is(C.CONTAINER) & (col("action") == "pivot_root")),
+        one(lol),
+        F.when(lol, X.lolbin_bits(col("comm"))).otherwise(F.lit(0)),
+    ]
+    return dict(zip(MEASURES, measures, strict=True))
 
 
-_MAXED = {"tor", "private", "dns_max", "shell", "priv_esc", "injection", "pivot"}
+def slice_measures() -> dict[str, Column]:
+    """What is summed, maximised or or-ed per slice; name -> column."""
+    return {name: F.count("*") if name == "n" else fold(name, value) for name, value in row_measures().items()}
 
 
 def counter_block(windowed: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,9 +109,6 @@ def counter_block(windowed: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("_before").isNull() | (bucket("first_ns") != bucket("_before")), 1).otherwise(0)
         + F.when(bucket("last_ns") != bucket("first_ns"), 1).otherwise(0)
     )
-    fold = lambda name: (
-        F.bit_or(name) if name == "lolbin_bits" else F.max(name) if name in _MAXED else F.sum(name)
-    )
     return (
         slices.withColumn("_opened", opened)
         .withColumn("_before", F.lag("last_ns").over(line))
@@ -105,7 +117,7 @@ def counter_block(windowed: DataFrame, keys: list[str]) -> DataFrame:
             F.min("first_ns").alias("first_ns"),
             F.max("last_ns").alias("last_ns"),
             F.sum(active).alias("active_slices"),
-            *[fold(name).alias(name) for name in measures],
+            *[fold(name, name).alias(name) for name in measures],
         )
     )
 
@@ -282,17 +294,21 @@ def blocks(events: DataFrame, windowing, entity: list[str], settings: Settings)
     return counters.join(tokens, keys)
 
 
-def vectors(events: DataFrame, windowing, entity: list[str], settings: Settings) -> DataFrame:
-    """``keys, first_ns, last_ns, n, last_comm, features``, 427 features in [0, 1].
-
-    Shares lie in [0, 1] by construction; the named features are clamped.
-    """
+def assembled(settings: Settings) -> Column:
+    """The vector out of the columns of both blocks."""
     named = semantic_features(settings.window_seconds)
-    assembled = F.concat(
+    return F.concat(
         _dense("call_entries", "calls", C.NUM_SYSCALLS),
         _dense("pair_entries", "pairs", C.NUM_BIGRAMS),
         F.array(*[X.clamp01(v) for v in named.values()]),
     )
+
+
+def vectors(events: DataFrame, windowing, entity: list[str], settings: Settings) -> DataFrame:
+    """``keys, first_ns, last_ns, n, last_comm, features``, 427 features in [0, 1].
+
+    Shares lie in [0, 1] by construction; the named features are clamped.
+    """
     return (
         blocks(events, windowing, entity, settings)
         .select(
@@ -301,7 +317,7 @@ def vectors(events: DataFrame, windowing, entity: list[str], settings: Settings)
             "last_ns",
             "n",
             "last_comm",
-            assembled.alias("features"),
+            assembled(settings).alias("features"),
         )
     )
 

@@ -62,6 +62,29 @@ def hopping(events: DataFrame, entity: list[str], settings: Settings) -> Hopping
     return Hopping(session_starts(events, entity), entity, settings)
 
 
+@dataclass(frozen=True)
+class Aligned:
+    """Windows of W seconds every W/2, counted from the epoch.  Right-open."""
+
+    entity: list[str]
+    settings: Settings
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.entity, "k"]
+
+    def assign(self, rows: DataFrame) -> DataFrame:
+        st = self.settings
+        overlap = -(-st.window_ns // st.stride_ns)
+        newest = F.expr(f"ts_ns div {st.stride_ns}L")
+        k = F.col("k")
+        return (
+            rows.withColumn("k", F.explode(F.array(*[newest - i for i in range(overlap - 1, -1, -1)])))
+            .where(F.col("ts_ns") < k * st.stride_ns + st.window_ns)
+            .withColumn("win_start", k * st.stride_ns)
+        )
+
+
 @dataclass(frozen=True)
 class Snapshots:
     """At each tick, the last W seconds of every process before its newest event.

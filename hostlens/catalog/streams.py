@@ -14,6 +14,7 @@ from hostlens.operators import funnel as FN
 from hostlens.sources import store as S
 from hostlens.sources.telemetry import from_events
 from hostlens.streaming import live as L
+from hostlens.streaming import vectors as V
 
 ONCE = {"availableNow": True}
 DELAY = DAY  # lateness allowed, in seconds
@@ -129,6 +130,46 @@ def st2(spark, sf_dir):
     return _finish(spark, L.sliding_features(stream, ST, ["n", "outbound", "writes", "injection"]))
 
 
+def _arriving(spark, df, late_seconds, files=8):
+    """``df`` as files that arrive one after another, events up to ``late_seconds`` late."""
+    L.use_rocksdb(spark)
+    path = S.work_path(spark, "arrivals")
+    at = F.col("ts_ns") + F.pmod(F.xxhash64("event_id"), F.lit(late_seconds)) * NS
+    cuts = df.withColumn("_at", at).approxQuantile("_at", [i / files for i in range(1, files)], 0.001)
+    number = sum((F.when(at > F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
+    slices = S.materialize(df.withColumn("_slice", number), "slices")
+    for i in range(files):
+        slices.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+    return path, df.schema
+
+
+def _closed_vectors(spark, sf_dir):
+    def build():
+        path, schema = _arriving(spark, tel(spark, sf_dir), DELAY)
+        stream = L.with_event_time(L.event_stream(spark, path, schema, max_files=4), DELAY)
+        return _finish(spark, V.vector_stream(stream, ST))
+
+    return stored(spark, sf_dir, "stream-vectors", build)
+
+
+@query(
+    "ST2_window_vectors",
+    sql(f"SELECT host_id, pid, k, CAST(idx AS INT) AS idx, round(v, 8) AS v FROM a_vec WHERE v <> 0 AND k * {HALF_DAY_US} + {2 * HALF_DAY_US} <= {DONE_US}", "a_vec", "tel"),
+)
+def st2_vectors(spark, sf_dir):
+    """All 427 places of every closed window, from events that arrive out of order."""
+    out = _closed_vectors(spark, sf_dir).select(*PROC, "k", F.posexplode("features").alias("idx", "v"))
+    return out.where("v <> 0").withColumn("v", F.round("v", 8))
+
+
+@query(
+    "ST2_window_summary",
+    sql(f"SELECT host_id, pid, k, last_ns, CAST(n AS BIGINT) AS n, CAST(427 AS INT) AS places FROM a_sem WHERE k * {HALF_DAY_US} + {2 * HALF_DAY_US} <= {DONE_US}", "a_sem", "tel"),
+)
+def st2_summary(spark, sf_dir):
+    return _closed_vectors(spark, sf_dir).select(*PROC, "k", "last_ns", "n", F.size("features").alias("places"))
+
+
 IDLE = DAY // 4
 SHORT_DELAY = DAY // 4
 REAP_US = f"(SELECT max(ts_ns) // 1000000 * 1000 - {SHORT_DELAY * 1_000_000} FROM tel)"

@@ -98,6 +98,11 @@ def register_vectors(p: str, entity: list[str], source: str, windowing: str = "h
             f"FROM {p}pairs t JOIN {p}starts b ON {on('t', 'b')}) WHERE wk >= 0 AND ts_ns < s + wk * {STRIDE} + {W} AND prev_ns >= s + wk * {STRIDE}",
             f"{p}starts", f"{p}pairs",
         )
+    elif windowing == "aligned":
+        key = [*entity, "k"]
+        hop = f"unnest([ts_ns // {STRIDE} - 1, ts_ns // {STRIDE}]) AS k"
+        cte(f"{p}win", f"SELECT * EXCLUDE (k), {hop} FROM {source}", source)
+        cte(f"{p}pwin", f"SELECT * FROM (SELECT *, {hop} FROM {p}pairs) WHERE prev_ns >= k * {STRIDE}", f"{p}pairs")
     elif windowing == "whole":
         key = list(entity)
         cte(f"{p}win", f"SELECT * FROM {source}", source)
@@ -167,6 +172,7 @@ def register_vectors(p: str, entity: list[str], source: str, windowing: str = "h
 
 
 register_vectors("p_", ["host_id", "pid"], "tel")
+register_vectors("a_", ["host_id", "pid"], "tel", "aligned")
 cte("train_src", "SELECT * FROM tel WHERE ts_ns < 1705795200000000000", "tel")
 register_vectors("c_", ["host_id", "comm"], "train_src")
 cte("score_src", "SELECT * FROM tel WHERE ts_ns >= 1705795200000000000", "tel")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.catalog.alerting import rules
-from hostlens.catalog.common import DAY, NS, PROC, ST, T0, alert_table, query, sql, stored, tel, verdict_feed
+from hostlens.catalog import outbox  # noqa: F401  its common tables
+from hostlens.catalog.common import DAY, NS, PROC, REGISTRY, ST, T0, TRAIN_END, alert_table, query, sql, stored, tel, verdict_feed
 from hostlens.catalog.decoding import NOW_TS
-from hostlens.catalog.joins import PAIRS, half_calls
+from hostlens.catalog.joins import PAIRS, half_calls, safe_pids
+from hostlens.catalog.scoring import live_baselines
 from hostlens.catalog.windows import LATEST, _windows
 from hostlens.operators import alerts as A
 from hostlens.operators import funnel as FN
@@ -15,6 +17,7 @@ from hostlens.sources import store as S
 from hostlens.sources.telemetry import from_events
 from hostlens.streaming import live as L
 from hostlens.streaming import vectors as V
+from hostlens.streaming.alerting import LiveAlerts
 
 ONCE = {"availableNow": True}
 DELAY = DAY  # lateness allowed, in seconds
@@ -74,6 +77,33 @@ def _finish_in_order(spark, df, order, follow, rows=None):
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
+def _arriving(spark, df, late_seconds, files=8, time="ts_ns"):
+    """``df`` as files that arrive one after another, rows up to ``late_seconds`` late."""
+    L.use_rocksdb(spark)
+    path = S.work_path(spark, "arrivals")
+    at = F.col(time) + F.pmod(F.xxhash64(*df.columns), F.lit(late_seconds)) * NS
+    placed = S.materialize(df.withColumn("_at", at), "placed")
+    cuts = placed.approxQuantile("_at", [i / files for i in range(1, files)], 0.001)
+    number = sum((F.when(F.col("_at") > F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(files):
+        placed.where(number == i).drop("_at").write.mode("append").parquet(path)
+    return path, df.schema
+
+
+def _finish_shuffled(spark, df, time, follow, late_seconds=DELAY // 2):
+    """``follow`` over a table whose rows arrive late and out of order, to the last row.
+
+    The last file is the heartbeat of a host that does not exist: it moves the
+    watermark past all rows, as the next events would.
+    """
+    path, schema = _arriving(spark, df, late_seconds, time=time)
+    newest = df.agg(F.max(time)).first()[0]
+    beat = {"host_id": -1, "pid": -1, time: newest + 4 * DELAY * NS}
+    spark.createDataFrame([tuple(beat.get(f.name) for f in schema)], schema).write.mode("append").parquet(path)
+    out = follow(L.with_event_time(L.event_stream(spark, path, schema, max_files=8), DELAY, time))
+    return _finish(spark, out).where("host_id >= 0")
+
+
 @query("S01_event_stream", sql("SELECT event_id, ts_ns, fam, comm FROM tel", "tel"))
 def s01(spark, sf_dir):
     return _finish(spark, _event_files(spark, sf_dir).select("event_id", "ts_ns", "fam", "comm"))
@@ -130,19 +160,6 @@ def st2(spark, sf_dir):
     return _finish(spark, L.sliding_features(stream, ST, ["n", "outbound", "writes", "injection"]))
 
 
-def _arriving(spark, df, late_seconds, files=8):
-    """``df`` as files that arrive one after another, events up to ``late_seconds`` late."""
-    L.use_rocksdb(spark)
-    path = S.work_path(spark, "arrivals")
-    at = F.col("ts_ns") + F.pmod(F.xxhash64("event_id"), F.lit(late_seconds)) * NS
-    cuts = df.withColumn("_at", at).approxQuantile("_at", [i / files for i in range(1, files)], 0.001)
-    number = sum((F.when(at > F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
-    slices = S.materialize(df.withColumn("_slice", number), "slices")
-    for i in range(files):
-        slices.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
-    return path, df.schema
-
-
 def _closed_vectors(spark, sf_dir):
     def build():
         path, schema = _arriving(spark, tel(spark, sf_dir), DELAY)
@@ -189,8 +206,9 @@ def st3(spark, sf_dir):
 
 @query("ST4_rolling_context", sql("--MORE w AS (SELECT host_id, pid, k, CAST(count(*) AS BIGINT) AS events FROM p_win GROUP BY ALL) SELECT host_id, pid, k, CAST(len(es) AS INTEGER) AS context_size, CASE WHEN len(es) = 5 THEN round(list_avg(es), 8) END AS context_mean FROM (SELECT *, list(events) OVER (PARTITION BY host_id, pid ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS es FROM w)", "p_win"))
 def st4(spark, sf_dir):
-    windows = _windows(spark, sf_dir).select(*PROC, "k", F.col("events").alias("value"))
-    out = _finish_in_order(spark, windows, "k", lambda rows: L.rolling_context(rows, ST))
+    """Windows that arrive in any order, taken by time."""
+    windows = _windows(spark, sf_dir).select(*PROC, "k", F.col("events").alias("value"), (F.col("k") * ST.stride_ns).alias("ts_ns"))
+    out = _finish_shuffled(spark, windows, "ts_ns", lambda rows: L.rolling_context(rows, ST, period_seconds=DAY // 4))
     return out.withColumn("context_mean", F.round("context_mean", 8))
 
 
@@ -208,7 +226,8 @@ def st6(spark, sf_dir):
 def st7(spark, sf_dir):
     staged = FN.suppressed_by_rule(verdict_feed(spark, sf_dir), rules(spark, sf_dir), F.expr(NOW_TS))
     survivors = staged.withColumn("outcome", FN.first_steps(ST)).where("outcome IS NULL").drop("outcome")
-    return _finish_in_order(spark, survivors, "timestamp_ns", lambda rows: L.funnel_stream(rows, ST))
+    survivors = survivors.select("host_id", "process_name", "pid", "timestamp_ns")
+    return _finish_shuffled(spark, survivors, "timestamp_ns", lambda rows: L.funnel_stream(rows, ST, period_seconds=DAY // 4))
 
 
 HALF = T0 + 15 * DAY * NS
@@ -245,7 +264,8 @@ def st9(spark, sf_dir):
 
 @query("ST10_entry_exit_state", sql("--MORE" + PAIRS.format(f=1) + "SELECT host_id, pid, event_id AS enter_id, exit_id, ts_ns AS enter_ns, exit_ns FROM linked WHERE kind = 'enter' AND nk = 'exit'", "tel"))
 def st10(spark, sf_dir):
-    return _finish_in_order(spark, half_calls(spark, sf_dir, 1), "ts_ns", L.pair_stream)
+    halves = half_calls(spark, sf_dir, 1).select(*PROC, "kind", "event_id", "ts_ns")
+    return _finish_shuffled(spark, halves, "ts_ns", lambda rows: L.pair_stream(rows, period_seconds=DAY // 4))
 
 
 @query("ST11_persist_and_score", sql("SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS n FROM feed UNION ALL SELECT 'verdicts', CAST(count(*) AS BIGINT) FROM feed WHERE model_available UNION ALL SELECT 'alerts', CAST(count(*) AS BIGINT) FROM feed WHERE model_available AND final_score >= 70", "feed"))
@@ -265,3 +285,35 @@ def st11(spark, sf_dir):
         for name, path in tables.items()
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def _live(spark, sf_dir):
+    """The scored part of the events through the live path, out of order and in several micro-batches."""
+
+    def build():
+        app = LiveAlerts(
+            spark, S.work_path(spark, "live-alerts"), ST, lambda: live_baselines(spark, sf_dir), lambda: rules(spark, sf_dir),
+            F.expr(NOW_TS), delay_seconds=DAY, safe_pids=safe_pids(spark, sf_dir),
+        )
+        path, schema = _arriving(spark, tel(spark, sf_dir).where(F.col("ts_ns") >= TRAIN_END), DAY // 2, files=4)
+        app.start(L.event_stream(spark, path, schema, max_files=8), S.work_path(spark, "live-check"), ONCE).awaitTermination()
+        app.finish()
+        return app.table("verdicts").drop("batch_id")
+
+    return stored(spark, sf_dir, "live-verdicts", build)
+
+
+@query("ST11_live_verdicts", REGISTRY["C14_verdicts"].sql)
+def st11_verdicts(spark, sf_dir):
+    """Verdicts that a stream of events made, in micro-batches, with context handed from batch to batch."""
+    scores = [F.round(c, 5).alias(c) for c in ("final_score", "vae_score", "lstm_score")]
+    return _live(spark, sf_dir).select(*PROC, "tick", "process_name", "timestamp_ns", *scores, "severity", "model_available", "suppressed")
+
+
+@query(
+    "ST11_live_alerts",
+    sql("SELECT host_id, pid, tick, process_name, timestamp_ns, outcome FROM scored_outcomes", "scored_outcomes", recursive=True),
+)
+def st11_alerts(spark, sf_dir):
+    """What the funnel of the same stream did with each verdict, its memory handed on as sent alerts."""
+    return _live(spark, sf_dir).select(*PROC, "tick", "process_name", "timestamp_ns", "outcome")

@@ -75,11 +75,15 @@ class Quota:
             return "deduped"
         if len(self.slots) >= self.limit:
             return "rate_limited"
+        self.send(process, ts)
+        return "sent"
+
+    def send(self, process: str, ts: int) -> None:
+        """Take an alert into account, whoever decided to send it."""
         if self.dedup_ns > 0:
             self.quiet[process] = ts + self.dedup_ns
             self.ends.append((ts + self.dedup_ns, process))
         self.slots.append(ts + self.rate_ns)
-        return "sent"
 
 
 ORDER = ["timestamp_ns", "process_name", "pid"]
@@ -91,11 +95,15 @@ def _walker(settings: Settings):
         for batch in batches:
             stretches = zip(batch["host_id"].astype("Int64"), batch["_stretch"])
             outcomes = []
-            for (host, stretch), ts, process in zip(stretches, batch["timestamp_ns"], batch["process_name"]):
+            rows = zip(stretches, batch["timestamp_ns"], batch["process_name"], batch["_earlier"])
+            for (host, stretch), ts, process, earlier in rows:
                 here = (None if pd.isna(host) else host, stretch)
                 if at != here:
                     at, quota = here, Quota(settings)
-                outcomes.append(quota.decide(process, ts))
+                if earlier:
+                    quota.advance(ts)
+                    quota.send(process, ts)
+                outcomes.append(None if earlier else quota.decide(process, ts))
             yield batch.assign(outcome=outcomes)
 
     return run
@@ -117,25 +125,34 @@ def stretches(survivors: DataFrame, settings: Settings) -> DataFrame:
     return placed.join(cells, same).drop("_host", "_at", "_cell")
 
 
-def walk(survivors: DataFrame, row_key: list[str], settings: Settings) -> DataFrame:
+def walk(survivors: DataFrame, row_key: list[str], settings: Settings, sent: DataFrame | None = None) -> DataFrame:
     """Outcome ``sent``, ``deduped`` or ``rate_limited`` of each survivor.
 
     Verdicts of a host are taken in order of time, process name and pid.  Each
     row is moved to the walk of its stretch once; ``survivors`` is read twice.
+    ``sent`` (host_id, process_name, pid, timestamp_ns) are alerts decided before,
+    none later than a survivor of its host: all that a walk has to know of the past
+    are those of the longer horizon.
     """
-    narrow = survivors.select(*dict.fromkeys(["host_id", *ORDER, *row_key]))
+    columns = list(dict.fromkeys(["host_id", *ORDER, *row_key]))
+    narrow = survivors.select(*columns, F.lit(False).alias("_earlier"))
+    if sent is not None:
+        blank = [F.lit(None).cast(survivors.schema[c].dataType).alias(c) for c in columns if c not in ("host_id", *ORDER)]
+        narrow = narrow.unionByName(sent.select("host_id", *ORDER, *blank, F.lit(True).alias("_earlier")))
     rows = stretches(narrow, settings)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", outcome string"
     placed = rows.repartition("host_id", "_stretch").sortWithinPartitions("host_id", "_stretch", *ORDER)
-    return placed.mapInPandas(_walker(settings), schema).drop("_stretch")
+    return placed.mapInPandas(_walker(settings), schema).where("NOT _earlier").drop("_stretch", "_earlier")
 
 
-def run_funnel(verdicts: DataFrame, rules: DataFrame, now: Column, row_key: list[str], settings: Settings) -> DataFrame:
+def run_funnel(
+    verdicts: DataFrame, rules: DataFrame, now: Column, row_key: list[str], settings: Settings, sent: DataFrame | None = None
+) -> DataFrame:
     """All verdicts with their ``outcome``: below_threshold, suppressed,
-    deduped, rate_limited or sent."""
+    deduped, rate_limited or sent.  ``sent`` as in ``walk``."""
     staged = suppressed_by_rule(verdicts, rules, now).withColumn("outcome", first_steps(settings)).drop("is_suppressed")
     survivors = materialize(staged.where(F.col("outcome").isNull()).drop("outcome"), "funnel-survivors")
-    walked = walk(survivors, row_key, settings).select(*row_key, "outcome")
+    walked = walk(survivors, row_key, settings, sent).select(*row_key, "outcome")
     return staged.where(F.col("outcome").isNotNull()).unionByName(survivors.join(walked, row_key))
 
 

@@ -57,7 +57,7 @@ class Quota:
         self.rate_ns = settings.rate_window_seconds * NS
         self.limit = settings.max_alerts_per_window
         self.quiet = dict(quiet or {})
-        self.ends = deque(sorted((end, process) for process, end in self.quiet.items()))
+        self.ends = deque(sorted(((end, process) for process, end in self.quiet.items()), key=lambda x: x[0]))
         self.slots = deque(slots)
 
     def advance(self, ts: int) -> None:

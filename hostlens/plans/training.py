@@ -27,8 +27,11 @@ def observed_events(telemetry: DataFrame, process: str | None = None, from_ns: i
 
 
 def training_vectors(telemetry: DataFrame, settings: Settings, entity: list[str] = ENTITY, **observed) -> DataFrame:
-    """Hopping-window vectors of the observation period, one session per key."""
-    rows = observed_events(telemetry, **observed)
+    """Hopping-window vectors of the observation period, one session per key.
+
+    Events without a program name belong to the program '', as in scoring.
+    """
+    rows = observed_events(telemetry, **observed).withColumn("comm", F.coalesce("comm", F.lit("")))
     return FE.vectors(rows, hopping(rows, entity, settings), entity, settings).select(
         *entity, "k", "features"
     )

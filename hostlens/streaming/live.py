@@ -11,11 +11,13 @@ from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hostlens.config import NS, Settings
 from hostlens.operators.features import slice_measures
+from hostlens.operators.funnel import ORDER, Quota
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
@@ -35,9 +37,9 @@ def event_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", m
     return reader.format(fmt).load(path)
 
 
-def with_event_time(df: DataFrame, delay_seconds: int) -> DataFrame:
+def with_event_time(df: DataFrame, delay_seconds: int, time: str = "ts_ns") -> DataFrame:
     return df.withColumn(
-        "event_time", F.timestamp_micros(F.expr("ts_ns div 1000"))
+        "event_time", F.timestamp_micros(F.expr(f"{time} div 1000"))
     ).withWatermark("event_time", f"{delay_seconds} seconds")
 
 
@@ -79,6 +81,74 @@ def start_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     )
 
 
+# --- rows of a key in order of event time ---------------------------------------------
+
+class InEventTime(StatefulProcessor):
+    """Hands the rows of a key to ``inner`` in order of time, whatever order they arrive in.
+
+    Rows wait, packed, in the period of time they belong to.  When the watermark has
+    passed the end of a period nothing earlier can arrive, and a timer hands its rows
+    over, sorted.  What comes behind the watermark is dropped by Spark.
+    """
+
+    def __init__(self, inner: StatefulProcessor, columns: list[str], order: list[str], time: str, period_ns: int):
+        if period_ns <= 0 or period_ns % 1_000_000:
+            raise ValueError("a period has whole milliseconds")
+        self.inner, self.columns, self.order, self.time, self.period_ns = inner, columns, order, time, period_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+        self.handle = handle
+        self.parts = handle.getMapState("waiting_parts", "period bigint", "n int")
+        self.waiting = handle.getMapState("waiting_rows", "period bigint, part int", "packed binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for period, own in batch.groupby(batch[self.time] // self.period_ns):
+                period = int(period)
+                n = self.parts.getValue((period,))[0] if self.parts.containsKey((period,)) else 0
+                if not n:
+                    # a millisecond early: a timer is due when the watermark has passed it
+                    self.handle.registerTimer((period + 1) * self.period_ns // 1_000_000 - 1)
+                table, sink = pa.Table.from_pandas(own[self.columns], preserve_index=False), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table)
+                self.waiting.updateValue((period, n), (sink.getvalue().to_pybytes(),))
+                self.parts.updateValue((period,), (n + 1,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        period = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1_000_000 // self.period_ns - 1
+        if not self.parts.containsKey((period,)):
+            return
+        parts = []
+        for i in range(self.parts.getValue((period,))[0]):
+            parts.append(pa.ipc.open_stream(pa.py_buffer(bytes(self.waiting.getValue((period, i))[0]))).read_pandas())
+            self.waiting.removeKey((period, i))
+        self.parts.removeKey((period,))
+        yield from self.inner.handleInputRows(key, iter([pd.concat(parts).sort_values(self.order)]), timerValues)
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+def _with_state(
+    stream: DataFrame, keys: list[str], processor: StatefulProcessor, columns: list[str], out: str, order: list[str], time: str,
+    period_seconds: float | None,
+) -> DataFrame:
+    """``processor`` over the rows of a key as they arrive or, with a period, by event time."""
+    if period_seconds is None:
+        return stream.select(*columns).groupBy(*keys).transformWithStateInPandas(
+            processor, outputStructType=out, outputMode="Append", timeMode="None"
+        )
+    held = InEventTime(processor, columns, order, time, round(period_seconds * NS))
+    needed = list(dict.fromkeys([*columns, time]))
+    held.columns = needed
+    return stream.select(*needed, "event_time").groupBy(*keys).transformWithStateInPandas(
+        held, outputStructType=out, outputMode="Append", timeMode="EventTime"
+    )
+
+
 # --- trailing window and rolling context as keyed state ---------------------------
 
 TRAILING_OUT = "host_id bigint, pid bigint, latest_ns bigint, event_count bigint, span_ns bigint, reaped boolean"
@@ -183,16 +253,17 @@ class RollingContext(StatefulProcessor):
         pass
 
 
-def rolling_context(stream: DataFrame, settings: Settings) -> DataFrame:
-    """``stream(host_id, pid, k, value)``, one row per window, windows of a
-    process in order over the micro-batches."""
-    return (
-        stream.select("host_id", "pid", "k", F.col("value").cast("double").alias("value"))
-        .groupBy("host_id", "pid")
-        .transformWithStateInPandas(
-            RollingContext(settings.sequence_length), outputStructType=CONTEXT_OUT,
-            outputMode="Append", timeMode="None",
-        )
+def rolling_context(stream: DataFrame, settings: Settings, period_seconds: float | None = None) -> DataFrame:
+    """``stream(host_id, pid, k, value)``, one row per window.
+
+    Windows of a process come in order over the micro-batches or, with
+    ``period_seconds``, in any order, with ``ts_ns`` and a watermark on
+    ``event_time``; they are then taken by time, a period after the other.
+    """
+    values = stream.withColumn("value", F.col("value").cast("double"))
+    return _with_state(
+        values, ["host_id", "pid"], RollingContext(settings.sequence_length), ["host_id", "pid", "k", "value"], CONTEXT_OUT,
+        ["k"], "ts_ns", period_seconds,
     )
 
 
@@ -222,8 +293,6 @@ class FunnelState(StatefulProcessor):
         self.newest = handle.getValueState("newest", "ts_ns bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from hostlens.operators.funnel import ORDER, Quota
-
         pdf = pd.concat(list(rows)).sort_values(ORDER)
         known = {}
         for process in pdf["process_name"].unique():
@@ -253,7 +322,7 @@ class FunnelState(StatefulProcessor):
             by_period.setdefault(until // self.period, []).append(process)
         for period, names in by_period.items():
             old = json.loads(self.ends.getValue((period,))[0]) if self.ends.containsKey((period,)) else []
-            self.ends.updateValue((period,), (json.dumps(sorted({*old, *names})),))
+            self.ends.updateValue((period,), (json.dumps(sorted({*old, *names}, key=lambda x: (x is None, x or ""))),))
 
     def _forget(self, now: int) -> None:
         # alerts are sent before now, so at most two periods are still open
@@ -268,16 +337,16 @@ class FunnelState(StatefulProcessor):
         pass
 
 
-def funnel_stream(survivors: DataFrame, settings: Settings) -> DataFrame:
-    """Outcome of every verdict that passed threshold and suppression; verdicts
-    arrive in time order per host, as the score trigger produces them, or are
-    called late."""
-    return (
-        survivors.select("host_id", "process_name", "pid", "timestamp_ns")
-        .groupBy("host_id")
-        .transformWithStateInPandas(
-            FunnelState(settings), outputStructType=FUNNEL_OUT, outputMode="Append", timeMode="None"
-        )
+def funnel_stream(survivors: DataFrame, settings: Settings, period_seconds: float | None = None) -> DataFrame:
+    """Outcome of every verdict that passed threshold and suppression.
+
+    Verdicts arrive in time order per host, as the score trigger produces them, or
+    are called late; with ``period_seconds`` and a watermark on ``event_time`` they
+    arrive in any order and are taken by time.
+    """
+    columns = ["host_id", "process_name", "pid", "timestamp_ns"]
+    return _with_state(
+        survivors, ["host_id"], FunnelState(settings), columns, FUNNEL_OUT, ORDER, "timestamp_ns", period_seconds
     )
 
 
@@ -314,14 +383,12 @@ class OpenEntry(StatefulProcessor):
         pass
 
 
-def pair_stream(calls: DataFrame) -> DataFrame:
-    return (
-        calls.select("host_id", "pid", "kind", "event_id", "ts_ns")
-        .groupBy("host_id", "pid")
-        .transformWithStateInPandas(
-            OpenEntry(), outputStructType=PAIR_OUT, outputMode="Append", timeMode="None"
-        )
-    )
+def pair_stream(calls: DataFrame, period_seconds: float | None = None) -> DataFrame:
+    """Entries with their exits.  Without ``period_seconds`` halves must arrive in time
+    order over the micro-batches; with it, and a watermark on ``event_time``, in any
+    order: they are paired by time, a period after the other."""
+    columns = ["host_id", "pid", "kind", "event_id", "ts_ns"]
+    return _with_state(calls, ["host_id", "pid"], OpenEntry(), columns, PAIR_OUT, ["ts_ns", "event_id"], "ts_ns", period_seconds)
 
 
 # --- one stream, three tables ------------------------------------------------------------

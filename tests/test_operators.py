@@ -178,3 +178,12 @@ def test_rounding_like_printf(spark):
 def test_severity_bands(spark):
     got = [r["s"] for r in spark.createDataFrame([(float(v),) for v in (95, 90, 75, 70, 50, 40, 10, 0, 1000, -50)], "v double").select(X.severity(F.col("v"), ST).alias("s")).collect()]
     assert got == ["CRITICAL", "CRITICAL", "HIGH", "HIGH", "MEDIUM", "MEDIUM", "LOW", "LOW", "CRITICAL", "LOW"]
+
+
+def test_events_without_a_program_are_trained(spark):
+    from hostlens.plans import training
+    from sessions import call, frame
+
+    rows = [dict(call(i % 3), comm=None if i % 2 else "app") for i in range(60)]
+    vectors = training.training_vectors(frame(spark, rows), Settings(window_seconds=30))
+    assert sorted({r["comm"] for r in vectors.select("comm").collect()}) == ["", "app"]

@@ -145,3 +145,15 @@ def test_one_pass_equals_split_and_union(spark):
     assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
     picked = S.from_envelope(S.to_envelope(events), [C.FILE])
     assert {r["fam"] for r in picked.select("fam").collect()} == {C.FILE}
+
+
+def test_discarded_tables_are_gone(spark):
+    from pyspark.errors import AnalysisException
+
+    kept, gone = (S.materialize(spark.range(3), "some") for _ in range(2))
+    S.discard(gone, spark.range(2))
+    assert kept.count() == 3 and not S.exists(spark, gone.work_path)
+    try:
+        assert spark.read.parquet(gone.work_path).count() is None
+    except AnalysisException:
+        pass

@@ -127,3 +127,84 @@ def test_ordered_feed_in_slices_of_rows(spark):
     assert n == 8 and len(sizes) == 8 and max(sizes) <= 400
     out = ST_._finish_in_order(spark, df, "at", lambda rows: rows.withColumn("file", F.col("_metadata.file_name")), rows=1000)
     assert out.count() == 2000 and out.select("file").distinct().count() > 4
+
+
+def shuffled(spark, tmp_path, df, time, parts=5, late=30):
+    """Files with rows up to ``late`` seconds late, and a last one that moves time on."""
+    path = str(tmp_path / "late-in")
+    rows = df.withColumn("_at", F.col(time) + F.pmod(F.xxhash64(*df.columns), F.lit(late)) * NS)
+    span = rows.agg(F.max("_at")).first()[0] + 1
+    for i in range(parts):
+        rows.where((F.col("_at") * parts >= i * span) & (F.col("_at") * parts < (i + 1) * span)).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    beat = {"host_id": -1, "pid": -1, time: span + 1000 * NS}
+    spark.createDataFrame([tuple(beat.get(f.name) for f in df.schema)], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return L.with_event_time(L.event_stream(spark, path, df.schema, max_files=1), late + 1, time)
+
+
+def finished(spark, tmp_path, df):
+    run(df, str(tmp_path / "late-out"), str(tmp_path / "late-check"))
+    return spark.read.schema(df.schema).parquet(str(tmp_path / "late-out")).collect()
+
+
+def test_exits_before_entries_in_another_batch(spark, tmp_path):
+    """Entries at 10 and 30 arrive in one micro-batch, exits at 20 and 40 in the next."""
+    L.use_rocksdb(spark)
+    df = spark.createDataFrame(
+        [(1, 0, 1, 10 * NS, "enter"), (3, 0, 1, 30 * NS, "enter"), (2, 0, 1, 20 * NS, "exit"), (4, 0, 1, 40 * NS, "exit"), (9, 0, 2, 900 * NS, "enter")],
+        "event_id bigint, host_id bigint, pid bigint, ts_ns bigint, kind string",
+    )
+    for path, check, out in feed(spark, tmp_path, ["event_id in (1, 3)", "event_id in (2, 4)", "event_id = 9"], df):
+        run(L.pair_stream(L.with_event_time(L.event_stream(spark, path, df.schema), 60), period_seconds=5), out, check)
+    assert sorted((r["enter_id"], r["exit_id"]) for r in spark.read.parquet(out).collect()) == [(1, 2), (3, 4)]
+
+
+def test_pairs_of_a_shuffled_feed(spark, tmp_path):
+    L.use_rocksdb(spark)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2), rng.randrange(3), i * NS + rng.randrange(NS), rng.choice(["enter", "exit"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id bigint, host_id bigint, pid bigint, ts_ns bigint, kind string")
+    got = finished(spark, tmp_path, L.pair_stream(shuffled(spark, tmp_path, df, "ts_ns"), period_seconds=7))
+    want, waiting = set(), {}
+    for i, host, pid, ts, kind in sorted(rows, key=lambda r: r[3]):
+        if kind == "enter":
+            waiting[host, pid] = i
+        elif (host, pid) in waiting:
+            want.add((waiting.pop((host, pid)), i))
+    assert {(r["enter_id"], r["exit_id"]) for r in got} == want and len(want) > 50
+
+
+def test_funnel_of_a_shuffled_feed(spark, tmp_path):
+    L.use_rocksdb(spark)
+    rng, t, rows = random.Random(8), 0, []
+    for i in range(300):
+        t += rng.choice([1, 3, 40]) * NS // 2 + 1
+        rows.append((rng.randrange(2), rng.choice(["a", "b", None]), 1, t, i))
+    df = spark.createDataFrame(rows, "host_id bigint, process_name string, pid bigint, timestamp_ns bigint, event_id bigint")
+    st = ST.with_(dedup_seconds=20, rate_window_seconds=60, max_alerts_per_window=3)
+    got = finished(spark, tmp_path, L.funnel_stream(shuffled(spark, tmp_path, df, "timestamp_ns"), st, period_seconds=3))
+    batch = {(r["host_id"], r["timestamp_ns"]): r["outcome"] for r in FN.walk(df, ["event_id"], st).collect()}
+    assert {(r["host_id"], r["timestamp_ns"]): r["outcome"] for r in got} == batch
+
+
+def test_context_of_a_shuffled_feed(spark, tmp_path):
+    L.use_rocksdb(spark)
+    df = spark.createDataFrame([(0, 1, k, float(k), k * 10 * NS) for k in range(60)], "host_id bigint, pid bigint, k bigint, value double, ts_ns bigint")
+    got = finished(spark, tmp_path, L.rolling_context(shuffled(spark, tmp_path, df, "ts_ns"), ST, period_seconds=40))
+    assert sorted((r["k"], r["context_size"], r["context_mean"]) for r in got) == [
+        (k, min(k + 1, 3), float(k - 1) if k > 1 else None) for k in range(60)
+    ]
+
+
+def test_state_needs_no_copy_of_the_package(spark):
+    """What travels to the workers names no module of the package."""
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    for processor in (L.FunnelState(ST), L.OpenEntry(), L.RollingContext(3), L.InEventTime(L.OpenEntry(), ["ts_ns"], ["ts_ns"], "ts_ns", NS)):
+        raw = cloudpickle.dumps(processor)
+        strings = [str(arg) for op, arg, _ in pickletools.genops(raw) if op.name in ("SHORT_BINUNICODE", "BINUNICODE", "GLOBAL")]
+        code = [c for c in strings if c.startswith("hostlens")]
+        # module names may label classes made anew; none may be imported
+        assert not any(op.name == "GLOBAL" and str(arg).startswith("hostlens") for op, arg, _ in pickletools.genops(raw))
+        assert "import" not in code

@@ -15,8 +15,9 @@ already exceeds that.  Bounds are floating point and widened by a margin; scores
 are exact integers, so results and ties are exact.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
-rows without id.  Shorter vectors count as padded with zeros.  Of rows with one
-id the one with the smallest vector counts.  Scores are computed in floating point
+rows without id.  Shorter vectors count as padded with zeros.  Rows that share an
+id are rows of their own: each is a query where the id asks for it, and each is a
+candidate of every other row.  Scores are computed in floating point
 while that is exact and in 64-bit integers beyond; if squared lengths exceed 2^62,
 scores are no longs and an error is raised.  Equal vectors, however many, are
 rows of pages like any other.  An empty table gives an empty result.
@@ -57,10 +58,10 @@ class Tree:
 
     Node n has object ``center[n]``, ``radius[n]``, distance ``up[n]`` to its parent's
     object, and either children ``first[n]:last[n]`` or, as a leaf, rows
-    ``first[n]:last[n]`` of the tree's own order.
+    ``first[n]:last[n]`` of the tree's own order.  ``own`` tells rows of one id apart.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int, page: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int, page: int, own: np.ndarray | None = None):
         lift = np.sqrt(np.maximum(0.0, float(largest) - (vectors.astype(float) ** 2).sum(1)))
         self.points = np.column_stack((vectors.astype(float), lift))
         self.page = page
@@ -93,6 +94,7 @@ class Tree:
             at += 1
         order = np.concatenate(order)
         self.ids, self.vectors, self.points = ids[order], vectors[order], self.points[order]
+        self.rows = (ids if own is None else own)[order]
         self.row_up = np.concatenate(row_up)
         self.center, self.radius, self.up = np.array(self.center), np.array(self.radius), np.array(self.up)
 
@@ -117,8 +119,8 @@ class Tree:
             groups = np.array_split(rows, -(-len(rows) // self.page) if len(rows) <= self.page**2 else self.page)
         return groups
 
-    def search(self, query_id: int, q: np.ndarray, k: int, margin: float) -> list[tuple[int, int]]:
-        """The k best (score, id) of the tree, best first; the query's own id is left out."""
+    def search(self, query_row: int, q: np.ndarray, k: int, margin: float) -> list[tuple[int, int]]:
+        """The k best (score, id) of the tree, best first; the query's own row is left out."""
         point = np.append(q, 0.0)
         norm = float(q.astype(float) @ q.astype(float))
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
@@ -145,9 +147,9 @@ class Tree:
             elif len(live) > 4 * k:
                 keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
                 live, scores = live[keep], scores[keep]
-            for score, i in zip(scores.tolist(), self.ids[live].tolist()):
+            for score, i, row in zip(scores.tolist(), self.ids[live].tolist(), self.rows[live].tolist()):
                 entry = (int(score), -i)
-                if i == query_id:
+                if row == query_row:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, entry)
@@ -172,7 +174,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     rows = materialize(
         vectors.select(col(vec_id).cast("long").alias("id"), quantised(col(vector), p.scale).alias("v"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())
-        .groupBy("id").agg(F.min("v").alias("v")),
+        .withColumn("row", F.monotonically_increasing_id()),
         "quantised",
     )
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -184,7 +186,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         raise ValueError("scores of these vectors exceed 64-bit integers")
     width, largest = max(1, width), int(largest)
     kind = np.dtype("f8") if largest <= EXACT else np.dtype("i8")
-    pivots = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(p.pivots, max(1, n // 64))).collect()]
+    pivots = [r.v for r in rows.orderBy(F.xxhash64("row"), "row").limit(min(p.pivots, max(1, n // 64))).collect()]
     centers = np.array([[*v, *[0] * (width - len(v))] for v in pivots], float)
     blocks, query_blocks = -(-n // p.block_rows), max(1, -(-n // p.every // p.query_rows))
 
@@ -204,29 +206,30 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
 
     # rows near one pivot follow each other; a block is the next so many of them, so equal
     # vectors spread over as many blocks as they need
-    placed = materialize(rows.withColumn("pivot", nearest("v")).withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(64))), "placed")
+    placed = materialize(rows.withColumn("pivot", nearest("v")).withColumn("turn", F.pmod(F.xxhash64("row"), F.lit(64))), "placed")
     counts = placed.groupBy("pivot", "turn").agg(F.count("*").alias("n"))
     before = Window.orderBy("pivot", "turn").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(
         counts.select(F.col("pivot").alias("p"), F.col("turn").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")),
         "block-starts",
     )
-    within = Window.partitionBy("pivot", "turn").orderBy("id")
+    within = Window.partitionBy("pivot", "turn").orderBy("id", "row")
     numbered = placed.join(F.broadcast(counts), (F.col("pivot") == F.col("p")) & (F.col("turn") == F.col("t"))).select(
-        "id", "v", F.floor((F.col("before") + F.row_number().over(within) - 1) / p.block_rows).cast("int").alias("block")
+        "row", "id", "v", F.floor((F.col("before") + F.row_number().over(within) - 1) / p.block_rows).cast("int").alias("block")
     )
 
     def load(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        v = matrix(frame["v"]).astype("<i8")
-        return pd.DataFrame([(int(frame["block"].iloc[0]), frame["id"].to_numpy("<i8").tobytes(), v.tobytes())], columns=["block", "ids", "vs"])
+        frame = frame.sort_values(["id", "row"])
+        v, row, ident = matrix(frame["v"]).astype("<i8"), frame["row"].to_numpy("<i8"), frame["id"].to_numpy("<i8")
+        return pd.DataFrame([(int(frame["block"].iloc[0]), row.tobytes(), ident.tobytes(), v.tobytes())], columns=["block", "rows", "ids", "vs"])
 
-    stored = materialize(numbered.groupBy("block").applyInPandas(load, "block int, ids binary, vs binary"), "vector-blocks")
+    kind_of_block = "block int, rows binary, ids binary, vs binary"
+    stored = materialize(numbered.groupBy("block").applyInPandas(load, kind_of_block), "vector-blocks")
     asked = (
         rows.where(F.col("id") % p.every == 0)
-        .select(F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("block"), "id", "v")
-        .groupBy("block").applyInPandas(load, "block int, ids binary, vs binary")
-        .select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vs").alias("query_vs"))
+        .select(F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("block"), "row", "id", "v")
+        .groupBy("block").applyInPandas(load, kind_of_block)
+        .select(F.col("block").alias("query_block"), *[F.col(c).alias(f"query_{c}") for c in ("rows", "ids", "vs")])
     )
     # queries go to the blocks: a block of rows is moved once, however many queries there are
     pairs = (
@@ -241,29 +244,33 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         for part in parts:
             for r in part.to_pylist():
                 if loaded != r["block"]:
-                    ids = np.frombuffer(r["ids"], "<i8")
-                    tree, loaded = Tree(ids, np.frombuffer(r["vs"], "<i8").reshape(-1, width).astype(kind), largest, p.page), r["block"]
+                    ids, own = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i8")
+                    tree, loaded = Tree(ids, np.frombuffer(r["vs"], "<i8").reshape(-1, width).astype(kind), largest, p.page, own), r["block"]
                 out = []
-                for i, q in zip(np.frombuffer(r["query_ids"], "<i8").tolist(), np.frombuffer(r["query_vs"], "<i8").reshape(-1, width).astype(kind)):
-                    out += [(i, x, s) for s, x in tree.search(i, q, p.k, margin)]
+                asking = zip(
+                    np.frombuffer(r["query_rows"], "<i8").tolist(), np.frombuffer(r["query_ids"], "<i8").tolist(),
+                    np.frombuffer(r["query_vs"], "<i8").reshape(-1, width).astype(kind),
+                )
+                for row, i, q in asking:
+                    out += [(row, i, x, s) for s, x in tree.search(row, q, p.k, margin)]
                 if out:
-                    a, b, c = zip(*out)
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["query_id", "vec_id", "score"])
+                    names = ["query_row", "query_id", "vec_id", "score"]
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    found = pairs.sortWithinPartitions("block").mapInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs.sortWithinPartitions("block").mapInArrow(meet, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
 WITH q AS MATERIALIZED (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
-    FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+    SELECT a.row, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.row <> b.row)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
 

@@ -11,16 +11,16 @@ SCHEMA = "vec_id long, embedding array<float>, label int, v string"
 
 
 def brute(rows, k=5, every=50):
-    usable = {}
+    usable = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         q = [math.floor(256 * float(np.float32(x))) for x in v]
-        usable[i] = min(usable.get(i, q), q)
+        usable.append((i, q))
     out = []
-    for i, q in usable.items():
+    for n, (i, q) in enumerate(usable):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in usable.items() if j != i)
+            scored = sorted((-sum(a * b for a, b in zip(q, x)), j) for m, (j, x) in enumerate(usable) if m != n)
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -48,6 +48,13 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert run(spark, rows, block_rows=64, page=8) == brute(rows)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [0.1, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [0.0, 3.0])]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert (0, 1, 1, 131072) in got and len([r for r in got if r[0] == 50]) == 15
+
+
 def test_few_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []

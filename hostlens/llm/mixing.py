@@ -14,14 +14,15 @@ words that are due last; the sample has a fixed size in words.  What the next
 document overshoots is filled by documents that fit, in the same order, and one
 document more is taken if that brings the source nearer to its target.
 
-Random numbers are hashes of doc_id and seed, so reruns agree.  The order of a
+Random numbers are hashes of doc_id and seed, so reruns agree.  Rows that share id
+and source are numbered by size, and a number beyond the first is hashed as well,
+so repeated rows, and rows without id, are taken one by one like any others.  The order of a
 source is summed in bins, not in one task: only the bin in which the words run
 out is ranked row by row.  What is decided per source is a short list of
 (words due, last place taken); rows are compared with that list.
 
-Null and empty texts have size 0 and are never taken.  Rows with one doc_id, and
-rows without any, share a place in the order and are taken together or not at
-all.  A null source is a source, the last one.  An empty table gives an empty
+Null and empty texts have size 0 and are never taken.  A null source is a source,
+the last one.  An empty table gives an empty
 result.  Other columns pass through.
 """
 
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hostlens.llm.common import attach, col, fresh, materialize, query, table
+from hostlens.operators.ordered import positions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,9 +82,37 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from the first 48 bits of the md5 of id and seed."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"/{seed}")))
+def numbered(rows: DataFrame, doc_id: str, source: str, size: str, out: str) -> DataFrame:
+    """``rows`` and how many rows with the same id and source come before each, by size.
+
+    Only rows whose id and source occur again are put in order, in chunks of one size,
+    some hashes and one partition, so that neither a crowd without ids nor one
+    row repeated many times meets in one task.
+    """
+    key, other, row_hash, part, at = fresh(rows, "_key", "_again", "_hash", "_part", "_at")
+    named = rows.withColumn(key, F.to_json(F.struct(col(doc_id).alias("id"), col(source).alias("source"))))
+    again = materialize(named.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias(other)), "mix-repeated")
+    if again.isEmpty():
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    same = F.col(key) == F.col(other)
+    once = named.join(again, same, "left_anti").withColumn(out, F.lit(0).cast("long"))
+    some = (
+        named.join(again, same, "left_semi")
+        .withColumn(row_hash, F.shiftright(F.xxhash64(*map(col, rows.columns)), 50)).withColumn(part, F.spark_partition_id())
+    )
+    order = [size, row_hash, part]
+    placed = positions(
+        materialize(some.withColumn(at, F.struct(*map(col, order))), "mix-repeats"), [key], [at], F.col(at)
+    ).withColumn(out, F.col("position") - 1)
+    columns = [*map(col, rows.columns), col(out)]
+    return once.select(*columns).unionByName(placed.select(*columns))
+
+
+def uniform(doc_id: Column, seed: str, again: Column | None = None) -> Column:
+    """A number in (0, 1) from the first 48 bits of the md5 of id and seed, and of the
+    number of a repeated row."""
+    number = F.lit("") if again is None else F.when(again > 0, F.concat(F.lit("/"), again.cast("string"))).otherwise(F.lit(""))
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"/{seed}"), number))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
@@ -131,9 +161,9 @@ def _taken(size: Column, place: Column, steps: Column) -> Column:
 
 
 def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """(source, plan) from rows (doc_id, source, size): plan holds source_size, target,
-    expected, certain, and the steps that say who gets one copy more."""
-    rows = materialize(sizes.select("doc_id", "source", "size"), "mix-sizes")
+    """(source, plan) from rows (doc_id, source, size, again): plan holds source_size,
+    target, expected, certain, and the steps that say who gets one copy more."""
+    rows = materialize(sizes.select("doc_id", "source", "size", "again"), "mix-sizes")
     totals = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = materialize(
@@ -147,7 +177,7 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     def untaken(most: Column) -> DataFrame:
         state = sources.select("source", F.struct("plan", "due", "steps").alias("state"))
         found = attach(rows, state, "source", "state").select(
-            "source", "size", place(F.col("doc_id"), F.col("state.plan"), mix).alias("place"), F.col("state.due").alias("due"),
+            "source", "size", place(F.col("doc_id"), F.col("state.plan"), mix, F.col("again")).alias("place"), F.col("state.due").alias("due"),
             F.coalesce(F.col("state.steps"), F.array()).alias("steps"),
         ).where(F.col("place").isNotNull() & (F.col("size") > 0) & most)
         return found.where(~_taken(F.col("size"), F.col("place"), F.col("steps"))).drop("steps")
@@ -169,16 +199,16 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return attach(sources, last, "source", "last").select("source", F.struct("plan.*", "steps", "last").alias("plan"))
 
 
-def place(doc_id: Column, plan: Column, mix: Mix) -> Column:
+def place(doc_id: Column, plan: Column, mix: Mix, again: Column | None = None) -> Column:
     """Odds of the random number over odds of inclusion, mapped to (0, 1); null if
     the source needs no more than whole copies."""
-    u, p = uniform(doc_id, mix.seed), plan["expected"] - plan["certain"]
+    u, p = uniform(doc_id, mix.seed, again), plan["expected"] - plan["certain"]
     odds = (u / (1 - u)) / (p / (1 - p))
     return F.when(p > 0, odds / (1 + odds))
 
 
-def copies(doc_id: Column, size: Column, plan: Column, mix: Mix) -> Column:
-    at, last = place(doc_id, plan, mix), plan["last"]
+def copies(doc_id: Column, size: Column, plan: Column, mix: Mix, again: Column | None = None) -> Column:
+    at, last = place(doc_id, plan, mix, again), plan["last"]
     more = F.coalesce(_taken(size, at, plan["steps"]), F.lit(False)) | F.coalesce(
         (size == last["size"]) & (at == last["place"]), F.lit(False)
     )
@@ -187,11 +217,12 @@ def copies(doc_id: Column, size: Column, plan: Column, mix: Mix) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it; columns stay as they are."""
-    size, chosen, times = fresh(docs, "_size", "_plan", "_times")
-    sized = docs.withColumn(size, word_count(col(text)))
-    sources = plan(sized.select(col(doc_id).alias("doc_id"), col(source).alias("source"), col(size).alias("size")), mix)
+    size, again, chosen, times = fresh(docs, "_size", "_number", "_plan", "_times")
+    sized = numbered(docs.withColumn(size, word_count(col(text))), doc_id, source, size, again)
+    narrow = [col(c).alias(n) for c, n in ((doc_id, "doc_id"), (source, "source"), (size, "size"), (again, "again"))]
+    sources = plan(sized.select(*narrow), mix)
     lookup = sources.select(F.col("source").alias(source), F.col("plan").alias(chosen))
-    taken = attach(sized, lookup, source, chosen).withColumn(times, copies(col(doc_id), col(size), col(chosen), mix))
+    taken = attach(sized, lookup, source, chosen).withColumn(times, copies(col(doc_id), col(size), col(chosen), mix, col(again)))
     return taken.withColumn(times, F.explode(F.array_repeat(F.lit(1), col(times).cast("int")))).select(*map(col, docs.columns))
 
 
@@ -201,11 +232,14 @@ def _sql(mix: Mix) -> str:
     weight = f"CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mix.weights)} {cases} END"
     m = mix.max_repeats
     parts = [f"""
-WITH sized AS MATERIALIZED (
-    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/{mix.seed}'), 1, 12) AS BIGINT) + 0.5::DOUBLE)
-            / 281474976710656::DOUBLE AS u
-    FROM documents),
+WITH counted AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source ORDER BY size) - 1 AS again FROM counted),
+sized AS MATERIALIZED (
+    SELECT doc_id, source, size,
+        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/{mix.seed}' || CASE WHEN again > 0 THEN '/' || again ELSE '' END), 1, 12) AS BIGINT)
+            + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+    FROM numbered),
 weighed AS (SELECT source, sum(size)::BIGINT AS source_size, {weight} AS weight FROM sized GROUP BY source),
 tried AS (
     SELECT *, ((SELECT sum(source_size) FROM weighed)::DOUBLE - ({m} * coalesce(sum(source_size) OVER (
@@ -254,8 +288,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(
         table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-documents"
     )
+    sized = numbered(sized, "doc_id", "source", "size", "again")
     chosen = attach(sized, plan(sized, mix), "source", "plan")
     return chosen.select(
         "doc_id", "size", "plan.source_size", "plan.target",
-        (F.col("size") * copies(F.col("doc_id"), F.col("size"), F.col("plan"), mix)).alias("taken"),
+        (F.col("size") * copies(F.col("doc_id"), F.col("size"), F.col("plan"), mix, F.col("again"))).alias("taken"),
     )

@@ -100,3 +100,35 @@ def test_shards(spark, n):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
     again = H.assigned(table(spark, rows[::-1]).repartition(3)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "both"])
+def test_repeated_rows_are_taken_one_by_one(spark, ids):
+    """Three sources of 200 documents, ids of no use: every source gets within half a document of its target."""
+    rows = []
+    for s in ("a", "b", "c"):
+        for i in range(200):
+            ident = {"null": None, "equal": 7, "both": None if i % 2 else 7}[ids]
+            rows.append((ident, s, " ".join(["w"] * (10 if ids != "both" else 5 + i % 11))))
+    have, taken = Counter(), Counter()
+    for _, s, t in rows:
+        have[s] += len(t.split())
+    out = X.mixed(table(spark, rows).repartition(5)).collect()
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    for s, target in zip("abc", reshared([have[s] for s in "abc"], [1, 2, 3])):
+        assert abs(taken[s] - target) <= 15 / 2
+
+
+def test_repeated_rows_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i % 40, f"s{i % 3}", " ".join(["w"] * (1 + i % 7))) for i in range(500)]
+    rows += [(None, "s1", "a b c d")] * 60 + [(3, "s0", "w w")] * 90 + [(None, None, "x " * (i % 9)) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.execute(X.SQL)
+    names = [d[0] for d in rel.description]
+    want = sorted(map(str, rel.fetchall()))
+    assert sorted(str(tuple(r)) for r in X.op5(spark, str(tmp_path)).select(*names).collect()) == want

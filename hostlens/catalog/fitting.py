@@ -98,6 +98,81 @@ def m08(spark, sf_dir):
     return B.sequence_errors(e, KEY, ORDER, ST).select("vec_id", F.round("sequence_error", 8).alias("sequence_error"))
 
 
+LEARNED = ST.with_(latent_dims=2, power_steps=25, predict_steps=True)
+cte("emb_y", "SELECT label, vec_id, idx, x, x - c AS y, part FROM emb_x JOIN emb_center USING (label, idx) JOIN emb_part USING (label, vec_id)", "emb_x", "emb_center", "emb_part")
+cte("emb_cov", "SELECT label, i, list(s ORDER BY j) AS r FROM (SELECT a.label, a.idx AS i, b.idx AS j, avg(a.y * b.y) AS s FROM emb_y a JOIN emb_y b USING (label, vec_id) WHERE a.part = 'train' GROUP BY ALL) GROUP BY ALL", "emb_y")
+cte("emb_m1", "SELECT label, m, m AS whole, n, list_transform(range(n), lambda i: 0.0::DOUBLE) AS o FROM (SELECT label, list(r ORDER BY i) AS m, len(list(r)) AS n FROM emb_cov GROUP BY label)", "emb_cov")
+_TIMES = "list_transform({m}, lambda r: list_dot_product(r, v))"
+_CLEAR = "list_transform(w, lambda a, i: a - list_dot_product(w, o) * o[i])"
+_UNIT = "list_transform(w, lambda a: a / sqrt(list_dot_product(w, w)))"
+for _d in (1, 2):
+    cte(
+        f"emb_p{_d}",
+        f"SELECT label, m, whole, o, 0 AS step, list_transform(range(n), lambda i: 1 / sqrt(n)) AS v FROM emb_m{_d} UNION ALL "
+        f"SELECT label, m, whole, o, step + 1, {_UNIT} FROM (SELECT * EXCLUDE (w), {_CLEAR} AS w FROM "
+        f"(SELECT label, m, whole, o, step, {_TIMES.format(m='m')} AS w FROM emb_p{_d} WHERE step < {LEARNED.power_steps}))",
+        f"emb_m{_d}",
+    )
+    cte(
+        f"emb_v{_d}",
+        f"SELECT label, m, whole, v, list_dot_product(v, {_TIMES.format(m='whole')}) AS size, list_dot_product(v, {_TIMES.format(m='m')}) AS here "
+        f"FROM emb_p{_d} WHERE step = {LEARNED.power_steps}", f"emb_p{_d}",
+    )
+    if _d == 1:
+        cte(
+            "emb_m2",
+            "SELECT label, list_transform(m, lambda r, i: list_transform(r, lambda a, j: a - here * v[i] * v[j])) AS m, whole, len(v) AS n, v AS o FROM emb_v1", "emb_v1",
+        )
+cte(
+    "emb_left",
+    "SELECT e.label, e.vec_id, e.y2, list_dot_product(e.ys, a.v) AS s1, list_dot_product(e.ys, b.v) AS s2 FROM "
+    "(SELECT label, vec_id, sum(y * y) / count(*) AS y2, list(y ORDER BY idx) AS ys FROM emb_y GROUP BY ALL) e JOIN emb_v1 a USING (label) JOIN emb_v2 b USING (label)",
+    "emb_y", "emb_v1", "emb_v2",
+)
+
+
+def learned_errors(spark, sf_dir):
+    return training.window_errors(vecs(spark, sf_dir), LEARNED, KEY, ORDER)
+
+
+@query(
+    "M07b_subspace_detector",
+    sql("SELECT vec_id, round(y2 - (s1 * s1 + s2 * s2) / (SELECT max(n) FROM emb_m1), 6) AS error FROM emb_left", "emb_left", "emb_m1", recursive=True),
+)
+def m07b(spark, sf_dir):
+    """Distance from the plane of the two leading directions, for windows in training or not."""
+    return learned_errors(spark, sf_dir)[1].select("vec_id", F.round("error", 6).alias("error"))
+
+
+@query(
+    "M07c_explained_share",
+    sql("SELECT CAST(a.label AS BIGINT) AS label, round((a.size + b.size) / t, 6) AS explained FROM emb_v1 a JOIN emb_v2 b USING (label) "
+        "JOIN (SELECT label, sum(r[i + 1]) AS t FROM emb_cov GROUP BY 1) USING (label)", "emb_v1", "emb_v2", "emb_cov", recursive=True),
+)
+def m07c(spark, sf_dir):
+    packed = learned_errors(spark, sf_dir)[0]
+    return packed.select(F.col("label").cast("bigint"), F.round("explained", 6).alias("explained"))
+
+
+_SLOPES = (
+    "slopes AS (SELECT label, idx, coalesce(regr_slope(x, p), 1.0) AS slope FROM (SELECT label, idx, x, lag(x) OVER (PARTITION BY label, idx ORDER BY vec_id) AS p "
+    "FROM emb_y WHERE part = 'train') WHERE p IS NOT NULL GROUP BY ALL), "
+    "steps AS (SELECT label, vec_id, avg((x - c - slope * (p - c)) ** 2) AS step_error FROM (SELECT *, lag(x) OVER (PARTITION BY label, idx ORDER BY vec_id) AS p FROM emb_x) "
+    "JOIN emb_center USING (label, idx) JOIN slopes USING (label, idx) GROUP BY ALL) "
+)
+
+
+@query(
+    "M08c_predicted_sequence",
+    sql("--MORE" + _SLOPES + "SELECT vec_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY vec_id) >= 5 THEN round(avg(step_error) OVER (PARTITION BY label ORDER BY vec_id "
+        "ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 8) END AS sequence_error FROM steps", "emb_y", "emb_x", "emb_center"),
+)
+def m08c(spark, sf_dir):
+    """Error of a run whose steps are predicted by the slope of each feature."""
+    e = learned_errors(spark, sf_dir)[1].select("label", "vec_id", "step_error")
+    return B.sequence_errors(e, KEY, ORDER, LEARNED).select("vec_id", F.round("sequence_error", 8).alias("sequence_error"))
+
+
 @query("M08b_autoregression", sql("SELECT CAST(label AS BIGINT) AS label, CAST(idx AS INT) AS idx, round(coalesce(regr_slope(x, p), 1.0), 6) AS slope FROM (SELECT label, idx, x, lag(x) OVER (PARTITION BY label, idx ORDER BY vec_id) AS p FROM emb_x) WHERE p IS NOT NULL GROUP BY ALL", "emb_x"))
 def m08b(spark, sf_dir):
     v = vecs(spark, sf_dir)

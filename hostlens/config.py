@@ -17,6 +17,11 @@ class Settings:
     validation_split: float = 0.2
     n_std: float = 2.0
     target_fpr: float = 0.05
+    # detectors: directions of the window detector (0: the mean alone) and power steps to find each;
+    # whether the sequence detector predicts by the slope of each feature instead of persistence
+    latent_dims: int = 0
+    power_steps: int = 40
+    predict_steps: bool = False
     # scoring
     sequence_weight: float = 0.6
     window_weight: float = 0.4

@@ -6,7 +6,10 @@ name.  A *vector table* has ``key``, an order column and ``features``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from hostlens.config import Settings
 from hostlens.functions import scalars as X
@@ -119,8 +122,88 @@ def mean_squared(a: Column, b: Column) -> Column:
     return F.aggregate(sq, F.lit(0.0), lambda acc, e: acc + e) / F.size(a)
 
 
-def window_error(value: str = "x", center: str = "center") -> Column:
-    return mean_squared(F.col(value), F.col(center))
+def window_error(value: str = "x", center: str = "center", directions: str | None = None) -> Column:
+    """Mean squared distance from the centre or, with ``directions``, from the plane
+    through the centre that they span."""
+    if directions is None:
+        return mean_squared(F.col(value), F.col(center))
+    add = lambda a, e: a + e
+    off = F.zip_with(value, center, lambda x, c: x - c)
+    # each is used more than once: named by a transform over a single element
+    left = F.transform(
+        F.array(off),
+        lambda y: F.aggregate(F.transform(y, lambda v: v * v), F.lit(0.0), add)
+        - F.aggregate(
+            F.transform(F.col(directions), lambda d: F.pow(F.aggregate(F.zip_with(d, y, lambda a, b: a * b), F.lit(0.0), add), 2)),
+            F.lit(0.0), add,
+        ),
+    )[0]
+    return F.greatest(left, F.lit(0.0)) / F.size(value)
+
+
+def comoments(windows: DataFrame, key: list[str], value: str = "x") -> DataFrame:
+    """(key, i, j, s), i <= j: sums of products of the non-zero values at two positions.
+
+    Position ``size`` stands for the constant 1, so the table holds the sums and the
+    number of windows as well.  Tables of different windows are merged by adding up.
+    """
+    one = F.struct(F.size(value).alias("i"), F.lit(1.0).alias("v"))
+    entries = F.concat(
+        F.filter(F.transform(value, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0), F.array(one)
+    )
+    return (
+        windows.select(*key, entries.alias("_e")).select(*key, "_e", F.inline("_e"))
+        .select(*key, "i", "v", F.explode("_e").alias("_o")).where(F.col("_o.i") >= F.col("i"))
+        .groupBy(*key, "i", F.col("_o.i").alias("j")).agg(F.sum(F.col("v") * F.col("_o.v")).alias("s"))
+    )
+
+
+def leading_directions(covariance: np.ndarray, dims: int, steps: int) -> list[np.ndarray]:
+    """Orthonormal vectors of the largest variance, by power steps from an even start; what
+    a direction explains is taken out before the next one is sought."""
+    left, found = covariance.copy(), []
+    for _ in range(min(dims, len(left))):
+        v = np.full(len(left), 1 / np.sqrt(len(left)))
+        for _ in range(steps):
+            w = left @ v
+            for u in found:
+                w = w - (w @ u) * u
+            length = np.linalg.norm(w)
+            if length <= 1e-12:
+                return found
+            v = w / length
+        found.append(v)
+        left -= (v @ left @ v) * np.outer(v, v)
+    return found
+
+
+def fit_subspace(moments: DataFrame, key: list[str], size: int, dims: int, steps: int) -> DataFrame:
+    """(key, directions, explained): leading directions of each key, and the share of
+    the variance that they hold.  A key has at most size^2 / 2 moments."""
+    kind = StructType([
+        *[moments.schema[k] for k in key], StructField("directions", ArrayType(ArrayType(DoubleType()))), StructField("explained", DoubleType()),
+    ])
+
+    def fit(own: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        last = rows["j"] == size
+        n = rows.loc[last & (rows["i"] == size), "s"].iloc[0]
+        sums = rows[last & (rows["i"] < size)]
+        used = np.sort(sums["i"].to_numpy())
+        at = np.full(size, -1)
+        at[used] = np.arange(len(used))
+        mean = np.zeros(len(used))
+        mean[at[sums["i"]]] = sums["s"] / n
+        pairs = rows[~last]
+        matrix = np.zeros((len(used), len(used)))
+        matrix[at[pairs["i"]], at[pairs["j"]]] = matrix[at[pairs["j"]], at[pairs["i"]]] = pairs["s"] / n
+        matrix -= np.outer(mean, mean)
+        found, whole = leading_directions(matrix, dims, steps), np.trace(matrix)
+        wide = np.zeros((len(found), size))
+        wide[:, used] = found if found else np.zeros((0, len(used)))
+        share = sum(v @ matrix @ v for v in found) / whole if whole > 1e-12 else 0.0
+        return pd.DataFrame([(*own, wide.tolist(), float(share))], columns=kind.names)
+
+    return moments.groupBy(*key).applyInPandas(fit, kind)
 
 
 def with_step_errors(

@@ -155,7 +155,8 @@ def score_windows(
 
     ``windows`` has ``entity``, ``order``, ``last_ns``, ``last_comm`` and
     ``features``; ``baselines`` is the table made by ``plans.training.fit``.
-    A window without a baseline gets the "no baseline" verdict.
+    A window without a baseline gets the "no baseline" verdict.  Baselines with
+    ``directions`` or ``slopes`` are scored by them.
     """
     spark = windows.sparkSession
     key = ["host_id", "comm"]
@@ -167,8 +168,9 @@ def score_windows(
 
     # the context of a process only holds windows that had a baseline
     line = [*entity, "_available"]
+    learned = lambda name: name if name in baselines.columns else None
     scored = B.sequence_errors(
-        B.with_step_errors(x.withColumn("_available", available), line, order), line, order, settings
+        B.with_step_errors(x.withColumn("_available", available), line, order, slopes=learned("slopes")), line, order, settings
     )
 
     scored = flag_safe(scored, safe_pids)
@@ -178,7 +180,7 @@ def score_windows(
     ws, ww = weights(F.lit(True), F.lit(True), settings)
     safe = available & F.col("is_safe")
     return (
-        scored.withColumn("window_error", F.when(available, B.window_error()))
+        scored.withColumn("window_error", F.when(available, B.window_error(directions=learned("directions"))))
         .withColumn("vae_score", F.when(available, window_score).otherwise(0.0))
         .withColumn("lstm_score", F.when(available, sequence_score))
         .withColumn("fused_score", fuse(F.col("vae_score"), F.col("lstm_score"), ws, ww))

@@ -37,14 +37,36 @@ def training_vectors(telemetry: DataFrame, settings: Settings, entity: list[str]
     )
 
 
+def detectors(windows: DataFrame, settings: Settings, entity: list[str], order: str, size: int) -> DataFrame | None:
+    """What the detectors learn beyond the centre, from the training part of normalised
+    windows: ``directions`` and ``explained``, ``slopes``; None if neither is asked for."""
+    train, learned = windows.where(F.col("part") == "train"), None
+    if settings.latent_dims > 0:
+        learned = B.fit_subspace(B.comoments(train, entity), entity, size, settings.latent_dims, settings.power_steps)
+    if settings.predict_steps:
+        slopes = B.fit_ar1(train.select(*entity, order, "x"), entity, order)
+        # a key with a single window has no step to learn from
+        every = train.select(*entity).distinct().join(slopes, entity, "left").withColumn(
+            "slopes", F.coalesce("slopes", F.array_repeat(F.lit(1.0), size))
+        )
+        learned = every if learned is None else learned.join(every, entity)
+    return learned
+
+
 def window_errors(vectors: DataFrame, settings: Settings, entity: list[str] = ENTITY, order: str = "k") -> tuple[DataFrame, DataFrame]:
-    """The packed normaliser of each process, and per window its part of the
-    split and the errors of both detectors."""
+    """The packed normaliser of each process with what its detectors learned, and per
+    window its part of the split and the errors of both detectors."""
     parted = B.split_ranks(vectors, entity, [order], settings.validation_split)
     packed = B.pack_normalizer(B.fit_normalizer(parted, entity), entity)
     x = B.attach_stats(parted, packed, entity, [order], settings).withColumn("x", B.normalized())
-    errors = B.with_step_errors(x, entity, order).select(
-        *entity, order, "part", B.window_error().alias("error"), "step_error"
+    if settings.latent_dims > 0 or settings.predict_steps:
+        first = vectors.select(F.size("features").alias("n")).first()
+        size = first.n if first else 0
+        packed = materialize(packed.join(detectors(x, settings, entity, order, size), entity), "detectors")
+        x = B.attach_stats(parted, packed, entity, [order], settings).withColumn("x", B.normalized())
+    learned = lambda name: name if name in packed.columns else None
+    errors = B.with_step_errors(x, entity, order, slopes=learned("slopes")).select(
+        *entity, order, "part", B.window_error(directions=learned("directions")).alias("error"), "step_error"
     )
     return packed, errors
 
@@ -79,6 +101,7 @@ def fit(vectors: DataFrame, settings: Settings, entity: list[str] = ENTITY, orde
             F.coalesce("sequence_error_mean", F.lit(0.0)).alias("sequence_error_mean"),
             F.coalesce("sequence_error_std", F.lit(1.0)).alias("sequence_error_std"),
             "norm_min", "norm_max", "norm_mean", "norm_std", "center",
+            *[c for c in ("directions", "explained", "slopes") if c in packed.columns],
         )
         .withColumn("window_seconds", F.lit(settings.window_seconds))
         .withColumn("sequence_length", F.lit(settings.sequence_length))

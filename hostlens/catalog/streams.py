@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from hostlens.catalog.alerting import rules
 from hostlens.catalog import outbox  # noqa: F401  its common tables
@@ -99,8 +99,9 @@ def _finish_shuffled(spark, df, time, follow, late_seconds=DELAY // 2):
     path, schema = _arriving(spark, df, late_seconds, time=time)
     newest = df.agg(F.max(time)).first()[0]
     beat = {"host_id": -1, "pid": -1, time: newest + 4 * DELAY * NS}
-    spark.createDataFrame([tuple(beat.get(f.name) for f in schema)], schema).write.mode("append").parquet(path)
-    out = follow(L.with_event_time(L.event_stream(spark, path, schema, max_files=8), DELAY, time))
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    spark.createDataFrame([tuple(beat.get(f.name) for f in schema)], nullable).write.mode("append").parquet(path)
+    out = follow(L.with_event_time(L.event_stream(spark, path, nullable, max_files=8), DELAY, time))
     return _finish(spark, out).where("host_id >= 0")
 
 

@@ -22,8 +22,8 @@ Arrow batch.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,22 +84,32 @@ def event_tokens(stream: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def _folded(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per kind, num and txt, folded as the kind asks for."""
-    how = rows["kind"].map(HOW).fillna("sum")
-    parts = [
-        getattr(rows[how == fold].groupby(["kind", "num", "txt"], dropna=False, sort=False)["v"], named)().reset_index()
-        for fold, named in (("sum", "sum"), ("max", "max"), ("min", "min"))
-    ]
-    masks = rows[how == "or"].groupby(["kind", "num", "txt"], dropna=False, sort=False)["v"].agg(np.bitwise_or.reduce).reset_index()
-    return pd.concat([p for p in (*parts, masks) if len(p)] or parts[:1], ignore_index=True)
+Tokens = dict[tuple[int, int | None, str | None], int]
 
 
-def _packed(tokens: pd.DataFrame, steps: np.ndarray) -> bytes:
+def _fold(into: Tokens, kinds: Iterable, nums: Iterable, txts: Iterable, values: Iterable) -> Tokens:
+    """Adds rows to tokens, each folded as its kind asks for; a missing number may be NaN."""
+    for kind, num, txt, v in zip(kinds, nums, txts, values):
+        key = kind, None if num is None or num != num else int(num), txt
+        old, how = into.get(key), HOW.get(kind, "sum")
+        if old is None:
+            into[key] = v
+        elif how == "sum":
+            into[key] = old + v
+        elif how == "or":
+            into[key] = old | v
+        else:
+            into[key] = max(old, v) if how == "max" else min(old, v)
+    return into
+
+
+def _packed(tokens: Tokens, steps: np.ndarray) -> bytes:
     """Tokens and syscalls (ts_ns, event_id, slot) as an Arrow stream each, with the first one's length."""
+    kinds, nums, txts = zip(*tokens) if tokens else ((), (), ())
+    columns = [kinds, nums, txts, list(tokens.values())]
     out = []
     for table in (
-        pa.Table.from_pandas(tokens[TOKENS.names], schema=TOKENS, preserve_index=False),
+        pa.table([pa.array(c, f.type) for c, f in zip(columns, TOKENS)], schema=TOKENS),
         pa.table({n: pa.array(steps[:, i]) for i, n in enumerate(("ts_ns", "event_id", "slot"))}),
     ):
         sink = pa.BufferOutputStream()
@@ -109,50 +119,44 @@ def _packed(tokens: pd.DataFrame, steps: np.ndarray) -> bytes:
     return len(out[0]).to_bytes(8, "little") + out[0] + out[1]
 
 
-def _unpacked(raw: bytes) -> tuple[pd.DataFrame, np.ndarray]:
-    cut = 8 + int.from_bytes(raw[:8], "little")
-    tokens, steps = (pa.ipc.open_stream(pa.py_buffer(part)).read_all() for part in (raw[8:cut], raw[cut:]))
-    return tokens.to_pandas(integer_object_nulls=True), np.column_stack([steps[n].to_numpy() for n in ("ts_ns", "event_id", "slot")])
-
-
-def _merged(parts: list[bytes]) -> tuple[pd.DataFrame, np.ndarray]:
-    opened = [_unpacked(p) for p in parts]
-    tokens = pd.concat([t for t, _ in opened], ignore_index=True)
-    return _folded(tokens), np.concatenate([s for _, s in opened])
+def _merged(parts: list[bytes]) -> tuple[Tokens, np.ndarray]:
+    tokens, steps = {}, []
+    for raw in parts:
+        cut = 8 + int.from_bytes(raw[:8], "little")
+        some, calls = (pa.ipc.open_stream(pa.py_buffer(part)).read_all() for part in (raw[8:cut], raw[cut:]))
+        _fold(tokens, *(c.to_pylist() for c in some.columns))
+        steps.append(np.column_stack([c.to_numpy() for c in calls.columns]))
+    return tokens, np.concatenate(steps)
 
 
-def window_blocks(tokens: pd.DataFrame, steps: np.ndarray) -> dict:
+def window_blocks(tokens: Tokens, steps: np.ndarray) -> dict:
     """Counter and token block of one window."""
-    by_kind = {k: t for k, t in tokens.groupby("kind")}
-    empty = tokens.iloc[:0]
-    of = lambda kind: by_kind.get(kind, empty)
-    total = lambda kind: int(of(kind)["v"].sum())
-    entries = lambda nums, counts: [{"num": int(a), "n": int(b)} for a, b in sorted(zip(nums, counts))]
-    row = {m: int(of(MEASURE + i)["v"].max()) if len(of(MEASURE + i)) else 0 for i, m in enumerate(FE.MEASURES)}
+    by_kind: dict[int, list[tuple[int | None, str | None, int]]] = defaultdict(list)
+    for (kind, num, txt), v in tokens.items():
+        by_kind[kind].append((num, txt, v))
+    entries = lambda pairs: [{"num": a, "n": b} for a, b in sorted(pairs)]
+    row = {m: by_kind[MEASURE + i][0][2] if by_kind[MEASURE + i] else 0 for i, m in enumerate(FE.MEASURES)}
 
     # slices are cut by the clock; the ones to count start at the first event
-    first = of(FIRST).astype({"num": "int64"}).set_index("num")["v"].sort_index()
-    last = of(LAST).astype({"num": "int64"}).set_index("num")["v"].sort_index()
-    opens, ends = (first.to_numpy() - first.iloc[0]) // C.SLICE_NS, (last.to_numpy() - first.iloc[0]) // C.SLICE_NS
+    firsts, lasts = (np.array([v for _, _, v in sorted(by_kind[kind])], np.int64) for kind in (FIRST, LAST))
+    opens, ends = (firsts - firsts[0]) // C.SLICE_NS, (lasts - firsts[0]) // C.SLICE_NS
     row |= {
-        "first_ns": int(first.iloc[0]), "last_ns": int(last.iloc[-1]),
+        "first_ns": int(firsts[0]), "last_ns": int(lasts[-1]),
         "active_slices": int(1 + (opens[1:] != ends[:-1]).sum() + (ends != opens).sum()),
     }
-    calls = of(FE.K_CALL)
-    row |= {"calls": total(FE.K_CALL), "call_entries": entries(calls["num"], calls["v"])}
+    calls = [(num, v) for num, _, v in by_kind[FE.K_CALL]]
+    row |= {"calls": sum(n for _, n in calls), "call_entries": entries(calls)}
     ordered = steps[np.lexsort((steps[:, 1], steps[:, 0]))][:, 2]
-    buckets = np.bincount((ordered[:-1] * C.BIGRAM_FACTOR + ordered[1:]) % C.NUM_BIGRAMS, minlength=C.NUM_BIGRAMS)
-    used = np.flatnonzero(buckets)
-    row |= {"pairs": int(buckets.sum()), "pair_entries": entries(used, buckets[used])}
-    row |= {"ips": len(of(FE.K_IP)), "ports": len(of(FE.K_PORT)), "opened": len(of(FE.K_OPEN))}
+    buckets = Counter(((ordered[:-1] * C.BIGRAM_FACTOR + ordered[1:]) % C.NUM_BIGRAMS).tolist())
+    row |= {"pairs": sum(buckets.values()), "pair_entries": entries(buckets.items())}
+    row |= {"ips": len(by_kind[FE.K_IP]), "ports": len(by_kind[FE.K_PORT]), "opened": len(by_kind[FE.K_OPEN])}
     chars: Counter[str] = Counter()
-    for path, times in zip(of(FE.K_CHAR)["txt"], of(FE.K_CHAR)["v"]):
+    for _, path, times in by_kind[FE.K_CHAR]:
         for c, n in Counter(path).items():
-            chars[c] += n * int(times)
+            chars[c] += n * times
     n = np.array(list(chars.values()), float)
     row["entropy"] = float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else 0.0
-    comms = of(FE.K_COMM)
-    row["last_comm"] = max(zip(comms["v"], comms["txt"]))[1]
+    row["last_comm"] = max((v, txt) for _, txt, v in by_kind[FE.K_COMM])[1]
     return row
 
 
@@ -193,9 +197,10 @@ class WindowVectors(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for pane, own in batch.groupby("pane"):
-                step = own["kind"] == STEP
-                steps = own.loc[step, ["v", "event_id", "num"]].to_numpy(np.int64)
-                self._add(int(pane), _packed(_folded(own[~step]), steps))
+                step = (own["kind"] == STEP).to_numpy()
+                steps = np.column_stack([own[c].to_numpy()[step].astype(np.int64) for c in ("v", "event_id", "num")])
+                tokens = _fold({}, *(own[c].to_numpy()[~step].tolist() for c in TOKENS.names))
+                self._add(int(pane), _packed(tokens, steps))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,14 @@ links everything; otherwise a link ends wherever a token of the group ends.
 
 ``A`` is a byte-level model of the ``tokenizers`` library that reads a space and
 the text; ``B`` is a sentencepiece model that adds the space itself.  Special
-tokens are neither added nor recognised.  A text whose tokens do not spell
+tokens are neither added nor recognised.
+
+Where both models start a token at any single space after another character, the
+stretches between such spaces (units) are aligned by themselves: each distinct
+unit once, many in one library call, and remembered.
+``Units`` checks that both models end a token where a unit ends, and encodes a
+text as a whole where one of its units is not spelt by its tokens.  Models of any other kind are asked for whole texts.
+  A text whose tokens do not spell
 a space and the text (a mark that stands for a space, bytes replaced by
 normalisation) has no tokens, nor have null and empty texts.
 
@@ -30,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +47,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostlens.llm.common import col, fresh, materialize, query, small_batches, table
+from hostlens.llm.token_counts import ByteLevel, Piecewise
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: text of remembered units, and units in one library call
+REMEMBERED_BYTES, UNITS_AT_ONCE = 8 << 20, 4096
 MARK = "▁"
+_UNIT = re.compile(rf"(?<=[^\s{MARK}]) (?=[\s\S])")
 
 
 def read_bytes(path: str) -> bytes:
@@ -170,6 +182,84 @@ class Aligner:
         return ["".join(signs[i:j])[:-1] for i, j in zip(edges, edges[1:])]
 
 
+def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ... for each entry."""
+    return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Units:
+    """Distinct units with their counts (tokens of A and B, groups, links), groups and links."""
+
+    def __init__(self, a: bytes, b: bytes):
+        self.aligner = Aligner(a, b)
+        self.split = _UNIT.split if ByteLevel(a).cut and Piecewise(b).cut else lambda text: [text]
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.bytes, self.written = 0, []
+        self.spelt, self.counts = np.zeros(0, bool), np.zeros((4, 0), np.int64)
+        self.first, self.pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, units: list[str], x: Batch, ends: np.ndarray) -> bool:
+        """Takes over the alignment of one text made of ``units``, which end at ``ends``; false if they do not."""
+        group = np.searchsorted(x.ends, ends) + 1
+        if not len(x.ends) or group[-1] > len(x.ends) or (x.ends[group - 1] != ends).any():
+            return False
+        stops = np.stack([x.cut_a[group - 1], x.cut_b[group - 1], group, x.cut_a[group - 1] + x.cut_b[group - 1] - group])
+        said, before = self.aligner.written_groups(x)[0].split(";"), 0
+        for unit, g in zip(units, group.tolist()):
+            self.at[unit] = len(self.written)
+            self.written.append(";".join(said[before:g]))
+            before = g
+        counts = np.diff(stops, prepend=0)
+        self.made.append((np.ones(len(units), bool), counts, x.a[x.link_a] << 32 | x.b[x.link_b]))
+        return True
+
+    def _alone(self, unit: str) -> None:
+        x = self.aligner.align([unit])
+        if not self._add([unit], x, np.array([1 + len(unit.encode())])):
+            self.at[unit] = len(self.written)
+            self.written.append("")
+            self.made.append((np.zeros(1, bool), np.zeros((4, 1), np.int64), np.zeros(0, np.int64)))
+
+    def learn(self, units: set[str]) -> None:
+        self.made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        new = [u for u in units if u not in self.at]
+        # what ends in white space or a mark would run into the next unit
+        joined = [u for u in new if u and not u[-1].isspace() and u[-1] != MARK]
+        for at in range(0, len(joined), UNITS_AT_ONCE):
+            some = joined[at : at + UNITS_AT_ONCE]
+            sizes = np.array([1 + len(u.encode()) for u in some], np.int64)
+            if not self._add(some, self.aligner.align([" ".join(some)]), np.cumsum(sizes)):
+                for unit in some:
+                    self._alone(unit)
+        for unit in new:
+            if unit not in self.at:
+                self._alone(unit)
+        if new:
+            self.bytes += sum(map(len, new))
+            spelt, counts, pairs = zip(*self.made)
+            self.spelt = np.concatenate((self.spelt, *spelt))
+            self.counts = np.concatenate((self.counts, *counts), axis=1)
+            self.pairs = np.concatenate((self.pairs, *pairs))
+            self.first = np.cumsum(self.counts[3]) - self.counts[3]
+
+    def place(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, and how many each text has."""
+        if self.bytes > REMEMBERED_BYTES:
+            self.forget()
+        cut = [self.split(t) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        places = [list(map(self.at.__getitem__, units)) for units in cut]
+        whole = [i for i, p in enumerate(places) if len(p) > 1 and not self.spelt[p].all()]
+        self.learn({texts[i] for i in whole})
+        for i in whole:
+            places[i] = [self.at[texts[i]]]
+        sizes = np.fromiter(map(len, places), np.int64, len(places))
+        return np.fromiter(itertools.chain.from_iterable(places), np.int64, sizes.sum()), sizes
+
+
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
@@ -214,16 +304,24 @@ class _Block:
         self.digests: list[str] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, aligner: Aligner, ids: pa.Array, texts: pa.Array) -> None:
+    def add(self, units: Units, ids: pa.Array, texts: pa.Array) -> None:
         self.bytes += texts.nbytes
-        x = aligner.align(texts.to_pylist())
+        place, sizes = units.place(texts.to_pylist())
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        counts = np.zeros((4, len(ids)), np.int64)
+        for into, each in zip(counts, units.counts):
+            np.add.at(into, owner, each[place])
         self.ids.append(ids)
-        self.counts.append([x.tokens_a, x.tokens_b, x.groups, x.links])
-        self.digests += [
-            hashlib.sha256(t.encode()).hexdigest() if t else "" for t in aligner.written_groups(x)
-        ]
-        pairs, place = np.unique(x.a[x.link_a] << 32 | x.b[x.link_b], return_inverse=True)
-        key = np.repeat(np.arange(len(ids)), x.links) * max(1, len(pairs)) + place
+        self.counts.append(list(counts))
+        said, edges = list(map(units.written.__getitem__, place.tolist())), np.concatenate(([0], np.cumsum(sizes))).tolist()
+        for i, j in zip(edges, edges[1:]):
+            text = ";".join(said[i:j])
+            self.digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        used, again = np.unique(place, return_inverse=True)
+        links = units.counts[3][used]
+        pairs, code = np.unique(units.pairs[_ragged(units.first[used], links)], return_inverse=True)
+        first = np.cumsum(links) - links
+        key = np.repeat(owner, links[again]) * max(1, len(pairs)) + code[_ragged(first[again], links[again])]
         key.sort()
         self.parts.append((pairs, (key % max(1, len(pairs))).astype(np.int32)))
 
@@ -259,13 +357,13 @@ def blocks(docs: DataFrame, a: bytes, b: bytes, doc_id: str = "doc_id", text: st
     schema = to_arrow_schema(kind)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a, b)
+        units = Units(a, b)
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block.add(aligner, batch.column(0), batch.column(1))
+            block.add(units, batch.column(0), batch.column(1))
             if block.bytes >= block_bytes:
                 yield from block.rows(schema)
                 block = _Block(block.number + 1)

@@ -229,3 +229,23 @@ def split(spark, sf_dir):
     return calls.unionByName(procs)
 
 
+FAMILY_DETAIL = {
+    C.SYSCALL: ["syscall_nr"], C.NETWORK: ["dst_ip", "dst_port", "direction", "bytes_count"], C.FILE: ["path", "operation"],
+    C.PROCESS: ["action", "exe_path", "cmdline"], C.INJECTION: ["comm"], C.CONTAINER: ["action"], C.LOLBIN: ["comm"],
+    C.ANTIFORENSIC: ["action", "path"], C.DNS_TUNNEL: ["dst_ip", "dst_port", "payload_size"],
+}
+_DETAIL_SQL = " ".join(
+    f"WHEN {f} THEN concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)})" for f, columns in FAMILY_DETAIL.items()
+)
+
+
+@query("U02b_split_all_families", sql(f"SELECT event_id, fam, pid, CASE fam {_DETAIL_SQL} END AS detail FROM tel", "tel"))
+def split_all(spark, sf_dir):
+    """All nine families, each with fields of its own, put under each other again."""
+    parts, out = T.split_families(tel(spark, sf_dir)), None
+    for family, columns in FAMILY_DETAIL.items():
+        own = parts[family].select(
+            "event_id", F.lit(family).alias("fam"), "pid", F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("detail")
+        )
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -188,7 +188,7 @@ def test_funnel_of_a_shuffled_feed(spark, tmp_path):
 
 def test_context_of_a_shuffled_feed(spark, tmp_path):
     L.use_rocksdb(spark)
-    df = spark.createDataFrame([(0, 1, k, float(k), k * 10 * NS) for k in range(60)], "host_id bigint, pid bigint, k bigint, value double, ts_ns bigint")
+    df = spark.createDataFrame([(0, 1, k, float(k), (k + 1) * 10 * NS) for k in range(60)], "host_id bigint, pid bigint, k bigint, value double, ts_ns bigint")
     got = finished(spark, tmp_path, L.rolling_context(shuffled(spark, tmp_path, df, "ts_ns"), ST, period_seconds=40))
     assert sorted((r["k"], r["context_size"], r["context_mean"]) for r in got) == [
         (k, min(k + 1, 3), float(k - 1) if k > 1 else None) for k in range(60)

@@ -35,7 +35,7 @@ from hostlens.llm.common import col, materialize, query, small_batches, table
 
 MIN_DOCS, SCALE, SMOOTHING, TOP_TERMS = 30, 1_000_000_000, 5, 50
 #: counts a worker gathers before it hands them on, and shares of a block
-HELD, BLOCK_ENTRIES = 400_000, 10_000
+HELD, BLOCK_ENTRIES = 200_000, 10_000
 #: everything that parts terms becomes a space, A-Z become a-z
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 _COUNTS = "lang string, source string, term string, n long, docs long"
@@ -65,7 +65,9 @@ def collapsed(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of ``collapsed`` texts: occurrences, and
-    documents that hold the term."""
+    documents that hold the term.  Workers add up what they read; all counts of a
+    language's term then meet in one place, at most one per worker, source and
+    ``HELD`` counts."""
     small_batches(texts)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
         yield from handed_on()
 
     found = texts.select("lang", "text", "sources").mapInArrow(walk, _COUNTS)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, total: str, kept: str) -> Column:
@@ -117,12 +119,13 @@ def share(n: str, total: str, kept: str) -> Column:
 
 def kept_entries(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Entries of terms that enough documents of the language hold, with the term's
-    occurrences in the language (lang_n)."""
-    kept = (
-        counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs"))
-        .where(F.col("lang_docs") >= min_docs).drop("lang_docs")
+    occurrences in the language (lang_n).  Counts as ``term_counts`` leaves them are not
+    moved again."""
+    whole = Window.partitionBy("lang", "term")
+    return (
+        counts.withColumn("lang_docs", F.sum("docs").over(whole)).withColumn("lang_n", F.sum("n").over(whole))
+        .where(F.col("lang_docs") >= min_docs).drop("lang_docs", "docs")
     )
-    return counts.drop("docs").join(kept, ["lang", "term"])
 
 
 def groups(docs: DataFrame, entries: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -235,7 +238,7 @@ def audit(
     min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
 ) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value and rank."""
-    counts = materialize(term_counts(collapsed(docs, text, lang, source)), "term-counts")
+    counts = term_counts(collapsed(docs, text, lang, source))
     entries = materialize(kept_entries(counts, min_docs), "kept-terms")
     found = materialize(groups(docs, entries, lang, source), "audit-groups")
     one_way = materialize(pair_values(entries, found), "source-pairs")

@@ -208,7 +208,7 @@ def st3(spark, sf_dir):
 @query("ST4_rolling_context", sql("--MORE w AS (SELECT host_id, pid, k, CAST(count(*) AS BIGINT) AS events FROM p_win GROUP BY ALL) SELECT host_id, pid, k, CAST(len(es) AS INTEGER) AS context_size, CASE WHEN len(es) = 5 THEN round(list_avg(es), 8) END AS context_mean FROM (SELECT *, list(events) OVER (PARTITION BY host_id, pid ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS es FROM w)", "p_win"))
 def st4(spark, sf_dir):
     """Windows that arrive in any order, taken by time."""
-    windows = _windows(spark, sf_dir).select(*PROC, "k", F.col("events").alias("value"), (F.col("k") * ST.stride_ns).alias("ts_ns"))
+    windows = _windows(spark, sf_dir).select(*PROC, "k", F.col("events").alias("value"), (F.lit(T0) + F.col("k") * ST.stride_ns).alias("ts_ns"))
     out = _finish_shuffled(spark, windows, "ts_ns", lambda rows: L.rolling_context(rows, ST, period_seconds=DAY // 4))
     return out.withColumn("context_mean", F.round("context_mean", 8))
 

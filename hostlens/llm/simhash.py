@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hostlens.llm.common import col, fresh, materialize, query, small_batches, table
+from hostlens.sources.store import discard
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -41,8 +42,8 @@ _CHUNK = 1 << 16
 RECALL = 0.96
 #: members of a variant that may have met by chance
 _SMALL = 6
-#: centres a set is compared with in a turn, and turns without a find after which comparing ends
-_TRIES, _QUIET = 2, 2
+#: nearest centres a set is compared with in a turn
+_TRIES = 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +104,7 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b) with a > b: whoever is larger than a node
+    """One written star step over edges (a, b) with a > b: whoever is larger than a node
     (or the node and its smaller neighbours) hangs on the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     # written, so that both sides of the join are plain shuffles and a hub can be split
@@ -115,7 +116,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             smallest.select("a", F.col("m").alias("b"))
         )
-    return out.where(F.col("a") > F.col("b")).distinct()
+    stepped = materialize(out.where(F.col("a") > F.col("b")).distinct(), "stars")
+    discard(smallest)
+    return stepped
+
+
+def _double_star(edges: DataFrame) -> DataFrame:
+    large = _stars(edges, True)
+    small = _stars(large, False)
+    discard(large)
+    return small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,7 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
-        edges = materialize(_stars(_stars(edges, True), False), "stars")
+        before, edges = edges, _double_star(edges)
+        discard(before)
 
 
 def clusters(rows: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -235,7 +246,7 @@ def _apart(one: str, two: str) -> Column:
 
 
 def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """(variant, id, size, wide1, wide2) where sets meet at a variant of a short fingerprint.
+    """(variant, id) where sets meet at a variant of a short fingerprint.
 
     Short fingerprints also meet by chance.  In a variant of up to ``_SMALL`` sets a
     set stays only if the 128 bits of its wide fingerprint agree with another one's;
@@ -245,7 +256,7 @@ def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     farthest = math.ceil(128 * differs + 4.5 * math.sqrt(128 * differs * (1 - differs)))
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(bits))]])
-    same = ["id", "size", "wide1", "wide2"]
+    same = ["id", "wide1", "wide2"]
     entries = (
         classes.where("size > 0").select(*same, F.posexplode("short").alias("at", "value"))
         .select(*same, (F.col("value") + F.col("at") * F.lit(1 << bits).cast("long")).alias("value"), F.explode(masks).alias("mask"))
@@ -257,59 +268,67 @@ def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
         bits_apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.lag(w, k).over(meeting))) for w in ("wide1", "wide2"))
         near = near | F.coalesce(bits_apart <= farthest, F.lit(False))
     large = F.count("*").over(Window.partitionBy("variant")) > _SMALL
-    return entries.withColumn("stays", large | near).where("stays").drop("stays")
+    return entries.withColumn("stays", large | near).where("stays").select("variant", "id")
 
 
-def _centres(live: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """What is left of ``live``, the variants where components still meet, with the
-    component of each set (root); and the pairs (id, centre, apart, mass) of a turn.
+def _centres(live: DataFrame, turn: int) -> DataFrame:
+    """The members (variant, id, mass, root) of variants where components still meet,
+    beside the variant's centre (c_id, c_root, c_mass).
 
     The first centre of a variant is its set with the largest mass, that of a crowd
     around it; later ones are drawn by a hash.
     """
-    if roots is None:
-        rooted = live.withColumn("root", F.col("id"))
-    else:
-        own = roots.select(F.col("node").alias("id"), F.col("root").alias("new"))
-        rooted = live.join(own, "id", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
     drawn = F.col("mass") if turn == 0 else F.xxhash64(F.lit(turn), "id")
     centres = (
-        rooted.groupBy("variant").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"),
-            F.max(F.struct(drawn.alias("drawn"), "id", "root", "size", "wide1", "wide2", "mass")).alias("c"),
-        ).where("low <> high").select("variant", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "root", "size", "wide1", "wide2", "mass")])
+        live.groupBy("variant").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct(drawn.alias("drawn"), "id", "root", "mass")).alias("c")
+        ).where("low <> high").select("variant", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "root", "mass")])
     )
-    joined = materialize(rooted.join(centres, "variant"), "open-variants")
-    pairs = joined.where("root <> c_root").select("id", "size", F.col("c_id").alias("centre"), "c_size", _apart("", "c_").alias("apart"), "c_mass")
-    return joined.select(*live.columns), pairs
+    return live.join(centres, "variant")
 
 
-def _chosen(pairs: DataFrame, tried: DataFrame | None, similarity: float, turn: int) -> DataFrame:
-    """(a, b), a > b: for each set the few centres to compare it with, the heaviest
-    ones first, later the nearest.  Sizes that rule the similarity out, and pairs that
-    were tried, are left out.  A set has at most as many centres as variants."""
-    fits = F.least("size", "c_size") >= F.greatest("size", "c_size") * (similarity - 1e-9)
-    order = -F.col("c_mass") if turn == 0 else F.col("apart").cast("long")
+def _speakers(members: DataFrame) -> DataFrame:
+    """Two members for each component of a variant, the heaviest and one drawn by a hash
+    of variant and set.  A set meets another component at many variants, where others speak."""
+    heavy = F.max(F.struct("mass", "id"))
+    drawn = F.max(F.struct(F.xxhash64("variant", "id").alias("drawn"), "mass", "id"))
+    two = members.groupBy("variant", "root").agg(heavy.alias("h"), drawn.alias("d")).select(
+        "variant", "root", F.array_distinct(F.array(F.struct("h.mass", "h.id"), F.struct("d.mass", "d.id"))).alias("two")
+    )
+    return two.select("variant", "root", F.inline("two"))
+
+
+def _chosen(members: DataFrame, info: DataFrame, tried: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+    """(a, b), a > b: for each set the few centres to compare it with, the nearest ones
+    and, in the first turn, also the heaviest.  Sizes that rule the similarity out, and
+    pairs that were tried, are left out.  A set has at most as many centres as variants."""
     ends = [F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")]
-    wanted = pairs.where(fits).select("id", "centre", order.alias("order")).distinct()
+    wanted = members.where("root <> c_root").select("id", F.col("c_id").alias("centre"), "c_mass").distinct()
     if tried is not None:
         wanted = wanted.select("*", *ends).join(tried, ["a", "b"], "left_anti").drop("a", "b")
-    best = wanted.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("order", "centre"))), 1, _TRIES).alias("best"))
-    return best.select("id", F.explode("best.centre").alias("centre")).select(*ends).distinct()
+    theirs = info.select(*[F.col(c).alias("centre" if c == "id" else f"c_{c}") for c in info.columns])
+    fits = F.least("size", "c_size") >= F.greatest("size", "c_size") * (similarity - 1e-9)
+    placed = wanted.join(info, "id").join(theirs, "centre").where(fits).select("id", "centre", "c_mass", _apart("", "c_").alias("apart"))
+    near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("apart", "centre"))), 1, _TRIES), lambda x: x["centre"])
+    if turn == 0:
+        near = F.array_distinct(F.concat(near, F.array(F.max_by("centre", F.struct("c_mass", "centre")))))
+    return placed.groupBy("id").agg(near.alias("best")).select("id", F.explode("best").alias("centre")).select(*ends).distinct()
 
 
 def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text) rows as (doc_id, body, root, component_id).
 
     Sets that meet at variants are compared in turns.  In each, a set is compared
-    with at most ``_TRIES`` centres of its variants, so a turn's pairs are in
+    with a few centres of its variants, so a turn's pairs are in
     proportion to the sets, whatever the size of a crowd; variants within one
     component leave.  The first centres are the sets with the largest mass (the
     members of all their variants, counted): the text a crowd of copies was made
-    from, as its copies lie around it.  Later ones are drawn anew for every variant,
-    and a set tries the nearest of them.  Turns end when ``_QUIET`` of them in a row
-    find nothing alike.  Similarity is exact: shingle sets are made once of every
-    text that met another, and intersected.
+    from, as its copies lie around it.  After that two members speak for each component
+    of a variant; centres are drawn anew for every variant, and a set tries the nearest.  Turns end when one finds nothing alike.
+    After a turn a large and a small star step shorten the links, which is enough to
+    see that most variants hold one component; at the end they are followed to the last.
+    Similarity is exact: shingle sets are made once of every text that met another,
+    and intersected.
     """
     tables, bits = short_fingerprints(docs.count(), similarity)
     found = _sets(docs, F.col("text"), words_per_shingle, tables, bits)
@@ -322,6 +341,7 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
     met = materialize(meetings(classes, similarity, bits), "meetings")
     crowd = materialize(met.groupBy("variant").agg(F.count("*").alias("n")), "variant-sizes")
     mass = materialize(met.join(crowd, "variant").groupBy("id").agg(F.sum("n").alias("mass")), "masses")
+    info = materialize(classes.join(mass.select("id"), "id", "left_semi").select("id", "size", "wide1", "wide2"), "candidates")
     wanted = classes.select("id", "body").join(mass.select("id"), "id", "left_semi")
     texts = (
         docs.select(_body(F.col("text")).alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
@@ -342,23 +362,21 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
         alike = both / (F.size("set_a") + F.size("set_b") - both) >= similarity
         return materialize(pairs.select("a", "b", alike.alias("alike")), "compared")
 
-    live = met.join(mass, "id").withColumn("root", F.col("id"))
-    roots = tried = None
-    turn = quiet = 0
-    while quiet < _QUIET:
-        live, pairs = _centres(live, roots, turn)
-        new = compared(_chosen(pairs, tried, similarity, turn))
-        done, alike = new.agg(F.count("*"), F.sum(F.col("alike").cast("long"))).first()
-        quiet = 0 if alike else quiet + 1
-        if alike:
-            links = new.where("alike").select("a", "b")
-            if roots is not None:
-                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(links)
-        elif not done and turn:
+    live, tried, edges, turn = met.join(mass, "id").withColumn("root", F.col("id")), None, None, 0
+    while True:
+        members = materialize(_centres(live, turn), "open-variants")
+        new = compared(_chosen(members, info, tried, similarity, turn))
+        if not new.where("alike").limit(1).count():
             break
         tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
-        turn += 1
+        found = new.where("alike").select("a", "b")
+        before, edges = edges, _double_star(found if edges is None else edges.unionByName(found))
+        roots = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("new"))
+        own = materialize(roots, "joined")
+        here = members.join(own, "id", "left").select("variant", "id", "mass", F.coalesce("new", "root").alias("root"))
+        live, turn = materialize(_speakers(here), "speakers"), turn + 1
+        discard(members, *([] if before is None else [before]))
+    roots = None if edges is None else components(edges)
     rooted = classes.select("name", "id", "first_id")
     if roots is None:
         rooted = rooted.withColumn("root", F.col("id"))

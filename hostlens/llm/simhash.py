@@ -15,8 +15,9 @@ one document of each group (``one_per_component``) asks for 5-word shingles and
 an exact Jaccard similarity of 0.8 or more, at which a 64-bit fingerprint
 differs in ten bits.  It uses several short fingerprints instead, each with its
 ball of one bit.  Sets that meet at a variant are compared in rounds: a round
-gives each variant one of its members as centre, every other component there is
-compared with it, and what is alike becomes one component.  See ``copies``.
+gives each variant one of its members as centre, other components there are
+compared with it, and what is alike becomes one component.  Whatever then still
+meets from different components is compared pair by pair.  See ``copies``.
 
 Null and empty texts have fingerprint zero, which is linked like any other.
 Documents without doc_id get a component but never name one (null if no member
@@ -42,7 +43,7 @@ _CHUNK = 1 << 16
 RECALL = 0.96
 #: members of a variant that may have met by chance
 _SMALL = 6
-#: nearest centres a set is compared with in a turn
+#: nearest centres a set is compared with in a turn; all other meetings follow after the turns
 _TRIES = 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -245,6 +246,12 @@ def _apart(one: str, two: str) -> Column:
     return sum(F.bit_count(F.col(f"{one}wide{i}").bitwiseXOR(F.col(f"{two}wide{i}"))) for i in (1, 2))
 
 
+def _farthest(similarity: float) -> int:
+    """Bits in which wide fingerprints differ at most; see ``meetings``."""
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(128 * differs + 4.5 * math.sqrt(128 * differs * (1 - differs)))
+
+
 def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
     """(variant, id) where sets meet at a variant of a short fingerprint.
 
@@ -253,8 +260,7 @@ def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
     at ``similarity`` one pair in some 100,000 differs in more bits.  Larger
     variants, hardly ever chance, stay as they are.
     """
-    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    farthest = math.ceil(128 * differs + 4.5 * math.sqrt(128 * differs * (1 - differs)))
+    farthest = _farthest(similarity)
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(bits))]])
     same = ["id", "wide1", "wide2"]
     entries = (
@@ -273,16 +279,17 @@ def meetings(classes: DataFrame, similarity: float, bits: int) -> DataFrame:
 
 def _centres(live: DataFrame, turn: int) -> DataFrame:
     """The members (variant, id, mass, root) of variants where components still meet,
-    beside the variant's centre (c_id, c_root, c_mass).
+    beside the variant's centre (c_id, c_root, c_mass, ...).
 
     The first centre of a variant is its set with the largest mass, that of a crowd
     around it; later ones are drawn by a hash.
     """
     drawn = F.col("mass") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+    of_centre = ["id", "root", "mass", "size", "wide1", "wide2"]
     centres = (
         live.groupBy("variant").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct(drawn.alias("drawn"), "id", "root", "mass")).alias("c")
-        ).where("low <> high").select("variant", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "root", "mass")])
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct(drawn.alias("drawn"), *of_centre)).alias("c")
+        ).where("low <> high").select("variant", *[F.col(f"c.{c}").alias(f"c_{c}") for c in of_centre])
     )
     return live.join(centres, "variant")
 
@@ -290,29 +297,75 @@ def _centres(live: DataFrame, turn: int) -> DataFrame:
 def _speakers(members: DataFrame) -> DataFrame:
     """Two members for each component of a variant, the heaviest and one drawn by a hash
     of variant and set.  A set meets another component at many variants, where others speak."""
-    heavy = F.max(F.struct("mass", "id"))
-    drawn = F.max(F.struct(F.xxhash64("variant", "id").alias("drawn"), "mass", "id"))
+    own = ["mass", "id", "size", "wide1", "wide2"]
+    heavy = F.max(F.struct(*own))
+    drawn = F.max(F.struct(F.xxhash64("variant", "id").alias("drawn"), *own))
     two = members.groupBy("variant", "root").agg(heavy.alias("h"), drawn.alias("d")).select(
-        "variant", "root", F.array_distinct(F.array(F.struct("h.mass", "h.id"), F.struct("d.mass", "d.id"))).alias("two")
+        "variant", "root", F.array_distinct(F.array(*[F.struct(*[f"{x}.{c}" for c in own]) for x in ("h", "d")])).alias("two")
     )
     return two.select("variant", "root", F.inline("two"))
 
 
-def _chosen(members: DataFrame, info: DataFrame, tried: DataFrame | None, similarity: float, turn: int) -> DataFrame:
-    """(a, b), a > b: for each set the few centres to compare it with, the nearest ones
-    and, in the first turn, also the heaviest.  Sizes that rule the similarity out, and
-    pairs that were tried, are left out.  A set has at most as many centres as variants."""
+def _chosen(members: DataFrame, tried: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+    """(a, b), a > b: for each set the few centres to compare it with in this turn, the
+    nearest ones and, in the first turn, also the heaviest.  Sizes that rule the similarity
+    out, and pairs that were tried, are left out.  No pair is lost: see ``_remaining``."""
     ends = [F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")]
-    wanted = members.where("root <> c_root").select("id", F.col("c_id").alias("centre"), "c_mass").distinct()
-    if tried is not None:
-        wanted = wanted.select("*", *ends).join(tried, ["a", "b"], "left_anti").drop("a", "b")
-    theirs = info.select(*[F.col(c).alias("centre" if c == "id" else f"c_{c}") for c in info.columns])
     fits = F.least("size", "c_size") >= F.greatest("size", "c_size") * (similarity - 1e-9)
-    placed = wanted.join(info, "id").join(theirs, "centre").where(fits).select("id", "centre", "c_mass", _apart("", "c_").alias("apart"))
-    near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("apart", "centre"))), 1, _TRIES), lambda x: x["centre"])
+    placed = members.where((F.col("root") != F.col("c_root")) & fits).select("id", F.col("c_id").alias("centre"), "c_mass", _apart("", "c_").alias("apart"))
+    near = F.transform(F.slice(F.sort_array(F.collect_set(F.struct("apart", "centre"))), 1, _TRIES), lambda x: x["centre"])
     if turn == 0:
         near = F.array_distinct(F.concat(near, F.array(F.max_by("centre", F.struct("c_mass", "centre")))))
-    return placed.groupBy("id").agg(near.alias("best")).select("id", F.explode("best").alias("centre")).select(*ends).distinct()
+    pairs = placed.groupBy("id").agg(near.alias("best")).select("id", F.explode("best").alias("centre")).select(*ends).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _remaining(met: DataFrame, info: DataFrame, sets: DataFrame, roots: DataFrame | None, similarity: float, bits: int) -> DataFrame:
+    """(a, b), a > b: all pairs that meet at a variant, are of different components and
+    may have the similarity.
+
+    A shingle that no other of these sets has is in no intersection, so two sets have
+    at most as many shingles in common as the smaller number of shared ones.  That
+    rules out, exactly, sets that met by chance and the outer members of a crowd.
+    A pair near by the wide fingerprints comes from just one of its variants, which
+    are those of all pairs so near; others come from each and are made distinct.
+    """
+    if roots is None:
+        placed = met.withColumn("root", F.col("id"))
+    else:
+        placed = met.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("variant", "id", F.coalesce("r", "id").alias("root"))
+    placed = materialize(placed, "meetings-of-components")
+    several = placed.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = materialize(placed.join(several.select("variant"), "variant", "left_semi"), "meetings-left")
+    discard(placed)
+    here = sets.join(left.select("id").distinct(), "id", "left_semi")
+    alone = (
+        here.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    )
+    enough = similarity - 1e-9
+    able = (
+        info.join(left.select("id").distinct(), "id", "left_semi").join(alone, "id", "left")
+        .withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("shared") >= F.col("size") * enough)
+        .select("id", "size", "shared", "wide1", "wide2", "short")
+    )
+    members = materialize(left.join(materialize(able, "sets-left"), "id"), "members-left")
+    one, two = (members.select("variant", *[F.col(c).alias(f"{x}_{c}") for c in members.columns if c != "variant"]) for x in "ab")
+    different = (F.col("a_id") > F.col("b_id")) & (F.col("a_root") != F.col("b_root"))
+    may = F.least("a_shared", "b_shared") * (1 + enough) >= (F.col("a_size") + F.col("b_size")) * enough
+    far = _apart("a_", "b_") > _farthest(similarity)
+    return one.join(two, "variant").where(different & may & (far | _first_meeting(bits))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def _first_meeting(bits: int) -> Column:
+    """Whether ``variant`` is the one to name a pair of sets: of the first short
+    fingerprint at which they meet, the smaller of the variants between them."""
+    gaps = F.zip_with("a_short", "b_short", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    at = F.array_position(F.transform(gaps, lambda x: x <= 2), True).cast("int")
+    a, b = F.element_at("a_short", at), F.element_at("b_short", at)
+    lowest = a.bitwiseXOR(b).bitwiseAND(-a.bitwiseXOR(b))  # lowest bit in which they differ, if any
+    between = F.least(a.bitwiseXOR(lowest), b.bitwiseXOR(lowest))
+    return F.col("variant") == between + (at - 1) * F.lit(1 << bits).cast("long")
 
 
 def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,7 +379,10 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
     from, as its copies lie around it.  After that two members speak for each component
     of a variant; centres are drawn anew for every variant, and a set tries the nearest.  Turns end when one finds nothing alike.
     After a turn a large and a small star step shorten the links, which is enough to
-    see that most variants hold one component; at the end they are followed to the last.
+    see that most variants hold one component; after the turns they are followed to the last.
+    Turns only spare comparisons: in the end all members of a variant that are still of
+    different components are compared with each other, unless the shingles they share
+    with anyone are too few (``_remaining``), so no link of sets that meet is lost.
     Similarity is exact: shingle sets are made once of every text that met another,
     and intersected.
     """
@@ -341,7 +397,7 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
     met = materialize(meetings(classes, similarity, bits), "meetings")
     crowd = materialize(met.groupBy("variant").agg(F.count("*").alias("n")), "variant-sizes")
     mass = materialize(met.join(crowd, "variant").groupBy("id").agg(F.sum("n").alias("mass")), "masses")
-    info = materialize(classes.join(mass.select("id"), "id", "left_semi").select("id", "size", "wide1", "wide2"), "candidates")
+    info = materialize(classes.join(mass, "id").select("id", "size", "mass", "wide1", "wide2", "short"), "candidates")
     wanted = classes.select("id", "body").join(mass.select("id"), "id", "left_semi")
     texts = (
         docs.select(_body(F.col("text")).alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
@@ -355,17 +411,17 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
 
     sets = materialize(wanted.join(texts, "body").select("id", hashes("text").alias("set")), "candidate-sets")
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
         both = F.size(F.array_intersect("set_a", "set_b"))
         alike = both / (F.size("set_a") + F.size("set_b") - both) >= similarity
         return materialize(pairs.select("a", "b", alike.alias("alike")), "compared")
 
-    live, tried, edges, turn = met.join(mass, "id").withColumn("root", F.col("id")), None, None, 0
+    live, tried, edges, turn = met.join(info.drop("short"), "id").withColumn("root", F.col("id")), None, None, 0
     while True:
         members = materialize(_centres(live, turn), "open-variants")
-        new = compared(_chosen(members, info, tried, similarity, turn))
+        new = compared(_chosen(members, tried, similarity, turn), sets)
         if not new.where("alike").limit(1).count():
             break
         tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
@@ -373,10 +429,19 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
         before, edges = edges, _double_star(found if edges is None else edges.unionByName(found))
         roots = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("new"))
         own = materialize(roots, "joined")
-        here = members.join(own, "id", "left").select("variant", "id", "mass", F.coalesce("new", "root").alias("root"))
+        here = members.join(own, "id", "left").select(
+            "variant", "id", "mass", "size", "wide1", "wide2", F.coalesce("new", "root").alias("root")
+        )
         live, turn = materialize(_speakers(here), "speakers"), turn + 1
         discard(members, *([] if before is None else [before]))
+    discard(members)
     roots = None if edges is None else components(edges)
+    rest = materialize(_remaining(met, info, sets, roots, similarity, bits), "pairs-left")
+    asked = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    missed = compared(rest, materialize(sets.join(asked, "id", "left_semi"), "sets-compared")).where("alike").select("a", "b")
+    if missed.limit(1).count():
+        known = missed if roots is None else missed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(known)
     rooted = classes.select("name", "id", "first_id")
     if roots is None:
         rooted = rooted.withColumn("root", F.col("id"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from hostlens.llm import simhash as S
@@ -158,3 +159,37 @@ def test_similarity_is_exact():
     a, b = S.shingles(" ".join(words), 5), S.shingles(" ".join(words[:12]), 5)
     assert S.jaccard(a, b) == 8 / 9 and S.jaccard(a, a) == 1 and S.jaccard(a[:0], b[:0]) == 1
     assert S.jaccard(np.arange(9), np.arange(1, 10)) == 0.8
+
+
+def test_pairs_that_no_centre_shows(spark, monkeypatch):
+    """Twelve pairs that all meet at the same variants, whose centres resemble one other set each."""
+    rng, own, texts = np.random.default_rng(12), S._sets, []
+    for _ in range(12):
+        words = text_of(rng, 60)
+        texts += [" ".join(words), " ".join([*words, "more"])]
+
+    def all_meet(*args):
+        made, same = own(*args), F.lit(0).cast("long")
+        return F.struct(made["name"].alias("name"), made["size"].alias("size"), same.alias("wide1"), same.alias("wide2"), F.array(same).alias("short"))
+
+    monkeypatch.setattr(S, "_sets", all_meet)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.copies(docs).collect()} == {i: i // 2 * 2 for i in range(24)}
+
+
+def test_remaining_pairs(spark):
+    """Pairs of one variant: not those of one component, nor those that share too little;
+    a pair that meets at several variants comes once."""
+    sets = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5, 6]), (3, [7, 8, 9, 10, 11]), (4, [7, 8, 9, 10, 12]), (5, [7, 8, 9, 10, 11, 13]), (6, [20, 21])]
+    met = spark.createDataFrame([(v, i) for v in (8, 9) for i in range(1, 7)], "variant long, id long")
+    info = spark.createDataFrame(
+        [(i, len(s), 1, 0, 0, [i % 2 + 8, 1 << 19 if i < 4 else 3]) for i, s in sets], "id long, size int, mass long, wide1 long, wide2 long, short array<long>"
+    )
+    roots = spark.createDataFrame([(2, 1)], "node long, root long")
+    sets = spark.createDataFrame(sets, "id long, set array<long>")
+    # 4 has a shingle of its own among five, 2 and 5 have one among six each
+    assert sorted(map(tuple, S._remaining(met, info, sets, roots, 0.8, 20).collect())) == [(3, 1), (3, 2), (5, 1), (5, 3)]
+    loose = sorted(map(tuple, S._remaining(met, info, sets, None, 0.6, 20).collect()))
+    assert loose == [(2, 1), (3, 1), (3, 2), (4, 1), (4, 3), (5, 1), (5, 2), (5, 3)]
+    wide = info.withColumn("wide1", info.id * 0 - (info.id % 2))  # odd and even ones are far apart, by all 64 bits
+    assert sorted(map(tuple, S._remaining(met, wide, sets, None, 0.6, 20).collect())) == loose

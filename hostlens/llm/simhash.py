@@ -45,6 +45,10 @@ RECALL = 0.96
 _SMALL = 6
 #: nearest centres a set is compared with in a turn; all other meetings follow after the turns
 _TRIES = 2
+#: turns end when fewer than one in so many of their comparisons finds a copy
+_YIELD = 20
+#: buckets in which the shingles of a set are counted; see ``_remaining``
+_BUCKETS = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -306,7 +310,7 @@ def _speakers(members: DataFrame) -> DataFrame:
     return two.select("variant", "root", F.inline("two"))
 
 
-def _chosen(members: DataFrame, tried: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+def _chosen(members: DataFrame, tried: list[DataFrame], similarity: float, turn: int) -> DataFrame:
     """(a, b), a > b: for each set the few centres to compare it with in this turn, the
     nearest ones and, in the first turn, also the heaviest.  Sizes that rule the similarity
     out, and pairs that were tried, are left out.  No pair is lost: see ``_remaining``."""
@@ -317,44 +321,70 @@ def _chosen(members: DataFrame, tried: DataFrame | None, similarity: float, turn
     if turn == 0:
         near = F.array_distinct(F.concat(near, F.array(F.max_by("centre", F.struct("c_mass", "centre")))))
     pairs = placed.groupBy("id").agg(near.alias("best")).select("id", F.explode("best").alias("centre")).select(*ends).distinct()
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    for before in tried:
+        pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs
 
 
-def _remaining(met: DataFrame, info: DataFrame, sets: DataFrame, roots: DataFrame | None, similarity: float, bits: int) -> DataFrame:
-    """(a, b), a > b: all pairs that meet at a variant, are of different components and
-    may have the similarity.
+def _able(info: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The sets that may have the similarity to another of ``sets``, with the number of
+    their shingles that another one has, too.
 
     A shingle that no other of these sets has is in no intersection, so two sets have
     at most as many shingles in common as the smaller number of shared ones.  That
-    rules out, exactly, sets that met by chance and the outer members of a crowd.
+    rules out, exactly, sets that met by chance and the outermost members of a crowd.
+    """
+    alone = (
+        sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    )
+    shared = F.col("size") - F.coalesce("alone", F.lit(0))
+    return info.join(alone, "id", "left").withColumn("shared", shared).drop("alone").where(F.col("shared") >= F.col("size") * (similarity - 1e-9))
+
+
+def _remaining(met: DataFrame, info: DataFrame, sets: DataFrame, roots: DataFrame | None, similarity: float, bits: int) -> DataFrame:
+    """(a, b), a > b: all pairs that meet at a variant, are of different components and
+    may have the similarity, by the numbers of shared shingles (``_able``) and, where
+    ``info`` has them, by ``counts``: two sets have at most as many shingles in
+    common as the smaller counts of all buckets add up to, hardly more than they do have.
+
+    One of a pair is not of the component that most members of the variant are of;
+    only such members are met with all others there.
     A pair near by the wide fingerprints comes from just one of its variants, which
     are those of all pairs so near; others come from each and are made distinct.
     """
+    if "shared" not in info.columns:
+        info = _able(info, sets, similarity)
     if roots is None:
-        placed = met.withColumn("root", F.col("id"))
+        info = info.withColumn("root", F.col("id"))
     else:
-        placed = met.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("variant", "id", F.coalesce("r", "id").alias("root"))
-    placed = materialize(placed, "meetings-of-components")
-    several = placed.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = materialize(placed.join(several.select("variant"), "variant", "left_semi"), "meetings-left")
-    discard(placed)
-    here = sets.join(left.select("id").distinct(), "id", "left_semi")
-    alone = (
-        here.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        .where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        info = info.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").withColumn("root", F.coalesce("r", "id"))
+    own = ["id", "root", "size", "shared", "wide1", "wide2", "short", *(["counts"] if "counts" in info.columns else [])]
+    info = materialize(info.select(*own), "sets-of-components")
+    placed = materialize(met.join(info.select("id", "root"), "id"), "meetings-of-components")
+    most = F.max_by("root", F.struct("n", "root")).alias("main")
+    several = (
+        placed.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(most, F.count("*").alias("roots"))
+        .where("roots > 1").select("variant", "main")
     )
+    few = materialize(placed.join(several, "variant").where("root <> main").select("variant", "id"), "outside-the-main")
+    one, two = (df.join(info, "id").select("variant", *[F.col(c).alias(f"{x}_{c}") for c in own]) for x, df in (("a", few), ("b", met)))
     enough = similarity - 1e-9
-    able = (
-        info.join(left.select("id").distinct(), "id", "left_semi").join(alone, "id", "left")
-        .withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("shared") >= F.col("size") * enough)
-        .select("id", "size", "shared", "wide1", "wide2", "short")
-    )
-    members = materialize(left.join(materialize(able, "sets-left"), "id"), "members-left")
-    one, two = (members.select("variant", *[F.col(c).alias(f"{x}_{c}") for c in members.columns if c != "variant"]) for x in "ab")
-    different = (F.col("a_id") > F.col("b_id")) & (F.col("a_root") != F.col("b_root"))
-    may = F.least("a_shared", "b_shared") * (1 + enough) >= (F.col("a_size") + F.col("b_size")) * enough
+    needed = (F.col("a_size") + F.col("b_size")) * enough
     far = _apart("a_", "b_") > _farthest(similarity)
-    return one.join(two, "variant").where(different & may & (far | _first_meeting(bits))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    may = (F.col("a_root") != F.col("b_root")) & (F.least("a_shared", "b_shared") * (1 + enough) >= needed) & (far | _first_meeting(bits))
+    if "counts" in own:
+        in_buckets = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        may = may & (in_buckets * (1 + enough) >= needed)
+    ends = [F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")]
+    pairs = materialize(one.join(two, "variant").where(may).select(*ends).distinct(), "pairs-left")
+    discard(info, placed, few)
+    return pairs
+
+
+def _counts(found: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each bucket."""
+    return np.bincount((found % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS).astype(np.int32)
 
 
 def _first_meeting(bits: int) -> Column:
@@ -374,15 +404,17 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
     Sets that meet at variants are compared in turns.  In each, a set is compared
     with a few centres of its variants, so a turn's pairs are in
     proportion to the sets, whatever the size of a crowd; variants within one
-    component leave.  The first centres are the sets with the largest mass (the
+    component leave.  Sets that share too few shingles with all others for the
+    similarity leave before, exactly.  The first centres are the sets with the largest mass (the
     members of all their variants, counted): the text a crowd of copies was made
     from, as its copies lie around it.  After that two members speak for each component
-    of a variant; centres are drawn anew for every variant, and a set tries the nearest.  Turns end when one finds nothing alike.
+    of a variant; centres are drawn anew for every variant, and a set tries the nearest.  Turns end when
+    one finds hardly anything alike.
     After a turn a large and a small star step shorten the links, which is enough to
     see that most variants hold one component; after the turns they are followed to the last.
     Turns only spare comparisons: in the end all members of a variant that are still of
-    different components are compared with each other, unless the shingles they share
-    with anyone are too few (``_remaining``), so no link of sets that meet is lost.
+    different components are compared with each other, unless counts of their shingles
+    rule the similarity out (``_remaining``), so no link of sets that meet is lost.
     Similarity is exact: shingle sets are made once of every text that met another,
     and intersected.
     """
@@ -397,7 +429,7 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
     met = materialize(meetings(classes, similarity, bits), "meetings")
     crowd = materialize(met.groupBy("variant").agg(F.count("*").alias("n")), "variant-sizes")
     mass = materialize(met.join(crowd, "variant").groupBy("id").agg(F.sum("n").alias("mass")), "masses")
-    info = materialize(classes.join(mass, "id").select("id", "size", "mass", "wide1", "wide2", "short"), "candidates")
+    discard(crowd)
     wanted = classes.select("id", "body").join(mass.select("id"), "id", "left_semi")
     texts = (
         docs.select(_body(F.col("text")).alias("body"), "text").join(wanted.select("body"), "body", "left_semi")
@@ -405,11 +437,17 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
     )
     small_batches(docs)
 
-    @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words_per_shingle).view(np.int64) for t in texts])
+    @F.pandas_udf("set array<long>, counts array<int>")
+    def hashes(texts: pd.Series) -> pd.DataFrame:
+        found = [shingles(t, words_per_shingle) for t in texts]
+        return pd.DataFrame({"set": [x.view(np.int64) for x in found], "counts": [_counts(x) for x in found]})
 
-    sets = materialize(wanted.join(texts, "body").select("id", hashes("text").alias("set")), "candidate-sets")
+    all_sets = materialize(wanted.join(texts, "body").select("id", hashes("text").alias("s")).select("id", "s.*"), "candidate-sets")
+    own = ["id", "size", "mass", "wide1", "wide2", "short"]
+    able = _able(classes.join(mass, "id").select(*own), all_sets, similarity)
+    info = materialize(able.join(all_sets.select("id", "counts"), "id"), "candidates")
+    sets = materialize(all_sets.select("id", "set").join(info.select("id"), "id", "left_semi"), "sets")
+    discard(mass, all_sets)
 
     def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -418,30 +456,33 @@ def copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8)
         alike = both / (F.size("set_a") + F.size("set_b") - both) >= similarity
         return materialize(pairs.select("a", "b", alike.alias("alike")), "compared")
 
-    live, tried, edges, turn = met.join(info.drop("short"), "id").withColumn("root", F.col("id")), None, None, 0
+    live, tried, edges, turn = met.join(info.drop("short", "shared", "counts"), "id").withColumn("root", F.col("id")), [], None, 0
     while True:
         members = materialize(_centres(live, turn), "open-variants")
         new = compared(_chosen(members, tried, similarity, turn), sets)
-        if not new.where("alike").limit(1).count():
+        tried, found = [*tried, new], new.where("alike").select("a", "b")
+        asked, copied = new.count(), found.count()
+        if copied:
+            before, edges = edges, _double_star(found if edges is None else edges.unionByName(found))
+            discard(*([] if before is None else [before]))
+        if copied * _YIELD < asked or not asked:
             break
-        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
-        found = new.where("alike").select("a", "b")
-        before, edges = edges, _double_star(found if edges is None else edges.unionByName(found))
         roots = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("new"))
         own = materialize(roots, "joined")
         here = members.join(own, "id", "left").select(
             "variant", "id", "mass", "size", "wide1", "wide2", F.coalesce("new", "root").alias("root")
         )
-        live, turn = materialize(_speakers(here), "speakers"), turn + 1
-        discard(members, *([] if before is None else [before]))
-    discard(members)
+        before, live, turn = live, materialize(_speakers(here), "speakers"), turn + 1
+        discard(members, before)
+    discard(members, live, *tried)
     roots = None if edges is None else components(edges)
-    rest = materialize(_remaining(met, info, sets, roots, similarity, bits), "pairs-left")
+    rest = _remaining(met, info, sets, roots, similarity, bits)
     asked = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     missed = compared(rest, materialize(sets.join(asked, "id", "left_semi"), "sets-compared")).where("alike").select("a", "b")
     if missed.limit(1).count():
         known = missed if roots is None else missed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(known)
+    discard(met, info, sets)
     rooted = classes.select("name", "id", "first_id")
     if roots is None:
         rooted = rooted.withColumn("root", F.col("id"))
@@ -465,13 +506,15 @@ def one_per_component(
     """
     rows = copies(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), words_per_shingle, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "body")).alias("first")
-    keep_id, keep_body, own, row = fresh(docs, "_keep_id", "_keep_body", "_body", "_row")
-    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias(keep_id), F.col("first.body").alias(keep_body))
-    named = docs.withColumn(own, _body(col(text))).join(
-        kept, (col(own) == col(keep_body)) & col(doc_id).eqNullSafe(col(keep_id)), "left_semi"
-    )
+    keep, own, row = fresh(docs, "_keep", "_own", "_row")
+    kept = rows.groupBy("root").agg(first).select(F.struct("first.doc_id", "first.body").alias(keep))
+    # one key for the join and the grouping (a null inside equals a null): texts are moved once
+    named = docs.withColumn(own, F.struct(col(doc_id).alias("doc_id"), _body(col(text)).alias("body")))
     columns = [col(c) for c in docs.columns]
-    once = named.groupBy(col(doc_id).alias(keep_id), col(own)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
+    once = (
+        named.join(kept, col(own) == col(keep), "left_semi")
+        .groupBy(col(own)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
+    )
     return once.select(*[col(row).getField(c).alias(c) for c in docs.columns])
 
 

@@ -1,5 +1,6 @@
 """The near-dedup stage: 5-word shingles, Jaccard of 0.8 or more, against brute force."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -193,3 +194,41 @@ def test_remaining_pairs(spark):
     assert loose == [(2, 1), (3, 1), (3, 2), (4, 1), (4, 3), (5, 1), (5, 2), (5, 3)]
     wide = info.withColumn("wide1", info.id * 0 - (info.id % 2))  # odd and even ones are far apart, by all 64 bits
     assert sorted(map(tuple, S._remaining(met, wide, sets, None, 0.6, 20).collect())) == loose
+
+
+def test_outer_members_of_a_crowd_are_not_all_compared(spark):
+    """Copies around one text that are near each other, yet not near enough: few of their pairs are left, and none that is alike."""
+    rng = np.random.default_rng(13)
+    text, sets = rng.integers(0, 1 << 63, 300), []
+    for i in range(120):
+        own = rng.integers(0, 1 << 63, 300)
+        sets.append(np.where(rng.random(300) < (0.09 if i % 2 else 0.14), own, text).astype(np.uint64))
+    sets = [np.unique(x) for x in sets] + [np.unique(text.astype(np.uint64))]
+    alike = {(a, b) for a in range(121) for b in range(a) if S.jaccard(sets[a], sets[b]) >= 0.8}
+    met = spark.createDataFrame([(v, i) for v in (0, 1) for i in range(121)], "variant long, id long")
+    info = spark.createDataFrame(
+        [(i, len(x), 1, 0, 0, [0], int(len(np.intersect1d(x, sets[-1]))), S._counts(x).tolist()) for i, x in enumerate(sets)],
+        "id long, size int, mass long, wide1 long, wide2 long, short array<long>, shared long, counts array<int>",
+    )
+    # every second member belongs to the text; the others are each their own
+    roots = spark.createDataFrame([(i, 0) for i in range(1, 121) if i % 2 or i == 120], "node long, root long")
+    stored = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sets)], "id long, set array<long>")
+    of = {i: 0 if i % 2 or i == 120 else i for i in range(121)}
+    left = list(map(tuple, S._remaining(met, info, stored, roots, 0.8, 20).collect()))
+    assert len(left) == len(set(left)) and {p for p in alike if of[p[0]] != of[p[1]]} <= set(left)
+    assert all(of[a] != of[b] and a > b for a, b in left) and len(left) < 500
+
+
+def test_texts_are_moved_once(spark):
+    """Also with ids that are null, in a join that is no broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(14)
+        one, two = (" ".join(text_of(rng, 60)) for _ in range(2))
+        docs = spark.createDataFrame([(None, one), (None, one), (4, two), (3, two), (3, two)], "doc_id long, text string")
+        kept = S.one_per_component(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\([^)]*_own", plan)) == 1
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, one), (3, two)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

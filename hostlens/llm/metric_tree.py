@@ -38,6 +38,10 @@ from hostlens.llm.common import col, materialize, query, small_batches, table
 
 #: squared lengths up to the first bound are exact in floating point; scores up to the second are longs
 EXACT, LONG = 1 << 52, 1 << 62
+#: of a row of packed queries, unless one query is longer
+PIECE_BYTES = 1 << 17
+#: of the tables kept between two steps; a task that writes holds so much
+ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 
 
 @dataclass(frozen=True)
@@ -167,6 +171,24 @@ def quantised(vector: Column, scale: int) -> Column:
     return F.when(usable, F.transform(vector, lambda x: F.floor(scale * x.cast("double"))))
 
 
+def stored_kind(largest: int) -> np.dtype:
+    """The shortest integers that hold every component, given the largest squared length."""
+    return np.dtype("<i2" if largest < 1 << 30 else "<i4" if largest < 1 << 60 else "<i8")
+
+
+def pieces(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> list[bytes]:
+    """Queries in pieces of some ``PIECE_BYTES``: numbers of rows, ids and vectors, one after the other."""
+    many = max(1, PIECE_BYTES // (16 + vectors.itemsize * vectors.shape[1]))
+    cuts = [slice(a, a + many) for a in range(0, len(rows), many)]
+    return [rows[c].astype("<i8").tobytes() + ids[c].astype("<i8").tobytes() + vectors[c].tobytes() for c in cuts]
+
+
+def unpacked(piece: bytes, width: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = len(piece) // (16 + kind.itemsize * width)
+    numbers = np.frombuffer(piece, "<i8", 2 * m)
+    return numbers[:m], numbers[m:], np.frombuffer(piece, kind, offset=16 * m).reshape(m, width)
+
+
 def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", p: Search = Search()) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``p.every``."""
     spark = vectors.sparkSession
@@ -175,7 +197,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         vectors.select(col(vec_id).cast("long").alias("id"), quantised(col(vector), p.scale).alias("v"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())
         .withColumn("row", F.monotonically_increasing_id()),
-        "quantised",
+        "quantised", **ROW_GROUP,
     )
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, width, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
@@ -185,9 +207,11 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     if largest > LONG:
         raise ValueError("scores of these vectors exceed 64-bit integers")
     width, largest = max(1, width), int(largest)
-    kind = np.dtype("f8") if largest <= EXACT else np.dtype("i8")
-    pivots = [r.v for r in rows.orderBy(F.xxhash64("row"), "row").limit(min(p.pivots, max(1, n // 64))).collect()]
-    centers = np.array([[*v, *[0] * (width - len(v))] for v in pivots], float)
+    kind, short = np.dtype("f8") if largest <= EXACT else np.dtype("i8"), stored_kind(largest)
+    # every task sends its first numbers of rows; vectors are sent of the chosen ones only
+    chosen = [r.row for r in rows.select("row").orderBy(F.xxhash64("row"), "row").limit(min(p.pivots, max(1, n // 64))).collect()]
+    pivots = {r.row: r.v for r in rows.where(F.col("row").isin(chosen)).select("row", "v").collect()}
+    centers = np.array([[*pivots[r], *[0] * (width - len(pivots[r]))] for r in chosen], float)
     blocks, query_blocks = -(-n // p.block_rows), max(1, -(-n // p.every // p.query_rows))
 
     def matrix(values: pd.Series) -> np.ndarray:
@@ -198,15 +222,22 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
             out[at] = np.concatenate(values.to_list())
         return out
 
-    @F.pandas_udf("int")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("pivot int, packed binary")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        step = short.itemsize * width
         for v in batches:
             x = matrix(v)
-            yield pd.Series(((centers**2).sum(1) - 2 * x @ centers.T).argmin(1).astype("int32"))
+            raw = x.astype(short).tobytes()
+            pivot = ((centers**2).sum(1) - 2 * x @ centers.T).argmin(1).astype("int32")
+            yield pd.DataFrame({"pivot": pivot, "packed": [raw[at : at + step] for at in range(0, len(raw), step)]})
 
     # rows near one pivot follow each other; a block is the next so many of them, so equal
     # vectors spread over as many blocks as they need
-    placed = materialize(rows.withColumn("pivot", nearest("v")).withColumn("turn", F.pmod(F.xxhash64("row"), F.lit(64))), "placed")
+    placed = materialize(
+        rows.select("row", "id", nearest("v").alias("near"))
+        .select("row", "id", "near.packed", "near.pivot", F.pmod(F.xxhash64("row"), F.lit(64)).alias("turn")),
+        "placed", **ROW_GROUP,
+    )
     counts = placed.groupBy("pivot", "turn").agg(F.count("*").alias("n"))
     before = Window.orderBy("pivot", "turn").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(
@@ -215,49 +246,57 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     )
     within = Window.partitionBy("pivot", "turn").orderBy("id", "row")
     numbered = placed.join(F.broadcast(counts), (F.col("pivot") == F.col("p")) & (F.col("turn") == F.col("t"))).select(
-        "row", "id", "v", F.floor((F.col("before") + F.row_number().over(within) - 1) / p.block_rows).cast("int").alias("block")
+        F.floor((F.col("before") + F.row_number().over(within) - 1) / p.block_rows).cast("int").alias("block"),
+        F.lit(False).alias("asks"), "id", "row", F.col("packed").alias("v"),
     )
 
     def load(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "row"])
-        v, row, ident = matrix(frame["v"]).astype("<i8"), frame["row"].to_numpy("<i8"), frame["id"].to_numpy("<i8")
-        return pd.DataFrame([(int(frame["block"].iloc[0]), row.tobytes(), ident.tobytes(), v.tobytes())], columns=["block", "rows", "ids", "vs"])
+        v = np.frombuffer(b"".join(frame["packed"]), short).reshape(-1, width)
+        return pd.DataFrame({"v": pieces(frame["row"].to_numpy(), frame["id"].to_numpy(), v)})
 
-    kind_of_block = "block int, rows binary, ids binary, vs binary"
-    stored = materialize(numbered.groupBy("block").applyInPandas(load, kind_of_block), "vector-blocks")
     asked = (
-        rows.where(F.col("id") % p.every == 0)
-        .select(F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("block"), "row", "id", "v")
-        .groupBy("block").applyInPandas(load, kind_of_block)
-        .select(F.col("block").alias("query_block"), *[F.col(c).alias(f"query_{c}") for c in ("rows", "ids", "vs")])
+        placed.where(F.col("id") % p.every == 0)
+        .select(F.pmod(F.xxhash64("row"), F.lit(query_blocks)).alias("part"), "row", "id", "packed")
+        .groupBy("part").applyInPandas(load, "v binary")
     )
-    # queries go to the blocks: a block of rows is moved once, however many queries there are
-    pairs = (
-        asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        .repartition(min(blocks, 4096), "block").join(stored, "block")
+    # queries go to the blocks: a block of rows is moved once, row by row, however many queries there
+    # are, and comes before the queries; nothing larger than a piece of queries is a row
+    both = numbered.unionByName(
+        asked.select(
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"),
+            F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("row"), "v",
+        )
     )
+    pairs = both.repartition(min(blocks, 4096), "block").sortWithinPartitions("block", "asks", "id", "row")
     # roundings of a distance near zero are as large as the root of those of its square
     margin = 1e-6 * (1 + float(np.sqrt(4.0 * largest)))
 
+    def grow(held: list[tuple[int, int, bytes]]) -> Tree:
+        ids, own = np.array([i for i, _, _ in held], "<i8"), np.array([row for _, row, _ in held], "<i8")
+        v = np.frombuffer(b"".join(x for _, _, x in held), short).reshape(-1, width)
+        return Tree(ids, v.astype(kind), largest, p.page, own)
+
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, loaded = None, None
+        loaded, held, tree = None, [], None
         for part in parts:
-            for r in part.to_pylist():
-                if loaded != r["block"]:
-                    ids, own = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i8")
-                    tree, loaded = Tree(ids, np.frombuffer(r["vs"], "<i8").reshape(-1, width).astype(kind), largest, p.page, own), r["block"]
+            for block, asks, i, row, v in zip(*(c.to_pylist() for c in part.columns)):
+                if not asks:
+                    if block != loaded:
+                        loaded, held, tree = block, [], None
+                    held.append((i, row, v))
+                    continue
+                if tree is None:
+                    tree, held = grow(held), []
+                rows_asking, ids_asking, q = unpacked(v, width, short)
                 out = []
-                asking = zip(
-                    np.frombuffer(r["query_rows"], "<i8").tolist(), np.frombuffer(r["query_ids"], "<i8").tolist(),
-                    np.frombuffer(r["query_vs"], "<i8").reshape(-1, width).astype(kind),
-                )
-                for row, i, q in asking:
-                    out += [(row, i, x, s) for s, x in tree.search(row, q, p.k, margin)]
+                for r, a, x in zip(rows_asking.tolist(), ids_asking.tolist(), q.astype(kind)):
+                    out += [(r, a, near, score) for score, near in tree.search(r, x, p.k, margin)]
                 if out:
                     names = ["query_row", "query_id", "vec_id", "score"]
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    found = pairs.sortWithinPartitions("block").mapInArrow(meet, "query_row long, query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(meet, "query_row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 

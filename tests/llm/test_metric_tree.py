@@ -55,6 +55,33 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     assert (0, 1, 1, 131072) in got and len([r for r in got if r[0] == 50]) == 15
 
 
+def test_no_row_holds_a_block(spark, monkeypatch):
+    written, real = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda *a, **b: written.append(real(*a, **b)) or written[-1])
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1500)]
+    assert run(spark, rows) == brute(rows)
+    sizes = [t.agg({f.name: "max"}).first()[0] for t in written for f in t.schema if f.dataType.typeName() == "binary"]
+    assert sizes and all(len(x) == 2 * 16 for x in sizes)
+
+
+def test_pieces_are_bounded():
+    numbers = np.arange(500)
+    for kind, width in (("<i2", 4096), ("<i4", 64), ("<i8", 3), ("<i8", 1 << 15)):
+        v = (numbers[:, None] * 7 - np.arange(width)).astype(kind)
+        got = T.pieces(numbers, -numbers, v)
+        assert all(len(x) <= max(T.PIECE_BYTES, 16 + v[0].nbytes) for x in got)
+        back = [np.concatenate(x) for x in zip(*(T.unpacked(x, width, v.dtype) for x in got))]
+        assert all((a == b).all() for a, b in zip(back, (numbers, -numbers, v)))
+
+
+@pytest.mark.parametrize("size", [127.9, 128.0, 1000.0, 4e6])
+def test_components_of_every_length(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, (size * rng.uniform(-1, 1, size=2)).tolist()) for i in range(120)] + [(150, [size, 0.0]), (200, [-size, 0.0])]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_few_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []

@@ -2,46 +2,54 @@
 
 The windows are those of ``windows.aligned``: W seconds long, every W/2, counted
 from the epoch.  A window is two panes of W/2, which do not overlap, so an event
-belongs to one pane.  The state of a process holds what its open panes add up to:
-for every pane and token (a measure, a syscall slot, an address, a path, a 100 ms
-slice...) one number, and the syscalls of the pane, which can be put in order only
-when no earlier one can arrive.
-
-A micro-batch adds one packed part to each pane it touches, so its work follows
-its own rows, not the size of the state; parts of a pane are merged into one when
-there are ``COMPACT`` of them.  A timer at the end of a window puts its two panes
-together and lets the older one go.  Order of arrival does not matter as long as
-events come before the watermark; events behind it are dropped by Spark.
+belongs to one pane.  The state of a bucket of processes (``live.dealt``) holds what
+their open panes add up to: for every process, pane and token (a measure, a syscall
+slot, an address, a path, a 100 ms slice...) one number, and the syscalls of the pane,
+which can be put in order only when no earlier one can arrive.
+
+A micro-batch adds one packed part per Arrow batch, so its work follows its own
+rows, not the size of the state; parts that begin with the same pane are merged into
+one when there are ``COMPACT`` of them.  A timer at the end of a pane closes the windows
+that are over: it puts two panes together and lets the older one go.  Order of arrival
+does not matter as long as events come before the watermark; events behind it are
+dropped by Spark.
 
 What leaves the state are the columns of the counter and token block; the vector
 is assembled from them by the expressions of the batch operator.
 
-One process is one key: its micro-batch goes through one task, Arrow batch by
+One bucket is one key: its micro-batch goes through one task, Arrow batch by
 Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from hostlens import constants as C
 from hostlens.config import Settings
 from hostlens.functions import scalars as X
 from hostlens.operators import features as FE
+from hostlens.streaming import live as L
 
-#: parts of a pane that are merged into one
+#: parts of a stretch of panes that are merged into one
 COMPACT = 16
 # kinds of tokens beyond those of the batch operator; measures follow from MEASURE on
 FIRST, LAST, STEP, MEASURE = 20, 21, 22, 100
 HOW = {MEASURE + i: FE.FOLDS[m] for i, m in enumerate(FE.MEASURES) if m in FE.FOLDS} | {FE.K_COMM: "max", FIRST: "min", LAST: "max"}
-TOKENS = pa.schema([("kind", pa.int16()), ("num", pa.int64()), ("txt", pa.string()), ("v", pa.int64())])
+TOKENS = pa.schema([
+    ("host_id", pa.int64()), ("pid", pa.int64()), ("pane", pa.int64()),
+    ("kind", pa.int16()), ("num", pa.int64()), ("txt", pa.string()), ("v", pa.int64()), ("event_id", pa.int64()),
+])
 BLOCKS = (
     "host_id bigint, pid bigint, k bigint, first_ns bigint, last_ns bigint, active_slices bigint, "
     + ", ".join(f"{m} bigint" for m in FE.MEASURES)
@@ -84,132 +92,171 @@ def event_tokens(stream: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-Tokens = dict[tuple[int, int | None, str | None], int]
-
-
-def _fold(into: Tokens, kinds: Iterable, nums: Iterable, txts: Iterable, values: Iterable) -> Tokens:
-    """Adds rows to tokens, each folded as its kind asks for; a missing number may be NaN."""
-    for kind, num, txt, v in zip(kinds, nums, txts, values):
-        key = kind, None if num is None or num != num else int(num), txt
-        old, how = into.get(key), HOW.get(kind, "sum")
-        if old is None:
-            into[key] = v
-        elif how == "sum":
-            into[key] = old + v
-        elif how == "or":
-            into[key] = old | v
-        else:
-            into[key] = max(old, v) if how == "max" else min(old, v)
-    return into
-
-
-def _packed(tokens: Tokens, steps: np.ndarray) -> bytes:
-    """Tokens and syscalls (ts_ns, event_id, slot) as an Arrow stream each, with the first one's length."""
-    kinds, nums, txts = zip(*tokens) if tokens else ((), (), ())
-    columns = [kinds, nums, txts, list(tokens.values())]
-    out = []
-    for table in (
-        pa.table([pa.array(c, f.type) for c, f in zip(columns, TOKENS)], schema=TOKENS),
-        pa.table({n: pa.array(steps[:, i]) for i, n in enumerate(("ts_ns", "event_id", "slot"))}),
-    ):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        out.append(sink.getvalue().to_pybytes())
-    return len(out[0]).to_bytes(8, "little") + out[0] + out[1]
-
-
-def _merged(parts: list[bytes]) -> tuple[Tokens, np.ndarray]:
-    tokens, steps = {}, []
-    for raw in parts:
-        cut = 8 + int.from_bytes(raw[:8], "little")
-        some, calls = (pa.ipc.open_stream(pa.py_buffer(part)).read_all() for part in (raw[8:cut], raw[cut:]))
-        _fold(tokens, *(c.to_pylist() for c in some.columns))
-        steps.append(np.column_stack([c.to_numpy() for c in calls.columns]))
-    return tokens, np.concatenate(steps)
-
-
-def window_blocks(tokens: Tokens, steps: np.ndarray) -> dict:
-    """Counter and token block of one window."""
-    by_kind: dict[int, list[tuple[int | None, str | None, int]]] = defaultdict(list)
-    for (kind, num, txt), v in tokens.items():
-        by_kind[kind].append((num, txt, v))
-    entries = lambda pairs: [{"num": a, "n": b} for a, b in sorted(pairs)]
-    row = {m: by_kind[MEASURE + i][0][2] if by_kind[MEASURE + i] else 0 for i, m in enumerate(FE.MEASURES)}
+def folded(rows: pa.Table) -> pa.Table:
+    """Tokens of each process and pane once, their values folded as their kind asks for; syscalls as they are."""
+    step = pc.equal(rows["kind"], STEP)
+    keys = [n for n in rows.column_names if n not in ("v", "event_id")]
+    sums = rows.filter(pc.invert(step)).group_by(keys, use_threads=False).aggregate([("v", "sum"), ("v", "min"), ("v", "max")])
+    kinds, v = sums["kind"].to_numpy(), sums["v_sum"].to_numpy().copy()
+    for how in ("min", "max"):
+        mine = np.isin(kinds, [kind for kind, h in HOW.items() if h == how])
+        v[mine] = sums[f"v_{how}"].to_numpy()[mine]
+    tokens = sums.select(keys).append_column("v", pa.array(v)).append_column("event_id", pa.nulls(len(v), pa.int64()))
+    bits = pa.array([kind for kind, h in HOW.items() if h == "or"], pa.int16())
+    is_bits = pc.is_in(tokens["kind"], bits)
+    if pc.any(is_bits).as_py():
+        some = rows.filter(pc.is_in(rows["kind"], bits)).group_by(keys, use_threads=False).aggregate([("v", "distinct")])
+        ored = pa.array([reduce(or_, values) for values in some["v_distinct"].to_pylist()], pa.int64())
+        some = some.select(keys).append_column("v", ored).append_column("event_id", pa.nulls(len(ored), pa.int64()))
+        tokens = pa.concat_tables([tokens.filter(pc.invert(is_bits)), some])
+    return pa.concat_tables([tokens.select(rows.column_names), rows.filter(step)]).combine_chunks()
+
+
+def _merged(parts: list[bytes]) -> tuple[dict[tuple[int, int | None, str | None], int], pa.Table]:
+    """What parts add up to over all their processes and panes: tokens, and the syscalls."""
+    rows = folded(pa.concat_tables(map(L.unpack, parts)).select(TOKENS.names[3:]))
+    step = pc.equal(rows["kind"], STEP)
+    kinds, nums, txts, values, _ = (c.to_pylist() for c in rows.filter(pc.invert(step)).columns)
+    return dict(zip(zip(kinds, nums, txts), values)), rows.filter(step)
+
+
+def _runs(of: np.ndarray) -> np.ndarray:
+    """Where in sorted numbers a new one begins."""
+    return np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+
+
+def _entries(of: np.ndarray, nums: np.ndarray, counts: np.ndarray, n: int) -> list[list[dict]]:
+    """(num, n) of each of ``n`` windows, of rows sorted by window and number."""
+    out: list[list[dict]] = [[] for _ in range(n)]
+    for w, num, times in zip(of.tolist(), nums.astype(np.int64).tolist(), counts.tolist()):
+        out[w].append({"num": num, "n": times})
+    return out
+
+
+def _entropies(of: list[int], paths: list[str], times: list[int], n: int) -> np.ndarray:
+    """Entropy of the characters in the paths of each window."""
+    chars: dict[int, Counter[str]] = {}
+    known: dict[str, list[tuple[str, int]]] = {}
+    for w, path, many in zip(of, paths, times):
+        if path not in known:
+            known[path] = list(Counter(path).items())
+        own = chars.setdefault(w, Counter())
+        for c, count in known[path]:
+            own[c] += count * many
+    out = np.zeros(n)
+    for w, own in chars.items():
+        if own:
+            x = np.fromiter(own.values(), float, len(own))
+            out[w] = np.log2(x.sum()) - (x * np.log2(x)).sum() / x.sum()
+    return out
+
+
+def window_blocks(rows: pa.Table) -> pd.DataFrame:
+    """Counter and token block of windows, of their tokens (folded; ``k`` in place of ``pane``)."""
+    kinds, nums, v = (rows[c].to_numpy() for c in ("kind", "num", "v"))
+    names = rows.select(["host_id", "pid", "k"]).to_pandas()
+    w = names.groupby(["host_id", "pid", "k"], dropna=False, sort=False).ngroup().to_numpy()
+    _, at = np.unique(w, return_index=True)
+    n, out = len(at), names.iloc[at].reset_index(drop=True)
+
+    measures = np.zeros((n, len(FE.MEASURES)), np.int64)
+    is_measure = kinds >= MEASURE
+    measures[w[is_measure], kinds[is_measure] - MEASURE] = v[is_measure]
+
+    def of(kind, *by):
+        """Rows of a kind in order of their window and columns."""
+        mine = np.flatnonzero(kinds == kind)
+        return mine[np.lexsort((*[c[mine] for c in reversed(by)], w[mine]))]
 
     # slices are cut by the clock; the ones to count start at the first event
-    firsts, lasts = (np.array([v for _, _, v in sorted(by_kind[kind])], np.int64) for kind in (FIRST, LAST))
-    opens, ends = (firsts - firsts[0]) // C.SLICE_NS, (lasts - firsts[0]) // C.SLICE_NS
-    row |= {
-        "first_ns": int(firsts[0]), "last_ns": int(lasts[-1]),
-        "active_slices": int(1 + (opens[1:] != ends[:-1]).sum() + (ends != opens).sum()),
-    }
-    calls = [(num, v) for num, _, v in by_kind[FE.K_CALL]]
-    row |= {"calls": sum(n for _, n in calls), "call_entries": entries(calls)}
-    ordered = steps[np.lexsort((steps[:, 1], steps[:, 0]))][:, 2]
-    buckets = Counter(((ordered[:-1] * C.BIGRAM_FACTOR + ordered[1:]) % C.NUM_BIGRAMS).tolist())
-    row |= {"pairs": sum(buckets.values()), "pair_entries": entries(buckets.items())}
-    row |= {"ips": len(by_kind[FE.K_IP]), "ports": len(by_kind[FE.K_PORT]), "opened": len(by_kind[FE.K_OPEN])}
-    chars: Counter[str] = Counter()
-    for _, path, times in by_kind[FE.K_CHAR]:
-        for c, n in Counter(path).items():
-            chars[c] += n * times
-    n = np.array(list(chars.values()), float)
-    row["entropy"] = float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else 0.0
-    row["last_comm"] = max((v, txt) for _, txt, v in by_kind[FE.K_COMM])[1]
-    return row
-
-
-class WindowVectors(StatefulProcessor):
-    """Open panes of a process; emits the blocks of a window when it is over."""
+    slices = of(FIRST, nums)
+    firsts, lasts, ws = v[slices], v[of(LAST, nums)], w[slices]
+    begins = _runs(ws)
+    opened = firsts[begins][ws]
+    opens, ends = (firsts - opened) // C.SLICE_NS, (lasts - opened) // C.SLICE_NS
+    more = ends != opens
+    anew = np.append(True, opens[1:] != ends[:-1])
+    anew[begins] = True
+    out["first_ns"], out["last_ns"] = firsts[begins], lasts[np.append(begins[1:], len(ws)) - 1]
+    out["active_slices"] = np.bincount(ws, anew.astype(int) + more, n).astype(np.int64)
+    out[FE.MEASURES] = measures
+
+    calls = of(FE.K_CALL, nums)
+    out["calls"] = np.bincount(w[calls], v[calls], n).astype(np.int64)
+    out["call_entries"] = _entries(w[calls], nums[calls], v[calls], n)
+    steps = of(STEP, v, rows["event_id"].to_numpy())
+    slots, ws = nums[steps].astype(np.int64), w[steps]
+    next_to = ws[1:] == ws[:-1]
+    buckets = ((slots[:-1] * C.BIGRAM_FACTOR + slots[1:]) % C.NUM_BIGRAMS)[next_to]
+    pairs, counts = np.unique(ws[:-1][next_to] * C.NUM_BIGRAMS + buckets, return_counts=True)
+    out["pairs"] = np.bincount(pairs // C.NUM_BIGRAMS, counts, n).astype(np.int64)
+    out["pair_entries"] = _entries(pairs // C.NUM_BIGRAMS, pairs % C.NUM_BIGRAMS, counts, n)
+    for name, kind in (("ips", FE.K_IP), ("ports", FE.K_PORT), ("opened", FE.K_OPEN)):
+        out[name] = np.bincount(w[kinds == kind], minlength=n)
+    paths = np.flatnonzero(kinds == FE.K_CHAR)
+    out["entropy"] = _entropies(w[paths].tolist(), rows["txt"].take(paths).to_pylist(), v[paths].tolist(), n)
+    comms = np.flatnonzero(kinds == FE.K_COMM)
+    named = pd.DataFrame({"w": w[comms], "v": v[comms], "txt": rows["txt"].take(comms).to_pylist()})
+    out["last_comm"] = named.sort_values(["w", "v", "txt"]).drop_duplicates("w", keep="last")["txt"].to_numpy()
+    return out[[f.split()[0] for f in BLOCKS.split(", ")]]
+
+
+class WindowVectors(L.HeldParts):
+    """Open panes of a bucket of processes; emits the blocks of windows when they are over."""
 
     def __init__(self, stride_ns: int):
-        self.stride_ns = stride_ns
+        self.period_ns = stride_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getMapState("parts", "pane bigint", "n int")
         self.data = handle.getMapState("data", "pane bigint, part int", "packed binary")
+        self.closed = handle.getValueState("closed", "k bigint")
 
-    def _read(self, pane: int) -> list[bytes]:
-        n = self.parts.getValue((pane,))[0] if self.parts.containsKey((pane,)) else 0
-        return [bytes(self.data.getValue((pane, i))[0]) for i in range(n)]
-
-    def _drop(self, pane: int) -> None:
-        if self.parts.containsKey((pane,)):
-            for i in range(self.parts.getValue((pane,))[0]):
-                self.data.removeKey((pane, i))
-            self.parts.removeKey((pane,))
-
-    def _add(self, pane: int, packed: bytes) -> None:
-        n = self.parts.getValue((pane,))[0] if self.parts.containsKey((pane,)) else 0
-        if not n:
-            for end in (pane + 1, pane + 2):
-                # a millisecond early: a timer is due when the watermark has passed it
-                self.handle.registerTimer(end * self.stride_ns // 1_000_000 - 1)
+    def _add(self, first: int, packed: bytes, over: int | None = None) -> None:
+        n = self.parts.getValue((first,))[0] if self.parts.containsKey((first,)) else 0
         if n + 1 >= COMPACT:
-            whole = _packed(*_merged([*self._read(pane), packed]))
-            self._drop(pane)
-            n, packed = 0, whole
-        self.data.updateValue((pane, n), (packed,))
-        self.parts.updateValue((pane,), (n + 1,))
+            packed = L.pack(folded(pa.concat_tables(map(L.unpack, [*self._take(first), packed]))))
+        super()._add(first, packed, over)
+
+    def _put(self, rows: pa.Table, over: int | None = None) -> None:
+        for first, own in L.stretches(rows["pane"].to_numpy()):
+            self._add(first, L.pack(rows if isinstance(own, slice) else rows.take(own)), over)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for pane, own in batch.groupby("pane"):
-                step = (own["kind"] == STEP).to_numpy()
-                steps = np.column_stack([own[c].to_numpy()[step].astype(np.int64) for c in ("v", "event_id", "num")])
-                tokens = _fold({}, *(own[c].to_numpy()[~step].tolist() for c in TOKENS.names))
-                self._add(int(pane), _packed(tokens, steps))
+            self._put(folded(pa.Table.from_pandas(batch[TOKENS.names], TOKENS, preserve_index=False)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1_000_000 // self.stride_ns
-        parts = [*self._read(end - 2), *self._read(end - 1)]
-        self._drop(end - 2)
-        if parts:
-            row = {"host_id": key[0], "pid": key[1], "k": end - 2, **window_blocks(*_merged(parts))}
-            yield pd.DataFrame([row])[[f.split()[0] for f in BLOCKS.split(", ")]]
+        over = self._over(timerValues)
+        done = self.closed.get()[0] if self.closed.exists() else None
+        if done is not None and done >= over - 2:
+            return
+        held = TOKENS.empty_table()
+        for first in self._begun(over):
+            if len(held) >= L.PART_ROWS:
+                # what lies before this stretch is whole
+                yield from self._close(held, done, first - 2)
+                done = first - 2 if done is None else max(done, first - 2)
+                held = held.filter(pc.greater_equal(held["pane"], first - 1))
+            held = pa.concat_tables([held, *map(L.unpack, self._take(first))])
+        yield from self._close(held, done, over - 2)
+        open_panes = held.filter(pc.greater_equal(held["pane"], over - 1))
+        if len(open_panes):
+            self._put(folded(open_panes), over)
+        self.closed.update((over - 2,))
+
+    def _close(self, rows: pa.Table, after: int | None, last: int) -> Iterator[pd.DataFrame]:
+        """Windows behind ``after`` up to ``last``, of all that their panes hold."""
+        windows = []
+        for back in (0, 1):
+            k = pc.subtract(rows["pane"], back)
+            some = pc.less_equal(k, last) if after is None else pc.and_(pc.greater(k, after), pc.less_equal(k, last))
+            windows.append(rows.set_column(2, "k", k).filter(some))
+        both = folded(pa.concat_tables(windows))
+        if len(both):
+            yield window_blocks(both)
 
     def close(self) -> None:
         pass
@@ -221,7 +268,7 @@ def vector_stream(stream: DataFrame, settings: Settings) -> DataFrame:
     if settings.stride_ns * 2 != settings.window_ns or settings.stride_ns % 1_000_000:
         raise ValueError("windows must be two panes of whole milliseconds")
     closed = (
-        event_tokens(stream, settings).groupBy("host_id", "pid")
+        L.dealt(event_tokens(stream, settings).where("pane IS NOT NULL")).groupBy("_bucket")
         .transformWithStateInPandas(
             WindowVectors(settings.stride_ns), outputStructType=BLOCKS, outputMode="Append", timeMode="EventTime"
         )

@@ -135,7 +135,7 @@ def t07(spark, sf_dir):
 
 @query("T08_notable_contributions", sql("--MORE" + RANKED + "SELECT host_id, pid, k, CAST(count(*) AS INT) AS notable FROM ranked WHERE contribution >= 0.05 AND rank <= 3 GROUP BY ALL", "p_dense"))
 def t08(spark, sf_dir):
-    rows = scoring.contribution_rows(_against_mean(spark, sf_dir), [*PROC, "k"], feature_dim(spark))
+    rows = scoring.contribution_rows(_against_mean(spark, sf_dir), [*PROC, "k"], feature_dim(spark), C.MIN_CONTRIBUTION)
     notable = rows.where((F.col("contribution") >= C.MIN_CONTRIBUTION) & (F.col("rank") <= C.TOP_PHRASES))
     return notable.groupBy(*PROC, "k").agg(F.count("*").cast("int").alias("notable"))
 
